@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Hashable, Iterable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -46,13 +48,30 @@ def add_predictions(df: DataFrame, model: PipelineModel) -> DataFrame:
     return scored.drop(*[c for c in scored.columns if c.startswith("_")])
 
 
-def train_models(train: DataFrame, configurations: Mapping[str, Sequence[str]] = CONFIGURATIONS, **boosting) -> dict[str, PipelineModel]:
-    """One fitted pipeline per configuration, all with the same parameters."""
-    return {name: demand_pipeline(features, name, **boosting).fit(train) for name, features in configurations.items()}
+def train_models(
+    training: Mapping[Hashable, DataFrame],
+    configurations: Mapping[str, Sequence[str]] = CONFIGURATIONS,
+    parallelism: int = 4,
+    **boosting,
+) -> dict[tuple[Hashable, str], PipelineModel]:
+    """One fitted pipeline per training set and configuration, all with the same parameters.
 
+    Fits are independent, so up to ``parallelism`` of them submit their jobs at the same time, as
+    MLlib's own cross-validation does; while one reduces its split statistics another uses the cores.
+    """
+    tasks = [(label, name) for label in training for name in configurations]
 
-def predict_all(df: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
+    @inheritable_thread_target(next(iter(training.values())).sparkSession)
+    def fit(task: tuple[Hashable, str]) -> PipelineModel:
+        label, name = task
+        return demand_pipeline(configurations[name], name, **boosting).fit(training[label])
+
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return dict(zip(tasks, pool.map(fit, tasks), strict=True))
+
+
+def predict_all(df: DataFrame, models: Iterable[PipelineModel]) -> DataFrame:
     """One prediction column per model, in the row it belongs to."""
-    for model in models.values():
+    for model in models:
         df = add_predictions(df, model)
     return df

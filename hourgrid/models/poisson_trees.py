@@ -117,22 +117,22 @@ class PoissonTrees(Estimator):
         )
         steps: list[Step] = []
         state = materialize(rows.withColumn("eta", F.lit(base)), "boosting").persist(StorageLevel.MEMORY_AND_DISK)
+        previous = None
         for number in range(1, self.trees + 1):
             weighted = state.withColumn("mu", _mean_of(F.col("eta"))).withColumn("target", (F.col("y") - F.col("mu")) / F.col("mu"))
             tree = learner.fit(weighted)
+            # Fitting has filled the cache of this state; the one it was computed from can go.
+            if previous is not None:
+                previous.unpersist()
             step = Step(tree, self._leaf_values(tree, weighted))
             steps.append(step)
-            if number == self.trees:
-                break
             scored = tree.transform(state).withColumn("eta", F.col("eta") + step.increment("leaf"))
-            advanced = scored.select("features", "y", "eta")
+            previous, state = state, scored.select("features", "y", "eta")
             # A lost executor replays at most the steps since the last written table.
-            if number % self.cut_lineage_every == 0:
-                advanced = materialize(advanced, "boosting")
-            advanced = advanced.persist(StorageLevel.MEMORY_AND_DISK)
-            advanced.count()
-            state.unpersist()
-            state = advanced
+            if number % self.cut_lineage_every == 0 and number < self.trees:
+                state = materialize(state, "boosting")
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        previous.unpersist()
         state.unpersist()
         return PoissonTreesModel(base, steps, self.features, self.prediction)
 

@@ -36,11 +36,13 @@ def backtest_baselines(features: DataFrame, starts: Sequence[date], days: int =
     return metrics_by_model(assign_folds(features, starts, days), BASELINES, keys=["validation_week"])
 
 
-def _train_and_score(features: DataFrame, start: date, end: date, configurations: Mapping[str, Sequence[str]], **boosting) -> tuple[DataFrame, dict[str, str]]:
-    train = features.where(F.col("timestamp") < naive(start))
-    models = train_models(train, configurations, **boosting)
-    scored = predict_all(fixed_test(features, start, end), models)
-    return scored, {**BASELINES, **{name: name for name in configurations}}
+def _before(features: DataFrame, start: date) -> DataFrame:
+    return features.where(F.col("timestamp") < naive(start))
+
+
+def _columns(configurations: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """Label and prediction column of the baselines and of every configuration."""
+    return {**BASELINES, **{name: name for name in configurations}}
 
 
 def run_backtest(
@@ -48,13 +50,16 @@ def run_backtest(
     starts: Sequence[date],
     days: int = 7,
     configurations: Mapping[str, Sequence[str]] = CONFIGURATIONS,
+    parallelism: int = 4,
     **boosting,
 ) -> DataFrame:
     """Train on everything before each start, score the ``days`` after it: metrics per fold and model."""
+    models = train_models({s: _before(features, s) for s in starts}, configurations, parallelism, **boosting)
     folds = []
     for start in starts:
-        scored, columns = _train_and_score(features, start, start + timedelta(days=days), configurations, **boosting)
-        folds.append(metrics_by_model(scored, columns).select(F.lit(start).alias("validation_week"), "*"))
+        validation = fixed_test(features, start, start + timedelta(days=days))
+        scored = predict_all(validation, [models[start, name] for name in configurations])
+        folds.append(metrics_by_model(scored, _columns(configurations)).select(F.lit(start).alias("validation_week"), "*"))
     return reduce(DataFrame.unionByName, folds)
 
 
@@ -64,9 +69,11 @@ def run_final_test(
     end: date,
     expected_rows: int,
     configurations: Mapping[str, Sequence[str]] = CONFIGURATIONS,
+    parallelism: int = 4,
     **boosting,
 ) -> tuple[DataFrame, DataFrame]:
     """Metrics of models and baselines on the locked period, and the scored rows behind them."""
-    fixed_test(features, start, end, expected_rows)
-    scored, columns = _train_and_score(features, start, end, configurations, **boosting)
-    return metrics_by_model(scored, columns).orderBy("MAE", "model"), scored
+    test = fixed_test(features, start, end, expected_rows)
+    models = train_models({start: _before(features, start)}, configurations, parallelism, **boosting)
+    scored = predict_all(test, models.values())
+    return metrics_by_model(scored, _columns(configurations)).orderBy("MAE", "model"), scored
