@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from hourgrid.schemas import LAGS, ROLLING_HOURS, ROLLING_SHIFT
 
 BLOCK_DAYS = 84
+RUNNING = ("_count", "_sum", "_squares")
 
 
 def _cut_into_blocks(df: DataFrame, ts: str, reach_hours: int, block_days: int) -> DataFrame:
@@ -41,24 +42,53 @@ def add_history(
     rolling_shift: int = ROLLING_SHIFT,
     block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
-    """Add ``lag_k`` for every k, and mean and sample deviation over ``rolling_hours`` rows that end
-    ``rolling_shift`` rows back. A rolling value is null until its frame is full.
+    """Add ``lag_k`` for every k, and mean and sample deviation over ``rolling_hours`` rows of which the
+    last is ``rolling_shift`` rows back. A rolling value is null until its frame is full.
 
-    All columns share one window specification: one shuffle and one sort.
+    ``value`` is an integer column. All windows share one partitioning and order: one shuffle, one sort.
     """
     reach = max([*lags, (rolling_shift + rolling_hours - 1) if rolling_hours else 0])
     blocked = _cut_into_blocks(df, ts, reach, block_days)
     ordered = Window.partitionBy(key, "_block").orderBy(ts)
     columns = {f"lag_{k}": F.lag(value, k).over(ordered) for k in lags}
     if rolling_hours:
-        columns |= _rolling(ordered, value, rolling_hours, rolling_shift)
-    return blocked.withColumns(columns).where("_own = _block").drop("_own", "_block")
+        blocked = blocked.withColumns(_running(ordered, value))
+        columns |= _in_frame(ordered, rolling_hours, rolling_shift)
+    looked_back = blocked.withColumns(columns).where("_own = _block").drop("_own", "_block")
+    if not rolling_hours:
+        return looked_back
+    return looked_back.withColumns(_statistics(rolling_hours)).drop(*RUNNING)
 
 
-def _rolling(ordered: WindowSpec, value: str, hours: int, shift: int) -> dict:
-    frame = ordered.rowsBetween(-(shift + hours - 1), -shift)
-    full = F.count(value).over(frame) == hours
+def _running(ordered: WindowSpec, value: str) -> dict[str, Column]:
+    """Running count, sum and sum of squares; decimals keep the squares exact."""
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wide = F.col(value).cast("long")
+    square = wide.cast("decimal(19,0)") * wide.cast("decimal(10,0)")
     return {
-        f"rolling_mean_{hours}": F.when(full, F.avg(value).over(frame)),
-        f"rolling_std_{hours}": F.when(full, F.stddev_samp(value).over(frame)),
+        "_count": F.count(value).over(upto),
+        "_sum": F.sum(wide).over(upto),
+        "_squares": F.sum(square.cast("decimal(28,0)")).over(upto),
+    }
+
+
+def _in_frame(ordered: WindowSpec, hours: int, shift: int) -> dict[str, Column]:
+    """Totals of the frame as differences of two running totals; the cost does not depend on the frame."""
+
+    def difference(running: str) -> Column:
+        last = F.lag(running, shift).over(ordered)
+        before = F.lag(running, shift + hours).over(ordered)
+        return last - F.coalesce(before, F.lit(0))
+
+    return {name: difference(name) for name in RUNNING}
+
+
+def _statistics(hours: int) -> dict[str, Column]:
+    """Integer arithmetic gives a constant frame a deviation of exactly zero."""
+    full = F.col("_count") == hours
+    total = F.col("_sum").cast("decimal(19,0)")
+    spread = F.col("_squares") * hours - total * total
+    return {
+        f"rolling_mean_{hours}": F.when(full, F.col("_sum") / F.lit(hours)),
+        f"rolling_std_{hours}": F.when(full, F.sqrt(spread.cast("double") / F.lit(hours * (hours - 1)))),
     }

@@ -13,6 +13,7 @@ from hourgrid.operators.joins import lookup
 from hourgrid.operators.ranking import canonical_label, require_selection, top_entities
 from hourgrid.schemas import HOURLY_PICKUPS
 from hourgrid.session import materialize
+from hourgrid.sources.tables import write_monthly
 
 
 def named_hourly(trips: DataFrame) -> DataFrame:
@@ -43,3 +44,11 @@ def build_dataset(trips: DataFrame, cutoff: date, top_n: int = 25) -> DataFrame:
     by_station = sum_by(hourly, ["timestamp", "station_id"])
     grid = dense_grid(by_station, stations, "station_id", "pickups")
     return lookup(grid, station_names(hourly), "station_id").select(*HOURLY_PICKUPS.names)
+
+
+def ingest_trips(trips: DataFrame, path: str) -> None:
+    """Convert landed trips to Parquet once, partitioned by month, so later runs split and prune them.
+
+    Rows go to their month's partition straight from the reading task; no shuffle gathers a month.
+    """
+    write_monthly(trips, path, "started_at")

@@ -27,17 +27,17 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_hourly(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """The hourly fact, partitioned by month so that a time filter opens only its months."""
+def write_monthly(df: DataFrame, path: str, ts: str = "timestamp") -> None:
+    """A table partitioned by the month of ``ts``, so that a time filter opens only its months."""
     monthly = df.withColumn(MONTH, month_label(ts))
     monthly.write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
-def read_hourly(spark: SparkSession, path: str, schema: T.StructType = HOURLY_PICKUPS) -> DataFrame:
+def read_monthly(spark: SparkSession, path: str, schema: T.StructType = HOURLY_PICKUPS) -> DataFrame:
     return _monthly(spark, path, schema).drop(MONTH)
 
 
-def read_hourly_months(spark: SparkSession, path: str, first: str, last: str, schema: T.StructType = HOURLY_PICKUPS) -> DataFrame:
+def read_months(spark: SparkSession, path: str, first: str, last: str, schema: T.StructType = HOURLY_PICKUPS) -> DataFrame:
     """Months ``first`` to ``last`` (``YYYY-MM``), pruned at the partition level."""
     return _monthly(spark, path, schema).where(F.col(MONTH).between(first, last)).drop(MONTH)
 
