@@ -29,6 +29,10 @@ def direction(error: Column) -> Column:
     return F.when(error > 0, "overprediction").otherwise("underprediction")
 
 
+def gain_label(gain: Column) -> Column:
+    return F.when(gain > 0, "better").otherwise("worse")
+
+
 def improvement(reference: Column, candidate: Column) -> Column:
     """Share of the reference error that the candidate removes."""
     return F.try_divide(reference - candidate, reference)

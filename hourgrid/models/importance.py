@@ -66,13 +66,14 @@ def permutation_importance(
     prediction: str = "prediction",
     repeats: int = 5,
     seed: int = 42,
-    buckets: int = 64,
+    rows_per_bucket: int = 500_000,
 ) -> DataFrame:
     """Mean and population deviation, over the repeats, of the MAE increase per feature."""
     needed = list(dict.fromkeys([*keys, *features, label]))
     rows = materialize(data.select(*needed), "importance")
     y, p = F.col(label), F.col(prediction)
-    base = add_predictions(rows, model).agg(mae(y, p)).first()[0]
+    base, size = add_predictions(rows, model).agg(mae(y, p), F.count("*")).first()
+    buckets = max(8, size // rows_per_bucket)
     # The keys identify a row even where a feature that is also a key has been swapped.
     shuffled = permuted_features(rows, features, keys, repeats, seed, buckets)
     scores = add_predictions(shuffled, model).groupBy("feature", "repeat").agg((mae(y, p) - F.lit(base)).alias("increase"))

@@ -99,6 +99,7 @@ class PoissonTrees(Estimator):
 
     def _fit(self, dataset: DataFrame) -> PoissonTreesModel:
         rows = dataset.select(F.col(self.features).alias("features"), F.col(self.label).cast("double").alias("y"))
+        rows = materialize(rows, "training")
         mean = rows.agg(F.avg("y")).first()[0]
         if not mean or mean < 0:
             raise ValueError("a Poisson model needs labels with a positive mean")
@@ -116,7 +117,7 @@ class PoissonTrees(Estimator):
             seed=self.seed,
         )
         steps: list[Step] = []
-        state = materialize(rows.withColumn("eta", F.lit(base)), "boosting").persist(StorageLevel.MEMORY_AND_DISK)
+        state = rows.withColumn("eta", F.lit(base)).persist(StorageLevel.MEMORY_AND_DISK)
         previous = None
         for number in range(1, self.trees + 1):
             weighted = state.withColumn("mu", _mean_of(F.col("eta"))).withColumn("target", (F.col("y") - F.col("mu")) / F.col("mu"))

@@ -41,8 +41,7 @@ def build_dataset(trips: DataFrame, cutoff: date, top_n: int = 25) -> DataFrame:
     """``timestamp, station_id, station_name, pickups`` for every selected station and hour."""
     hourly = named_hourly(trips)
     stations = select_stations(hourly, cutoff, top_n)
-    by_station = sum_by(hourly, ["timestamp", "station_id"])
-    grid = dense_grid(by_station, stations, "station_id", "pickups")
+    grid = dense_grid(hourly, stations, "station_id", "pickups")
     return lookup(grid, station_names(hourly), "station_id").select(*HOURLY_PICKUPS.names)
 
 

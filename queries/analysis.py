@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.functions.errors import half_even
+from hourgrid.functions.errors import gain_label, half_even
 from hourgrid.functions.time import naive
 from hourgrid.operators import profile as profiles
 from hourgrid.operators import reports
@@ -250,12 +250,15 @@ QUERIES = {
         lambda spark, sf_dir: rounded(
             reports.mean_errors_by(test_rows(spark, sf_dir), ["station_id", "station_name"], BASELINES)
             .withColumn("last_week_improvement", F.col("yesterday_mae") - F.col("last_week_mae"))
+            .withColumn("last_week_is", gain_label(F.col("last_week_improvement")))
             .orderBy(F.desc("last_week_mae"))
         ),
         with_ctes(
             "test",
             tail=f"""SELECT station_id, station_name, {MEAN_ERROR_COLUMNS},
-                {r("avg(abs(lag_24 - pickups)) - avg(abs(lag_168 - pickups))")} AS last_week_improvement FROM test GROUP BY 1, 2""",
+                {r("avg(abs(lag_24 - pickups)) - avg(abs(lag_168 - pickups))")} AS last_week_improvement,
+                CASE WHEN avg(abs(lag_24 - pickups)) - avg(abs(lag_168 - pickups)) > 0 THEN 'better' ELSE 'worse' END AS last_week_is
+                FROM test GROUP BY 1, 2""",
         ),
     ),
     "top_entities_by_error": Query(

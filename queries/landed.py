@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import os
 import zipfile
+from contextlib import ExitStack
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,6 @@ from hourgrid.sources.weather import hourly_rows, read_responses, require_clean,
 from queries import base
 from queries.base import Query, r, rounded, table, with_ctes
 
-ARCHIVE_COLUMNS = ("ride_id", "started_at", "start_station_id", "start_station_name", "start_lat", "start_lng")
-
 
 def archive_rows(spark, sf_dir) -> DataFrame:
     """Events as trip lines. A trip belongs to the archive of the month the day before it lies in, so
@@ -42,44 +40,37 @@ def archive_rows(spark, sf_dir) -> DataFrame:
     )
 
 
-def write_archives(rows: DataFrame, folder: str, parts: int = 4) -> None:
-    """``parts`` tasks per month each stream their rows into the one member of their own archive."""
+def write_archives(rows: DataFrame, folder: str) -> None:
+    """Hash parts of every month, each streamed batch by batch into the one member of its own archive.
+
+    An archive appears under its name only when it is complete, and a retried task writes the same one.
+    """
 
     def write(batches):
         filesystem, path = open_filesystem(folder)
         filesystem.create_dir(path, recursive=True)
         task = TaskContext.get()
-        names = []
-        archive, opened, member = None, None, None
-
-        def close():
-            member.close()
-            opened[0].close()
-            opened[1].close()
-            filesystem.move(opened[2], opened[3])
-
-        for batch in batches:
-            for line in batch.to_pylist():
-                if line["archive"] != archive:
-                    if archive is not None:
-                        close()
-                    archive = line["archive"]
-                    final = f"{path}/{archive}-part{task.partitionId():05d}-tripdata.zip"
-                    draft = f"{final}.{task.taskAttemptId()}"
-                    raw = filesystem.open_output_stream(draft)
-                    zipped = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
-                    member = io.TextIOWrapper(zipped.open("TRIPS.CSV", "w", force_zip64=True), "utf-8", newline="")
-                    opened = (zipped, raw, draft, final)
-                    writer = csv.DictWriter(member, ARCHIVE_COLUMNS, extrasaction="ignore")
-                    writer.writeheader()
-                    names.append(os.path.basename(final))
-                writer.writerow(line)
-        if archive is not None:
-            close()
-        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
-
-    part = F.pmod(F.xxhash64("ride_id"), F.lit(parts))
-    placed = rows.repartition("archive", part).sortWithinPartitions("archive")
+        written = []
+        with ExitStack() as stack:
+            month, lines = None, None
+            for batch in batches:
+                for name in pc.unique(batch["archive"]).to_pylist():
+                    if name != month:
+                        stack.close()
+                        month = name
+                        final = f"{path}/{month}-part{task.partitionId():05d}-tripdata.zip"
+                        draft = f"{final}.{task.taskAttemptId()}"
+                        stack.push(lambda failed, *_: None if failed else filesystem.move(draft, final))
+                        raw = stack.enter_context(filesystem.open_output_stream(draft))
+                        zipped = stack.enter_context(zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED))
+                        member = stack.enter_context(zipped.open("TRIPS.CSV", "w", force_zip64=True))
+                        lines = stack.enter_context(pyarrow.csv.CSVWriter(member, batch.schema))
+                        written.append(final)
+                    lines.write(batch.filter(pc.equal(batch["archive"], name)))
+        yield pa.RecordBatch.from_pydict({"name": pa.array(written, pa.string())})
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition("archive", F.pmod(F.xxhash64("ride_id"), F.lit(parts))).sortWithinPartitions("archive")
     placed.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
