@@ -12,11 +12,14 @@ split gain, and a tree grows level by level (``max_depth`` 5 gives at most 32 le
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Estimator, Model
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -49,18 +52,28 @@ class PoissonTreesModel(Model):
         self.features = features
         self.prediction = prediction
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        """All trees score a row in one projection; nothing is shuffled."""
-        scored = dataset
-        eta = F.lit(self.base)
-        leaves = []
+    def _ensemble(self) -> GBTRegressionModel:
+        """The trees as one MLlib ensemble, through its public JVM constructor. Only its leaf column is
+        used: a row's leaf in every tree, from one expression."""
+        gateway = SparkContext.getOrCreate()._gateway
+        regression = gateway.jvm.org.apache.spark.ml.regression
+        trees = gateway.new_array(regression.DecisionTreeRegressionModel, len(self.steps))
+        weights = gateway.new_array(gateway.jvm.double, len(self.steps))
         for i, step in enumerate(self.steps):
-            leaf = f"_leaf_{i}"
-            tree = step.tree.copy().setFeaturesCol(self.features).setPredictionCol("").setLeafCol(leaf)
-            scored = tree.transform(scored)
-            eta = eta + step.increment(leaf)
-            leaves.append(leaf)
-        return scored.withColumn(self.prediction, _mean_of(eta)).drop(*leaves)
+            trees[i] = step.tree._java_obj
+            weights[i] = 1.0
+        ensemble = GBTRegressionModel(regression.GBTRegressionModel(self.uid, trees, weights))
+        return ensemble.setFeaturesCol(self.features).setPredictionCol("").setLeafCol("_leaves")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """All trees score a row in one projection whose size does not depend on their number."""
+        if not self.steps:
+            return dataset.withColumn(self.prediction, _mean_of(F.lit(self.base)))
+        leaves = vector_to_array(F.col("_leaves"))
+        values = F.from_json(F.lit(json.dumps([s.values for s in self.steps])), "array<array<double>>")
+        increments = F.zip_with(leaves, values, lambda leaf, of_tree: F.element_at(of_tree, leaf.cast("int") + 1))
+        eta = F.aggregate(increments, F.lit(self.base), lambda total, increment: total + increment)
+        return self._ensemble().transform(dataset).withColumn(self.prediction, _mean_of(eta)).drop("_leaves")
 
     def first(self, trees: int) -> PoissonTreesModel:
         """The model after its first ``trees`` steps."""

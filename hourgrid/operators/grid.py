@@ -19,11 +19,15 @@ def complete_hours(members: DataFrame, key: str, bounds: DataFrame, ts: str = "t
     """Every member at every hour of ``bounds``.
 
     The bounds reach the members as scalar subqueries and each member row unfolds its own hours: no
-    cross join, and the work is spread over the members instead of one row's explode.
+    cross join. The few member rows would sit in one partition and unfold in one task, so they are
+    spread first; a fixed number of partitions is not coalesced again.
     """
     first = bounds.select("first_hour").scalar()
     last = bounds.select("last_hour").scalar()
-    return members.select(key, F.explode(hour_steps(first, last)).alias(ts))
+    spark = members.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = members.select(key).repartition(tasks, key)
+    return spread.select(key, F.explode(hour_steps(first, last)).alias(ts))
 
 
 def dense_grid(hourly: DataFrame, members: DataFrame, key: str, value: str, ts: str = "timestamp") -> DataFrame:

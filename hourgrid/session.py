@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER_SETTING = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
@@ -37,19 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SHARED_FOLDER_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {SHARED_FOLDER_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="hourgrid-")
-    spark.conf.set(SHARED_FOLDER_SETTING, folder)
-    return folder
+    application = spark.conf.get("spark.app.id")
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="hourgrid-")
+    return _local_folders[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one staged table of this application."""
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
     Used where a result is read several times: the plan below runs once, later stages prune columns
@@ -57,8 +58,5 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     size when it decides about broadcasts.
     """
     path = new_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,12 +25,12 @@ BLOCK_BYTES = 8 << 20
 
 
 def open_filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """File system and path for a URI; a plain absolute path is the local or mounted file system."""
-    if "://" not in uri and not uri.startswith("file:"):
+    """File system and path for a URI as Spark writes it; a plain path is local or mounted everywhere."""
+    if uri.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" not in uri:
         return pyarrow.fs.LocalFileSystem(), uri
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:") :]
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def list_archives(location: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +14,13 @@ MONTH = "month_label"
 
 
 def require_input(spark: SparkSession, path: str, previous: str) -> None:
-    """Fail early, and name the stage that writes the missing input."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path):
-        raise FileNotFoundError(f"{path} not found; run the '{previous}' stage first")
+    """Fail early, and name the stage that writes the missing input. Lists the path, reads nothing."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"{path} not found; run the '{previous}' stage first") from error
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -103,7 +103,8 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense table of every station."""
     hourly = materialize(hourly_by_station(spark, sf_dir), "hourly")
-    return dense_grid(hourly, hourly.select("station_id").distinct(), "station_id", "pickups")
+    stations = materialize(hourly.select("station_id").distinct(), "stations")
+    return dense_grid(hourly, stations, "station_id", "pickups")
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:

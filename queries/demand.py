@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.time import first_hour_of_month, last_hour_of_month, month_label, naive, next_month_start
 from hourgrid.operators.counts import hourly_counts, sum_by
 from hourgrid.operators.joins import add_weather, join_checked, keep_listed, lookup
-from hourgrid.operators.quality import coverage_gaps, duplicate_keys, join_report, null_counts
+from hourgrid.operators.quality import coverage_gaps, density_gaps, duplicate_keys, join_report, null_counts
 from hourgrid.operators.ranking import require_selection, top_entities
 from hourgrid.plans.dataset import build_dataset, station_names
 from hourgrid.plans.features import add_calendar_features
@@ -147,6 +147,14 @@ QUERIES = {
            UNION ALL
            SELECT "timestamp", 'unexpected' FROM (SELECT * FROM actual EXCEPT SELECT * FROM expected)""",
     ),
+    "density_gaps": Query(
+        lambda spark, sf_dir: density_gaps(base.hourly_by_station(spark, sf_dir), "station_id"),
+        with_ctes(
+            "by_station",
+            tail="""SELECT station_id, count(*) AS "rows", date_diff('hour', min("timestamp"), max("timestamp")) + 1 AS hours
+                    FROM by_station GROUP BY 1 HAVING count(*) <> date_diff('hour', min("timestamp"), max("timestamp")) + 1""",
+        ),
+    ),
     "duplicate_keys": Query(
         duplicates,
         """SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events
