@@ -65,15 +65,18 @@ class PoissonTreesModel(Model):
         ensemble = GBTRegressionModel(regression.GBTRegressionModel(self.uid, trees, weights))
         return ensemble.setFeaturesCol(self.features).setPredictionCol("").setLeafCol("_leaves")
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        """All trees score a row in one projection whose size does not depend on their number."""
+    def with_eta(self, dataset: DataFrame, out: str) -> DataFrame:
+        """Add the sum of all steps; the plan does not grow with the number of trees."""
         if not self.steps:
-            return dataset.withColumn(self.prediction, _mean_of(F.lit(self.base)))
+            return dataset.withColumn(out, F.lit(self.base))
         leaves = vector_to_array(F.col("_leaves"))
         values = F.from_json(F.lit(json.dumps([s.values for s in self.steps])), "array<array<double>>")
         increments = F.zip_with(leaves, values, lambda leaf, of_tree: F.element_at(of_tree, leaf.cast("int") + 1))
         eta = F.aggregate(increments, F.lit(self.base), lambda total, increment: total + increment)
-        return self._ensemble().transform(dataset).withColumn(self.prediction, _mean_of(eta)).drop("_leaves")
+        return self._ensemble().transform(dataset).withColumn(out, eta).drop("_leaves")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.with_eta(dataset, "_eta").withColumn(self.prediction, _mean_of(F.col("_eta"))).drop("_eta")
 
     def first(self, trees: int) -> PoissonTreesModel:
         """The model after its first ``trees`` steps."""
@@ -140,11 +143,14 @@ class PoissonTrees(Estimator):
                 previous.unpersist()
             step = Step(tree, self._leaf_values(tree, weighted))
             steps.append(step)
-            scored = tree.transform(state).withColumn("eta", F.col("eta") + step.increment("leaf"))
-            previous, state = state, scored.select("features", "y", "eta")
-            # A lost executor replays at most the steps since the last written table.
-            if number % self.cut_lineage_every == 0 and number < self.trees:
-                state = materialize(state, "boosting")
+            previous = state
+            if number % self.cut_lineage_every:
+                scored = tree.transform(state).withColumn("eta", F.col("eta") + step.increment("leaf"))
+                state = scored.select("features", "y", "eta")
+            else:
+                # Start again from the written rows: the plan, and what a lost executor has to
+                # recompute, stay short.
+                state = PoissonTreesModel(base, steps, "features", "eta").with_eta(rows, "eta")
             state = state.persist(StorageLevel.MEMORY_AND_DISK)
         previous.unpersist()
         state.unpersist()

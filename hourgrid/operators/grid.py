@@ -33,11 +33,10 @@ def complete_hours(members: DataFrame, key: str, bounds: DataFrame, ts: str = "t
 def dense_grid(hourly: DataFrame, members: DataFrame, key: str, value: str, ts: str = "timestamp") -> DataFrame:
     """Total ``value`` for every member and hour, zero where nothing was counted.
 
-    Only the members' rows are summed. Bounds come from those rows over all months, so a station that
-    stops is zero-filled to the end.
+    ``hourly`` has the members' rows and no others. Bounds come from those rows over all months, so a
+    station that stops is zero-filled to the end.
     """
-    chosen = hourly.join(members.select(key), key, "left_semi")
-    skeleton = complete_hours(members, key, grid_bounds(chosen, ts), ts)
-    totals = chosen.groupBy(ts, key).agg(F.sum(value).alias(value))
+    skeleton = complete_hours(members, key, grid_bounds(hourly, ts), ts)
+    totals = hourly.groupBy(ts, key).agg(F.sum(value).alias(value))
     filled = skeleton.join(totals, [ts, key], "left")
     return filled.withColumn(value, F.coalesce(F.col(value), F.lit(0)).cast("int"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from hourgrid.functions.time import naive
 from hourgrid.operators.counts import hourly_counts, sum_by
 from hourgrid.operators.grid import dense_grid
-from hourgrid.operators.joins import lookup
+from hourgrid.operators.joins import keep_listed, lookup
 from hourgrid.operators.ranking import canonical_label, require_selection, top_entities
 from hourgrid.schemas import HOURLY_PICKUPS
 from hourgrid.session import materialize
@@ -41,8 +41,9 @@ def build_dataset(trips: DataFrame, cutoff: date, top_n: int = 25) -> DataFrame:
     """``timestamp, station_id, station_name, pickups`` for every selected station and hour."""
     hourly = named_hourly(trips)
     stations = select_stations(hourly, cutoff, top_n)
-    grid = dense_grid(hourly, stations, "station_id", "pickups")
-    return lookup(grid, station_names(hourly), "station_id").select(*HOURLY_PICKUPS.names)
+    chosen = keep_listed(hourly, stations, "station_id")
+    grid = dense_grid(chosen, stations, "station_id", "pickups")
+    return lookup(grid, station_names(chosen), "station_id").select(*HOURLY_PICKUPS.names)
 
 
 def ingest_trips(trips: DataFrame, path: str) -> None:
@@ -50,4 +51,4 @@ def ingest_trips(trips: DataFrame, path: str) -> None:
 
     Rows go to their month's partition straight from the reading task; no shuffle gathers a month.
     """
-    write_monthly(trips, path, "started_at")
+    write_monthly(trips, path, "started_at", rebalance=False)

@@ -31,9 +31,15 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_monthly(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """A table partitioned by the month of ``ts``, so that a time filter opens only its months."""
+def write_monthly(df: DataFrame, path: str, ts: str = "timestamp", rebalance: bool = True) -> None:
+    """A table partitioned by the month of ``ts``, so that a time filter opens only its months.
+
+    Rebalancing shuffles rows to their month and lets adaptive execution split large months and merge
+    small ones into files of the advisory size. Leave it out where tasks hold one month already.
+    """
     monthly = df.withColumn(MONTH, month_label(ts))
+    if rebalance:
+        monthly = monthly.hint("rebalance", F.col(MONTH))
     monthly.write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 

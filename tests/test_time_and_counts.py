@@ -7,6 +7,7 @@ from hourgrid.functions import errors
 from hourgrid.functions.time import add_calendar, first_hour_of_month, floor_hour, hour_calendar, last_hour_of_month, naive
 from hourgrid.operators.counts import blank_to_null, hourly_counts, sum_by, within_month
 from hourgrid.operators.grid import dense_grid
+from hourgrid.operators.joins import keep_listed
 from hourgrid.operators.quality import DataQualityError
 from hourgrid.operators.ranking import canonical_label, require_selection, top_entities
 from hourgrid.plans.dataset import build_dataset
@@ -94,7 +95,7 @@ def test_grid_is_complete_and_keeps_the_sum(spark):
         "timestamp timestamp_ntz, station_id string, pickups long",
     )
     members = spark.createDataFrame([("a",), ("b",)], "station_id string")
-    grid = dense_grid(hourly, members, "station_id", "pickups")
+    grid = dense_grid(keep_listed(hourly, members, "station_id"), members, "station_id", "pickups")
     facts = grid.agg(F.count("*"), F.sum("pickups"), F.min("timestamp"), F.max("timestamp"), F.count_distinct("timestamp", "station_id")).first()
     assert tuple(facts) == ((31 + 30) * 24 * 2, 6, datetime(2026, 3, 1), datetime(2026, 4, 30, 23), (31 + 30) * 24 * 2)
 
