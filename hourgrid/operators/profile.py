@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
-EDGES = 64
+DIRECT = 1_000_000
+PARTS = 64
 
 
 def profile(df: DataFrame, key: str = "station_id", value: str = "pickups", ts: str = "timestamp") -> DataFrame:
@@ -23,44 +25,68 @@ def profile(df: DataFrame, key: str = "station_id", value: str = "pickups", ts:
     )
 
 
+def values_at_ranks(counted: DataFrame, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at 0-based ranks of a sorted column that is given as distinct values ``v`` and counts ``n``.
+
+    A range of at most ``DIRECT`` distinct values is ranked in one task. A larger one is split at
+    approximate quantiles, the rows per part are counted, and only parts that hold a wanted rank are
+    looked at again. The approximation moves the cuts, never the result.
+    """
+    found: dict[int, float] = {}
+    pending = [(None, None, 0, sorted(set(ranks)))]
+    while pending:
+        above, upto, before, wanted = pending.pop()
+        part = counted
+        if above is not None:
+            part = part.where(F.col("v") > above)
+        if upto is not None:
+            part = part.where(F.col("v") <= upto)
+        if part.count() <= DIRECT:
+            last = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v")) + before
+            ranked = part.select("v", (last - F.col("n")).alias("first"), last.alias("last"))
+            here = [F.max(F.when((F.col("first") <= r) & (F.lit(r) < F.col("last")), F.col("v"))) for r in wanted]
+            found |= zip(wanted, ranked.agg(*here).first(), strict=True)
+            continue
+        cuts = sorted(set(part.approxQuantile("v", [i / PARTS for i in range(1, PARTS)], 0.005)))
+        which = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < F.col("v")))
+        sizes = dict(part.groupBy(which).agg(F.sum("n")).collect())
+        for i, (low, high) in enumerate(pairwise([above, *cuts, upto])):
+            size = sizes.get(i, 0)
+            inside = [r for r in wanted if before <= r < before + size]
+            if inside:
+                pending.append((low, high, before, inside))
+            before += size
+    return found
+
+
 def describe_exact(df: DataFrame, value: str = "pickups") -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles (linear interpolation), maximum; one row.
 
     The built-in ``percentile`` keeps every distinct value in one task. Here values collapse into
-    (value, count) first, approximate quantiles cut those into ranges, and running counts are kept per
-    range. Only the ranges' totals (at most ``EDGES``) reach the driver. The approximation moves the
-    cuts, never the result.
+    (value, count), which is written once; the quartiles are looked up in that.
     """
-    present = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v"))
+    number = F.col(value).cast("double")
+    present = df.where(number.isNotNull() & ~F.isnan(number)).groupBy(number.alias("v"))
     counted = materialize(present.agg(F.count("*").alias("n")), "histogram")
-    edges = sorted(set(counted.approxQuantile("v", [i / EDGES for i in range(1, EDGES)], 0.005)))
-    cuts = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
-    ranged = counted.withColumn("b", F.size(F.filter(cuts, lambda e: e < F.col("v"))))
-
-    totals = ranged.groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s")).orderBy("b").collect()
-    size = sum(row["n"] for row in totals)
-    mean = sum(row["s"] for row in totals) / size if size else None
-    before = {row["b"]: sum(r["n"] for r in totals if r["b"] < row["b"]) for row in totals}
-    offsets = F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(len(edges) + 1)])
-    in_range = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
-    ranked = ranged.select("v", "n", (F.element_at(offsets, F.col("b") + 1) + in_range).alias("upto"))
-
-    def at(rank: int) -> Column:
-        holds = (F.lit(rank) < F.col("upto")) & (F.lit(rank) >= F.col("upto") - F.col("n"))
-        return F.max(F.when(holds, F.col("v")))
-
-    def quantile(p: float) -> Column:
-        position = p * max(size - 1, 0)
-        low = int(position)
-        return at(low) + (at(min(low + 1, max(size - 1, 0))) - at(low)) * F.lit(position - low)
+    size, total = counted.agg(F.sum("n"), F.sum(F.col("n") * F.col("v"))).first()
+    size = size or 0
+    mean = total / size if size else None
+
+    positions = {p: p * max(size - 1, 0) for p in QUARTILES}
+    neighbours = {p: (int(at), min(int(at) + 1, max(size - 1, 0))) for p, at in positions.items()}
+    at_rank = values_at_ranks(counted, [rank for pair in neighbours.values() for rank in pair])
+
+    def quantile(p: float) -> float | None:
+        low, high = (at_rank[rank] for rank in neighbours[p])
+        return None if low is None else low + (high - low) * (positions[p] - int(positions[p]))
 
     deviation = F.col("v") - F.lit(mean).cast("double")
-    return ranked.agg(
+    return counted.agg(
         F.lit(size).cast("long").alias("count"),
         F.lit(mean).cast("double").alias("mean"),
         F.sqrt(F.try_divide(F.sum(F.col("n") * deviation * deviation), F.lit(size - 1))).alias("std"),
         F.min("v").alias("min"),
-        *[quantile(p).alias(f"p{int(p * 100)}") for p in QUARTILES],
+        *[F.lit(quantile(p)).cast("double").alias(f"p{int(p * 100)}") for p in QUARTILES],
         F.max("v").alias("max"),
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names of the trip files.
 TRIP_COLUMNS = ("started_at", "start_station_id", "start_station_name")
 POINT_COLUMNS = ("start_station_id", "start_station_name", "start_lat", "start_lng")
 
@@ -29,6 +30,7 @@ STATION_METADATA = T.StructType(
     ]
 )
 
+# The weather measures of every stage after the response.
 WEATHER_MEASURES = (
     "temperature_c",
     "apparent_temperature_c",
@@ -62,6 +64,7 @@ MISSING_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Names and parameters of the model features.
 CALENDAR_FEATURES = (
     "hour",
     "day_of_week",

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import fnmatch
 import posixpath
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.csv
 import pyarrow.fs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -99,5 +101,11 @@ class ZipCsvSource(DataSource):
         return ZipCsvReader(schema, self.options)
 
 
+def ship_with_tasks() -> None:
+    """Send this module's code along with the tasks: executors need pyarrow, not this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def register(spark: SparkSession) -> None:
+    ship_with_tasks()
     spark.dataSource.register(ZipCsvSource)

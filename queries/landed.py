@@ -17,7 +17,7 @@ from hourgrid.operators.spatial import points_in_polygons
 from hourgrid.operators.stations import station_metadata
 from hourgrid.schemas import HOURLY_PICKUPS, OBSERVED_WEATHER_NAMES
 from hourgrid.session import new_path
-from hourgrid.sources.archives import open_filesystem
+from hourgrid.sources.archives import open_filesystem, ship_with_tasks
 from hourgrid.sources.geojson import read_geojson
 from hourgrid.sources.tables import read_monthly, read_months, write_monthly
 from hourgrid.sources.trips import read_station_points, read_trips
@@ -69,6 +69,7 @@ def write_archives(rows: DataFrame, folder: str) -> None:
                     lines.write(batch.filter(pc.equal(batch["archive"], name)))
         yield pa.RecordBatch.from_pydict({"name": pa.array(written, pa.string())})
 
+    ship_with_tasks()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartition("archive", F.pmod(F.xxhash64("ride_id"), F.lit(parts))).sortWithinPartitions("archive")
     placed.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
