@@ -9,6 +9,7 @@ rerun after a lost executor pairs the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.ml import PipelineModel
@@ -37,19 +38,23 @@ def with_position(rows: DataFrame, keys: Sequence[str], salt: int, buckets: int,
     return bucketed.withColumn(out, position).drop("_hash", "_bucket")
 
 
-def permuted_features(rows: DataFrame, features: Sequence[str], keys: Sequence[str], repeats: int, seed: int, buckets: int) -> DataFrame:
+def permuted_features(
+    rows: DataFrame, features: Sequence[str], keys: Sequence[str], repeats: int, seed: int, buckets: int
+) -> DataFrame:
     """Every row once per (feature, repeat), with that feature's value taken from the row's donor.
 
     ``rows`` has the keys, the features and whatever else the caller needs; all other values stay. Within
     a repeat every feature uses the same pairing.
     """
     receivers = with_position(rows, keys, seed, buckets, "_position")
-    donors = None
-    for repeat in range(1, repeats + 1):
-        shuffled = with_position(rows.select(*keys, *[f for f in features if f not in keys]), keys, seed + repeat, buckets, "_position")
-        donor = shuffled.select("_position", F.lit(repeat).alias("repeat"), F.struct(*features).alias("_donor"))
-        donors = donor if donors is None else donors.unionByName(donor)
-    paired = receivers.join(donors, "_position").drop("_position")
+    values = rows.select(*keys, *[f for f in features if f not in keys])
+
+    def donors(repeat: int) -> DataFrame:
+        shuffled = with_position(values, keys, seed + repeat, buckets, "_position")
+        return shuffled.select("_position", F.lit(repeat).alias("repeat"), F.struct(*features).alias("_donor"))
+
+    of_all_repeats = reduce(DataFrame.unionByName, map(donors, range(1, repeats + 1)))
+    paired = receivers.join(of_all_repeats, "_position").drop("_position")
     unfolded = paired.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     swapped = {
         f: F.when(F.col("feature") == f, F.col(f"_donor.{f}")).otherwise(F.col(f)) for f in features
@@ -76,8 +81,9 @@ def permutation_importance(
     buckets = max(8, size // rows_per_bucket)
     # The keys identify a row even where a feature that is also a key has been swapped.
     shuffled = permuted_features(rows, features, keys, repeats, seed, buckets)
-    scores = add_predictions(shuffled, model).groupBy("feature", "repeat").agg((mae(y, p) - F.lit(base)).alias("increase"))
-    return scores.groupBy("feature").agg(
+    scored = add_predictions(shuffled, model).groupBy("feature", "repeat")
+    increases = scored.agg((mae(y, p) - F.lit(base)).alias("increase"))
+    return increases.groupBy("feature").agg(
         F.avg("increase").alias("MAE_increase"), F.stddev_pop("increase").alias("importance_std")
     )
 

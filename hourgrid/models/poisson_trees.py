@@ -136,7 +136,8 @@ class PoissonTrees(Estimator):
         state = rows.withColumn("eta", F.lit(base)).persist(StorageLevel.MEMORY_AND_DISK)
         previous = None
         for number in range(1, self.trees + 1):
-            weighted = state.withColumn("mu", _mean_of(F.col("eta"))).withColumn("target", (F.col("y") - F.col("mu")) / F.col("mu"))
+            weighted = state.withColumn("mu", _mean_of(F.col("eta")))
+            weighted = weighted.withColumn("target", (F.col("y") - F.col("mu")) / F.col("mu"))
             tree = learner.fit(weighted)
             # Fitting has filled the cache of this state; the one it was computed from can go.
             if previous is not None:

@@ -26,7 +26,9 @@ def trailing_split(df: DataFrame, days: int, ts: str = "timestamp") -> tuple[Dat
     return df.where(F.col(ts) < start), df.where(F.col(ts) >= start)
 
 
-def fixed_test(df: DataFrame, start: date, end: date, expected_rows: int | None = None, ts: str = "timestamp") -> DataFrame:
+def fixed_test(
+    df: DataFrame, start: date, end: date, expected_rows: int | None = None, ts: str = "timestamp"
+) -> DataFrame:
     """The locked test period ``[start, end)``, optionally with an exact row count."""
     test = between_times(df, ts, naive(start), naive(end))
     if expected_rows is not None:
@@ -34,7 +36,9 @@ def fixed_test(df: DataFrame, start: date, end: date, expected_rows: int | None
     return test
 
 
-def metrics_by_model(df: DataFrame, predictions: Mapping[str, str], actual: str = "pickups", keys: Sequence[str] = ()) -> DataFrame:
+def metrics_by_model(
+    df: DataFrame, predictions: Mapping[str, str], actual: str = "pickups", keys: Sequence[str] = ()
+) -> DataFrame:
     """MAE and RMSE of every prediction column, one row per model (and key).
 
     All models come out of one aggregation over the rows as they are; only its result, one row per
@@ -52,7 +56,9 @@ def metrics_by_model(df: DataFrame, predictions: Mapping[str, str], actual: str
     return wide.select(*keys, F.inline(F.array(*rows)))
 
 
-def assign_folds(df: DataFrame, starts: Sequence[date], days: int, ts: str = "timestamp", out: str = "validation_week") -> DataFrame:
+def assign_folds(
+    df: DataFrame, starts: Sequence[date], days: int, ts: str = "timestamp", out: str = "validation_week"
+) -> DataFrame:
     """Each row once per validation period it falls in; periods may overlap.
 
     The few periods are literals, so the range condition is a projection and not a nested-loop join.
@@ -82,8 +88,8 @@ def summarize_folds(results: DataFrame) -> DataFrame:
 def best_other(summary: DataFrame, excluded: str) -> DataFrame:
     """The model with the lowest mean MAE apart from ``excluded``; equal errors give the lower name."""
     others = summary.where(F.col("model") != excluded)
-    best = F.min(F.struct("mean_MAE", "model"))
-    return others.agg(best.alias("b")).select(F.col("b.model").alias("best_model"), F.col("b.mean_MAE").alias("best_MAE"))
+    best = others.agg(F.min(F.struct("mean_MAE", "model")).alias("b"))
+    return best.select(F.col("b.model").alias("best_model"), F.col("b.mean_MAE").alias("best_MAE"))
 
 
 def improvement_over_best(summary: DataFrame, candidate: str) -> DataFrame:

@@ -18,7 +18,9 @@ from hourgrid.schemas import WEATHER_MEASURES
 CONTRACTS = ("many_to_one", "one_to_one")
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
+def join_checked(
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", validate: str = "many_to_one"
+) -> DataFrame:
     """Join on ``on`` and fail the job if a side that must be unique on it is not."""
     if validate not in CONTRACTS:
         raise ValueError(f"validate must be one of {CONTRACTS}")

@@ -19,7 +19,9 @@ def canonical_label(df: DataFrame, key: str, label: str, weight: str, carry: tup
     return best.select(key, f"_best.{label}", *[f"_best.{c}" for c in carry])
 
 
-def top_entities(hourly: DataFrame, key: str, value: str, n: int, ts: str = "timestamp", cutoff: Column | None = None) -> DataFrame:
+def top_entities(
+    hourly: DataFrame, key: str, value: str, n: int, ts: str = "timestamp", cutoff: Column | None = None
+) -> DataFrame:
     """The ``n`` keys with the highest total before ``cutoff``; equal totals favour the lower key.
 
     Only rows before the cutoff count, so demand of the evaluation period cannot choose its own stations.

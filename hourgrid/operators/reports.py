@@ -60,7 +60,9 @@ def errors_by_day_with_weather(frame: DataFrame, ts: str = "timestamp") -> DataF
     return daily.join(daily_weather_of(frame, ts), "date")
 
 
-def mean_errors_by(df: DataFrame, keys: Sequence[str], predictions: Mapping[str, str], actual: str = "pickups") -> DataFrame:
+def mean_errors_by(
+    df: DataFrame, keys: Sequence[str], predictions: Mapping[str, str], actual: str = "pickups"
+) -> DataFrame:
     """Mean absolute error of several prediction columns side by side, with the group's demand."""
     y = F.col(actual)
     columns = [errors.mae(y, F.col(c)).alias(f"{label}_mae") for label, c in predictions.items()]

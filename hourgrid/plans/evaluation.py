@@ -59,7 +59,8 @@ def run_backtest(
     for start in starts:
         validation = fixed_test(features, start, start + timedelta(days=days))
         scored = predict_all(validation, [models[start, name] for name in configurations])
-        folds.append(metrics_by_model(scored, _columns(configurations)).select(F.lit(start).alias("validation_week"), "*"))
+        metrics = metrics_by_model(scored, _columns(configurations))
+        folds.append(metrics.select(F.lit(start).alias("validation_week"), "*"))
     return reduce(DataFrame.unionByName, folds)
 
 

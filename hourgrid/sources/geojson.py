@@ -18,11 +18,12 @@ def read_geojson(spark: SparkSession, path: str, properties: Sequence[str], one_
     Spark can split.
     """
     fields = ", ".join(f"{p}: string" for p in properties)
-    schema = f"features array<struct<properties: struct<{fields}>, geometry: struct<type: string, coordinates: string>>>"
+    geometry = "struct<type: string, coordinates: string>"
+    schema = f"features array<struct<properties: struct<{fields}>, geometry: {geometry}>>"
     documents = spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
     feature = documents.select(F.explode("features").alias("f"))
     coordinates = F.col("f.geometry.coordinates")
-    geometry = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(coordinates, MULTI_POLYGON)).when(
+    polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(coordinates, MULTI_POLYGON)).when(
         F.col("f.geometry.type") == "Polygon", F.array(F.from_json(coordinates, POLYGON))
     )
-    return feature.select(*[F.col(f"f.properties.{p}").alias(p) for p in properties], geometry.alias("geometry"))
+    return feature.select(*[F.col(f"f.properties.{p}").alias(p) for p in properties], polygons.alias("geometry"))

@@ -47,7 +47,9 @@ def read_monthly(spark: SparkSession, path: str, schema: T.StructType = HOURLY_P
     return _monthly(spark, path, schema).drop(MONTH)
 
 
-def read_months(spark: SparkSession, path: str, first: str, last: str, schema: T.StructType = HOURLY_PICKUPS) -> DataFrame:
+def read_months(
+    spark: SparkSession, path: str, first: str, last: str, schema: T.StructType = HOURLY_PICKUPS
+) -> DataFrame:
     """Months ``first`` to ``last`` (``YYYY-MM``), pruned at the partition level."""
     return _monthly(spark, path, schema).where(F.col(MONTH).between(first, last)).drop(MONTH)
 

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourgrid.operators.quality import DataQualityError, duplicate_keys, require_complete_hours, require_empty, require_no_nulls
+from hourgrid.operators.quality import (
+    DataQualityError,
+    duplicate_keys,
+    require_complete_hours,
+    require_empty,
+    require_no_nulls,
+)
 
 
 def response_schema(names: Mapping[str, str]) -> T.StructType:

@@ -35,7 +35,8 @@ def month_bounds(spark, sf_dir) -> DataFrame:
 
 
 def top_stations(spark, sf_dir) -> DataFrame:
-    selected = top_entities(base.hourly_by_station(spark, sf_dir), "station_id", "pickups", base.TOP_N, cutoff=naive(base.CUTOFF))
+    hourly = base.hourly_by_station(spark, sf_dir)
+    selected = top_entities(hourly, "station_id", "pickups", base.TOP_N, cutoff=naive(base.CUTOFF))
     require_selection(selected, base.TOP_N)
     return selected
 
@@ -47,7 +48,8 @@ def coverage(spark, sf_dir) -> DataFrame:
 
 
 def duplicates(spark, sf_dir) -> DataFrame:
-    return duplicate_keys(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).select("user_id", "event_type", "day"), ["user_id", "event_type", "day"])
+    daily = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return duplicate_keys(daily, ["user_id", "event_type", "day"])
 
 
 def nulls(spark, sf_dir) -> DataFrame:
@@ -141,7 +143,8 @@ QUERIES = {
     "dense_grid_all": Query(base.grid_of_all, with_ctes("grid_all", tail="SELECT * FROM grid_all")),
     "coverage_gaps": Query(
         coverage,
-        """WITH expected AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS "timestamp"),
+        """WITH expected AS (
+             SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS "timestamp"),
            actual AS (SELECT DISTINCT date_trunc('hour', ts) AS "timestamp" FROM events)
            SELECT "timestamp", 'missing' AS problem FROM (SELECT * FROM expected EXCEPT SELECT * FROM actual)
            UNION ALL

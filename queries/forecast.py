@@ -47,11 +47,12 @@ def baseline_eval(spark, sf_dir) -> DataFrame:
 def holdout_sizes(spark, sf_dir) -> DataFrame:
     """Rows and bounds of both sides of the trailing split."""
     train, test = trailing_split(base.grid(spark, sf_dir), 7)
-    sides = [
-        side.agg(F.min("timestamp").alias("first_hour"), F.max("timestamp").alias("last_hour"), F.count("*").alias("rows")).select(F.lit(name).alias("part"), "*")
-        for name, side in (("train", train), ("test", test))
-    ]
-    return sides[0].unionByName(sides[1])
+    first, last = F.min("timestamp").alias("first_hour"), F.max("timestamp").alias("last_hour")
+
+    def measured(side: DataFrame, name: str) -> DataFrame:
+        return side.agg(first, last, F.count("*").alias("rows")).select(F.lit(name).alias("part"), "*")
+
+    return measured(train, "train").unionByName(measured(test, "test"))
 
 
 def fold_metrics(spark, sf_dir) -> DataFrame:

@@ -13,6 +13,7 @@ from hourgrid.operators.counts import between_times, hourly_counts
 from hourgrid.operators.evaluation import assign_folds, metrics_by_model
 from hourgrid.operators.grid import dense_grid
 from hourgrid.operators.history import add_history
+from hourgrid.operators.joins import join_checked
 from hourgrid.operators.ranking import canonical_label, top_entities
 from hourgrid.schemas import BASELINES
 from tests.helpers import dense
@@ -87,3 +88,16 @@ def test_no_local_checkpoint_and_no_broadcast_hints():
     for path in [*ROOT.glob("hourgrid/**/*.py"), *ROOT.glob("queries/*.py")]:
         source = path.read_text()
         assert "localCheckpoint(" not in source and "broadcast(" not in source and "crossJoin(" not in source, path
+
+
+def test_checked_join_adds_no_shuffle_of_its_own(spark):
+    left, _ = dense(spark, 2, 24)
+    right = left.groupBy("station_id").agg(F.max("station_name").alias("other"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = plan(join_checked(left, right, "station_id"))
+        plain = plan(left.join(right, "station_id", "left"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert joined.count("Exchange") == plain.count("Exchange") == 2
