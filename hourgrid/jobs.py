@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hourgrid.functions.time import naive
 from hourgrid.models.configurations import CONFIGURATIONS, FORECAST_FEATURES, demand_pipeline
@@ -17,8 +18,19 @@ from hourgrid.models.importance import permutation_importance
 from hourgrid.operators.counts import sum_by
 from hourgrid.operators.evaluation import fixed_test, improvement_over_best, summarize_folds
 from hourgrid.operators.joins import join_checked
-from hourgrid.operators.profile import area_summary, profile
+from hourgrid.operators.profile import area_summary, daily_demand, daily_weather, describe_exact, hourly_profile, profile
 from hourgrid.operators.quality import require_columns
+from hourgrid.operators.reports import (
+    active,
+    error_by,
+    error_frame,
+    errors_by_day_with_weather,
+    inactive,
+    largest_misses,
+    misses_by_direction,
+    misses_by_hour,
+    monthly_activity,
+)
 from hourgrid.operators.spatial import points_in_polygons
 from hourgrid.operators.stations import station_metadata
 from hourgrid.plans.dataset import build_dataset, ingest_trips
@@ -27,7 +39,7 @@ from hourgrid.plans.features import build_features
 from hourgrid.schemas import DAY_AHEAD_WEATHER_NAMES, OBSERVED_WEATHER_NAMES, TRIP_COLUMNS
 from hourgrid.session import materialize
 from hourgrid.sources.geojson import read_geojson
-from hourgrid.sources.tables import read_monthly, read_table, require_input, write_monthly, write_table
+from hourgrid.sources.tables import read_monthly, read_months, read_table, require_input, write_monthly, write_table
 from hourgrid.sources.trips import read_station_points, read_trips
 from hourgrid.sources.weather import read_weather
 
@@ -67,11 +79,53 @@ def baseline(spark: SparkSession, args: argparse.Namespace) -> None:
     evaluate_baselines(read_monthly(spark, args.pickups), args.test_days).show(truncate=False)
 
 
-def neighborhoods(spark: SparkSession, args: argparse.Namespace) -> None:
+def _chosen_months(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     require_input(spark, args.pickups, "dataset")
+    return read_months(spark, args.pickups, *args.months) if args.months else read_monthly(spark, args.pickups)
+
+
+def explore(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Profile, distribution, daily cycle, station totals and daily weather of some months."""
+    require_input(spark, args.weather, "weather")
+    pickups = _chosen_months(spark, args)
+    daily = join_checked(daily_demand(pickups), daily_weather(read_table(spark, args.weather)), "date", "inner", "one_to_one")
+    reports = {
+        "profile": profile(pickups),
+        "describe": describe_exact(pickups),
+        "hourly_profile": hourly_profile(pickups).orderBy("hour"),
+        "station_totals": sum_by(pickups, ["station_id", "station_name"]).orderBy("pickups"),
+        "daily": daily.orderBy("date"),
+    }
+    for name, report in reports.items():
+        write_table(report, f"{args.out}/{name}")
+
+
+def errors(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Where one model misses on the final test: by day, hour and station, and its largest misses."""
+    require_input(spark, args.predictions, "evaluate")
+    require_input(spark, args.features, "features")
+    kept = ["timestamp", "station_id", "station_name", "pickups", "hour", "temperature_c", "precipitation_mm", "is_precipitating"]
+    frame = materialize(error_frame(read_table(spark, args.predictions), args.model, kept), "errors")
+    stations = materialize(error_by(frame, ["station_id", "station_name"]), "station_errors")
+    misses = materialize(largest_misses(frame), "misses")
+    reports = {
+        "by_day": errors_by_day_with_weather(frame).orderBy("date"),
+        "by_hour": error_by(frame, ["hour"]).orderBy("hour"),
+        "by_station": stations.orderBy(F.desc("mae")),
+        "active_stations": active(stations).orderBy(F.desc("mae")),
+        "inactive_months": monthly_activity(read_table(spark, args.features), inactive(stations)),
+        "largest_misses": misses.orderBy(F.desc("absolute_error"), "timestamp", "station_id"),
+        "misses_by_direction": misses_by_direction(misses),
+        "misses_by_hour": misses_by_hour(misses),
+    }
+    for name, report in reports.items():
+        write_table(report, f"{args.out}/{name}")
+
+
+def neighborhoods(spark: SparkSession, args: argparse.Namespace) -> None:
     require_input(spark, args.stations, "stations")
     require_input(spark, args.polygons, "landing the polygon file")
-    totals = sum_by(read_monthly(spark, args.pickups), ["station_id", "station_name"])
+    totals = sum_by(_chosen_months(spark, args), ["station_id", "station_name"])
     places = read_table(spark, args.stations).select("station_id", "latitude", "longitude")
     located = join_checked(totals, places, "station_id", "left", "one_to_one")
     polygons = read_geojson(spark, args.polygons, ["boroname", "ntaname"])
@@ -129,7 +183,9 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--last", type=datetime.fromisoformat, required=True)
     stage(features, "pickups", "weather", "out")
     stage(baseline, "pickups").add_argument("--test-days", type=int, default=7)
-    stage(neighborhoods, "pickups", "stations", "polygons", "out")
+    for sub in (stage(explore, "pickups", "weather", "out"), stage(neighborhoods, "pickups", "stations", "polygons", "out")):
+        sub.add_argument("--months", nargs=2, metavar=("FIRST", "LAST"), help="months to read, as YYYY-MM")
+    stage(errors, "predictions", "features", "out").add_argument("--model", default="gradient_boosting_weather")
     for run in (evaluate, importance):
         sub = stage(run, "features", "out")
         sub.add_argument("--test-start", type=date.fromisoformat, required=True)

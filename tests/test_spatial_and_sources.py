@@ -118,6 +118,13 @@ def test_station_points_from_archives(spark, archives, rows):
     assert found[1][2:] == pytest.approx(((40.0 + 40.2 + 40.4) / 3, -(73.0 + 73.2 + 73.4) / 3))
 
 
+def test_csv_files_with_different_headers_fail(spark, tmp_path):
+    (tmp_path / "202601-a.csv").write_text(HEADER + "1,2026-01-01 00:10:00,5,x,1,2\n" * 50)
+    (tmp_path / "202601-b.csv").write_text("ride_id,start_station_id,started_at,start_station_name,start_lat,start_lng\n1,5,2026-01-01 00:10:00,x,1,2\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_trips(spark, str(tmp_path), zipped=False).collect()
+
+
 def test_extracted_csv_files(spark, tmp_path, rows):
     (tmp_path / "202601-part.csv").write_text(HEADER + "1,2026-01-01 00:10:00,5329.10,\"a, b\",1,2\n2,2026-03-01 00:10:00,5,x,1,2\n")
     assert rows(read_trips(spark, str(tmp_path), zipped=False)) == [(datetime(2026, 1, 1, 0, 10), "5329.10", "a, b")]
@@ -220,5 +227,11 @@ def test_stages_end_to_end(spark, tmp_path, capsys):
     final = spark.read.parquet(str(tmp_path / "eval" / "final_test"))
     assert {r["model"] for r in final.collect()} == {"yesterday", "last_week", "gradient_boosting", "gradient_boosting_weather"}
     assert spark.read.parquet(str(tmp_path / "eval" / "folds")).count() == 2 * 4
+    jobs.main(["errors", "--predictions", str(tmp_path / "eval" / "predictions"), "--features", out["features"], "--out", str(tmp_path / "errors")])
+    counts = {n: spark.read.parquet(str(tmp_path / "errors" / n)).count() for n in ("by_day", "by_hour", "by_station", "largest_misses", "inactive_months")}
+    assert counts == {"by_day": 4, "by_hour": 24, "by_station": 2, "largest_misses": 20, "inactive_months": 0}
+    jobs.main(["explore", "--pickups", out["pickups"], "--weather", out["weather"], "--months", "2026-01", "2026-01", "--out", str(tmp_path / "eda")])
+    assert spark.read.parquet(str(tmp_path / "eda" / "describe")).first()["count"] == 2 * 744
+    assert spark.read.parquet(str(tmp_path / "eda" / "daily")).count() == 31
     jobs.main(["importance", "--features", out["features"], "--out", str(tmp_path / "imp"), "--test-start", "2026-01-28", "--test-end", "2026-02-01", "--trees", "2", "--repeats", "2"])
     assert spark.read.parquet(str(tmp_path / "imp")).count() == 22
