@@ -22,18 +22,23 @@ CONFIGURATIONS = {
 }
 
 
+def station_encoder(index: str, one_hot: str) -> list[StringIndexer | OneHotEncoder]:
+    """One column per station seen in training; a station not seen there gets all zeros."""
+    return [
+        StringIndexer(inputCol=CATEGORICAL_FEATURE, outputCol=index, handleInvalid="keep"),
+        OneHotEncoder(inputCol=index, outputCol=one_hot, dropLast=True),
+    ]
+
+
 def demand_pipeline(features: Sequence[str], prediction: str, label: str = "pickups", **boosting) -> Pipeline:
-    """One-hot station (an unknown one gets all zeros), every other feature as a number, boosted trees."""
+    """One-hot station, every other feature as a number, boosted trees."""
     numeric = [f for f in features if f != CATEGORICAL_FEATURE]
     vector = f"_{prediction}_features"
     stages = []
     inputs = list(numeric)
     if CATEGORICAL_FEATURE in features:
         index, one_hot = f"_{prediction}_index", f"_{prediction}_onehot"
-        stages += [
-            StringIndexer(inputCol=CATEGORICAL_FEATURE, outputCol=index, handleInvalid="keep"),
-            OneHotEncoder(inputCol=index, outputCol=one_hot, dropLast=True),
-        ]
+        stages += station_encoder(index, one_hot)
         inputs.insert(0, one_hot)
     stages += [
         VectorAssembler(inputCols=inputs, outputCol=vector),

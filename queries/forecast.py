@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.models.configurations import BASE_FEATURES, CONFIGURATIONS, FORECAST_FEATURES, add_predictions, demand_pipeline
+from hourgrid.models.configurations import (
+    BASE_FEATURES,
+    CONFIGURATIONS,
+    FORECAST_FEATURES,
+    add_predictions,
+    demand_pipeline,
+    station_encoder,
+)
 from hourgrid.models.importance import permutation_importance, permuted_features, top_features
 from hourgrid.functions.time import naive
 from hourgrid.operators.evaluation import (
@@ -83,6 +92,16 @@ def poisson_backtest(spark, sf_dir) -> DataFrame:
     return rounded(improvement_over_best(summarize_folds(results), "gradient_boosting_weather"))
 
 
+def one_hot(spark, sf_dir) -> DataFrame:
+    """The encoder learns the selected stations and meets all of them."""
+    selected = base.grid(spark, sf_dir).select("station_id").distinct()
+    encoder = Pipeline(stages=station_encoder("index", "encoded")).fit(selected)
+    encoded = encoder.transform(base.station_totals(spark, sf_dir)).withColumn("values", vector_to_array("encoded"))
+    return encoded.select(
+        "station_id", F.size("values").alias("width"), F.aggregate("values", F.lit(0.0), lambda a, b: a + b).alias("hits")
+    )
+
+
 def _fitted(features: DataFrame, columns, trees: int):
     train = features.where(F.col("timestamp") < naive(base.TEST_START))
     return demand_pipeline(columns, "prediction", trees=trees).fit(train)
@@ -204,6 +223,16 @@ QUERIES = {
                      {r("sqrt(avg((lag_168 - pickups) * (lag_168 - pickups)))")} FROM test""",
         ),
     ),
+    "one_hot_station": Query(
+        one_hot,
+        with_ctes(
+            "by_station",
+            "top",
+            tail="""SELECT station_id, CAST((SELECT count(*) FROM top) AS INTEGER) AS width,
+                    CAST(max(station_id IN (SELECT station_id FROM top)) AS DOUBLE) AS hits
+                    FROM by_station GROUP BY station_id""",
+        ),
+    ),
     "permuted_features": Query(permuted_totals, _permuted_sql()),
     "poisson_boost_eval": Query(poisson_eval),
     "poisson_boost_backtest": Query(poisson_backtest),

@@ -70,7 +70,7 @@ def write_archives(rows: DataFrame, folder: str) -> None:
         yield pa.RecordBatch.from_pydict({"name": pa.array(written, pa.string())})
 
     ship_with_tasks()
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.sparkSession.sparkContext.defaultParallelism
     placed = rows.repartition("archive", F.pmod(F.xxhash64("ride_id"), F.lit(parts))).sortWithinPartitions("archive")
     placed.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 

@@ -1,4 +1,5 @@
 import math
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -7,7 +8,13 @@ from pyspark.sql import functions as F
 
 from hourgrid.models.configurations import BASE_FEATURES, FORECAST_FEATURES, add_predictions, demand_pipeline, predict_all, train_models
 from hourgrid.models.importance import permutation_importance, permuted_features, top_features, with_position
+from hourgrid.functions.time import naive
 from hourgrid.models.poisson_trees import PoissonTrees, mean_poisson_deviance
+from hourgrid.operators.quality import DataQualityError
+from hourgrid.plans.evaluation import run_backtest, run_final_test
+from hourgrid.plans.features import build_features
+from hourgrid.session import materialize
+from tests.helpers import dense, weather_for
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +123,58 @@ def test_importance_ranks_the_real_features(training):
     assert by_name["a"]["MAE_increase"] > by_name["b"]["MAE_increase"] > abs(by_name["noise"]["MAE_increase"])
     assert by_name["a"]["importance_std"] >= 0
     assert [r["feature"] for r in top_features(found, 2).collect()] == ["b", "a"]
+
+
+def pandas_metrics(rows, predictions):
+    pdf = rows.toPandas()
+    return {
+        label: pytest.approx((np.abs(pdf[c] - pdf["pickups"]).mean(), np.sqrt(((pdf[c] - pdf["pickups"]) ** 2).mean())))
+        for label, c in predictions.items()
+    }
+
+
+@pytest.fixture(scope="module")
+def features(spark):
+    df, _ = dense(spark, 3, 24 * 24)
+    return materialize(build_features(df, weather_for(spark, "2024-01-01", 24 * 24)), "features").cache()
+
+
+SMALL = {"small": ("station_id", "hour", "lag_24"), "large": ("station_id", "hour", "lag_24", "lag_168", "temperature_c")}
+
+
+def test_final_test_metrics_are_those_of_the_scored_rows(features):
+    metrics, scored = run_final_test(features, date(2024, 1, 21), date(2024, 1, 24), 3 * 3 * 24, SMALL, trees=3)
+    got = {r["model"]: (r["MAE"], r["RMSE"]) for r in metrics.collect()}
+    assert got == pandas_metrics(scored, {"yesterday": "lag_24", "last_week": "lag_168", "small": "small", "large": "large"})
+    assert scored.agg(F.min("timestamp"), F.max("timestamp")).first() == (datetime(2024, 1, 21), datetime(2024, 1, 23, 23))
+    with pytest.raises(DataQualityError, match="final test: expected 5"):
+        run_final_test(features, date(2024, 1, 21), date(2024, 1, 24), 5, SMALL, trees=1)
+
+
+def test_backtest_trains_on_earlier_rows_only(features):
+    starts = [date(2024, 1, 18), date(2024, 1, 20)]
+    got = {(r["validation_week"], r["model"]): (r["MAE"], r["RMSE"]) for r in run_backtest(features, starts, 2, {"small": SMALL["small"]}, trees=2).collect()}
+    assert len(got) == 2 * 3
+    for start in starts:
+        first, last = naive(start), naive(start + timedelta(days=2))
+        by_hand = demand_pipeline(SMALL["small"], "small", trees=2).fit(features.where(F.col("timestamp") < first))
+        scored = add_predictions(features.where((F.col("timestamp") >= first) & (F.col("timestamp") < last)), by_hand)
+        want = pandas_metrics(scored, {"yesterday": "lag_24", "last_week": "lag_168", "small": "small"})
+        assert {m: got[start, m] for m in want} == want
+
+
+def test_importance_equals_scoring_every_shuffle_by_hand(training):
+    columns = ["a", "b"]
+    model = demand_pipeline(columns, "prediction", trees=4, learning_rate=0.3).fit(training)
+
+    def mae(df):
+        pdf = add_predictions(df, model).toPandas()
+        return np.abs(pdf["prediction"] - pdf["pickups"]).mean()
+
+    rows = training.select("id", "a", "b", "pickups")
+    shuffled = permuted_features(rows, columns, ["id"], 2, 42, 8).cache()
+    found = {r["feature"]: r for r in permutation_importance(model, training, columns, keys=["id"], repeats=2).collect()}
+    for f in columns:
+        gains = [mae(shuffled.where((F.col("feature") == f) & (F.col("repeat") == k))) - mae(rows) for k in (1, 2)]
+        assert found[f]["MAE_increase"] == pytest.approx(np.mean(gains))
+        assert found[f]["importance_std"] == pytest.approx(np.std(gains), abs=1e-12)
