@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from hourgrid.functions import errors
 from hourgrid.functions.time import naive
 from hourgrid.operators.counts import between_times
-from hourgrid.operators.quality import require_rows
+from hourgrid.operators.quality import DataQualityError, require_rows
 
 
-def trailing_start(df: DataFrame, days: int, ts: str = "timestamp") -> Column:
-    """Midnight ``days - 1`` days before the day of the latest row, as a scalar subquery."""
-    latest = df.agg(F.max(ts).alias("latest"))
-    return latest.select(F.date_sub(F.to_date("latest"), days - 1).cast("timestamp_ntz")).scalar()
+def trailing_start(df: DataFrame, days: int, ts: str = "timestamp") -> date:
+    """The day that begins the last ``days`` calendar days of the data.
+
+    One value is read now, so that the split is a literal and the scan skips what lies outside.
+    """
+    latest = df.agg(F.to_date(F.max(ts))).first()[0]
+    if latest is None:
+        raise DataQualityError("no rows to hold out")
+    return latest - timedelta(days=days - 1)
 
 
 def trailing_split(df: DataFrame, days: int, ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
     """Rows before, and rows of, the last ``days`` calendar days of the data."""
-    start = trailing_start(df, days, ts)
+    start = naive(trailing_start(df, days, ts))
     return df.where(F.col(ts) < start), df.where(F.col(ts) >= start)
 
 
@@ -93,7 +98,10 @@ def best_other(summary: DataFrame, excluded: str) -> DataFrame:
 
 
 def improvement_over_best(summary: DataFrame, candidate: str) -> DataFrame:
-    """How much of the best other model's mean MAE the candidate removes."""
+    """How much of the best other model's mean MAE the candidate removes.
+
+    ``summary`` has one row per model and is read several times; hand in a written one.
+    """
     best = best_other(summary, candidate)
     return summary.where(F.col("model") == candidate).select(
         "model",
@@ -105,7 +113,7 @@ def improvement_over_best(summary: DataFrame, candidate: str) -> DataFrame:
 
 
 def improvement_by_model(summary: DataFrame, reference: str) -> DataFrame:
-    """Share of the reference model's errors that every other model removes."""
+    """Share of the reference model's errors that every other model removes; ``summary`` as above."""
     base = summary.where(F.col("model") == reference)
     base_mae = base.select("mean_MAE").scalar()
     base_rmse = base.select("mean_RMSE").scalar()

@@ -98,7 +98,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Each row's part of the overall sum; the sum is a scalar subquery, not an unpartitioned window."""
+    """Each row's part of the overall sum; the sum is a scalar subquery, not an unpartitioned window.
+
+    ``df`` is an aggregate. It is written once, or what lies below it would run for the rows and the sum.
+    """
+    df = materialize(df, "shares")
     return df.withColumn(out, F.try_divide(F.col(value), df.agg(F.sum(value)).scalar()))
 
 

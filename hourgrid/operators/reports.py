@@ -56,6 +56,7 @@ def daily_weather_of(frame: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def errors_by_day_with_weather(frame: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """``frame`` is read for the errors and for the weather; hand in a written one."""
     daily = error_by(frame.withColumn("date", F.to_date(ts)), ["date"])
     return daily.join(daily_weather_of(frame, ts), "date")
 

@@ -26,8 +26,8 @@ def evaluate_baselines(pickups: DataFrame, test_days: int = 7) -> DataFrame:
     Only the test days and the week they look back on reach the window.
     """
     start = trailing_start(pickups, test_days)
-    recent = pickups.where(F.col("timestamp") >= start - F.expr("interval 7 days"))
-    test = baseline_predictions(recent).where(F.col("timestamp") >= start).na.drop(subset=list(BASELINES.values()))
+    recent = pickups.where(F.col("timestamp") >= naive(start - timedelta(days=7)))
+    test = baseline_predictions(recent).where(F.col("timestamp") >= naive(start)).na.drop(subset=list(BASELINES.values()))
     return metrics_by_model(test, BASELINES).orderBy("MAE", "model")
 
 

@@ -15,6 +15,7 @@ from hourgrid.operators.counts import between_times, sum_by
 from hourgrid.operators.evaluation import fixed_test
 from hourgrid.operators.joins import join_checked
 from hourgrid.schemas import BASELINES
+from hourgrid.session import materialize
 from queries import base
 from queries.base import Query, r, rounded, table, with_ctes
 
@@ -184,7 +185,7 @@ QUERIES = {
         ),
     ),
     "daily_errors": Query(
-        lambda spark, sf_dir: rounded(reports.errors_by_day_with_weather(frame(spark, sf_dir))),
+        lambda spark, sf_dir: rounded(reports.errors_by_day_with_weather(materialize(frame(spark, sf_dir), "errors"))),
         with_ctes(
             "errors",
             "weather",

@@ -7,12 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.functions.time import first_hour_of_month, last_hour_of_month, month_label, naive, next_month_start
+from hourgrid.functions.time import first_hour_of_month, last_hour_of_month, month_label, next_month_start
 from hourgrid.operators.counts import hourly_counts, sum_by
 from hourgrid.operators.joins import add_weather, join_checked, keep_listed, lookup
 from hourgrid.operators.quality import coverage_gaps, density_gaps, duplicate_keys, join_report, null_counts
-from hourgrid.operators.ranking import require_selection, top_entities
-from hourgrid.plans.dataset import build_dataset, station_names
+from hourgrid.plans.dataset import build_dataset, named_hourly, select_stations, station_names
 from hourgrid.plans.features import add_calendar_features
 from queries import base
 from queries.base import Query, r, rounded, table, with_ctes
@@ -35,10 +34,7 @@ def month_bounds(spark, sf_dir) -> DataFrame:
 
 
 def top_stations(spark, sf_dir) -> DataFrame:
-    hourly = base.hourly_by_station(spark, sf_dir)
-    selected = top_entities(hourly, "station_id", "pickups", base.TOP_N, cutoff=naive(base.CUTOFF))
-    require_selection(selected, base.TOP_N)
-    return selected
+    return select_stations(base.hourly_by_station(spark, sf_dir), base.CUTOFF, base.TOP_N)
 
 
 def coverage(spark, sf_dir) -> DataFrame:
@@ -89,8 +85,8 @@ def one_to_one(spark, sf_dir) -> DataFrame:
 
 def busiest_rows(spark, sf_dir) -> DataFrame:
     """Hourly rows of the selected stations, with a name only where the lookup has one."""
-    hourly = base.hourly_by_name(spark, sf_dir)
-    top = top_entities(hourly, "station_id", "pickups", base.TOP_N, cutoff=naive(base.CUTOFF))
+    hourly = named_hourly(base.trips(spark, sf_dir))
+    top = select_stations(hourly, base.CUTOFF, base.TOP_N)
     clicks = station_names(hourly).where(F.col("station_name") == "click")
     chosen = keep_listed(sum_by(hourly, ["timestamp", "station_id"]), top, "station_id")
     return lookup(chosen, clicks, "station_id")

@@ -31,6 +31,7 @@ from hourgrid.operators.history import add_history
 from hourgrid.operators.reports import error_frame
 from hourgrid.plans.evaluation import backtest_baselines, evaluate_baselines, run_backtest, run_final_test
 from hourgrid.schemas import BASELINES, LAG_FEATURES, ROLLING_FEATURES
+from hourgrid.session import materialize
 from queries import base
 from queries.base import Query, r, rounded, rounded_columns, with_ctes
 
@@ -69,7 +70,7 @@ def fold_metrics(spark, sf_dir) -> DataFrame:
 
 
 def summary(spark, sf_dir) -> DataFrame:
-    return summarize_folds(fold_metrics(spark, sf_dir))
+    return materialize(summarize_folds(fold_metrics(spark, sf_dir)), "summary")
 
 
 def locked_test(spark, sf_dir) -> DataFrame:
@@ -89,7 +90,8 @@ def poisson_backtest(spark, sf_dir) -> DataFrame:
     results = run_backtest(
         base.staged_features(spark, sf_dir), base.FOLD_STARTS, base.FOLD_DAYS, weather_model, trees=TREES // 2
     )
-    return rounded(improvement_over_best(summarize_folds(results), "gradient_boosting_weather"))
+    staged = materialize(summarize_folds(results), "summary")
+    return rounded(improvement_over_best(staged, "gradient_boosting_weather"))
 
 
 def one_hot(spark, sf_dir) -> DataFrame:
