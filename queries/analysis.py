@@ -19,17 +19,23 @@ from hourgrid.session import materialize
 from queries import base
 from queries.base import Query, r, rounded, table, with_ctes
 
-KEPT = ("timestamp", "station_id", "station_name", "pickups", "temperature_c", "precipitation_mm", "is_precipitating", "hour")
+KEPT = ("timestamp", "station_id", "station_name", "pickups", "hour")
+WEATHER_KEPT = ("temperature_c", "precipitation_mm", "is_precipitating")
 
 
 def test_rows(spark, sf_dir) -> DataFrame:
-    return fixed_test(base.features(spark, sf_dir), base.TEST_START, base.TEST_END)
+    return fixed_test(base.history(spark, sf_dir), base.TEST_START, base.TEST_END)
 
 
 def frame(spark, sf_dir) -> DataFrame:
     return reports.error_frame(test_rows(spark, sf_dir), "lag_168", KEPT)
 
 
+def frame_with_weather(spark, sf_dir) -> DataFrame:
+    test = fixed_test(base.features(spark, sf_dir), base.TEST_START, base.TEST_END)
+    return reports.error_frame(test, "lag_168", KEPT + WEATHER_KEPT)
+
+
 def station_errors(spark, sf_dir) -> DataFrame:
     return reports.error_by(frame(spark, sf_dir), ["station_id", "station_name"])
 
@@ -185,7 +191,7 @@ QUERIES = {
         ),
     ),
     "daily_errors": Query(
-        lambda spark, sf_dir: rounded(reports.errors_by_day_with_weather(materialize(frame(spark, sf_dir), "errors"))),
+        lambda spark, sf_dir: rounded(reports.errors_by_day_with_weather(materialize(frame_with_weather(spark, sf_dir), "errors"))),
         with_ctes(
             "errors",
             "weather",
@@ -209,7 +215,7 @@ QUERIES = {
         with_ctes("errors", tail=f"SELECT station_id, station_name, {ERROR_COLUMNS} FROM errors GROUP BY 1, 2 HAVING sum(pickups) > 0"),
     ),
     "largest_misses": Query(
-        lambda spark, sf_dir: rounded(misses(spark, sf_dir)),
+        lambda spark, sf_dir: rounded(reports.largest_misses(frame_with_weather(spark, sf_dir))),
         with_ctes(
             "misses",
             tail=f"""SELECT "timestamp", station_id, station_name, pickups, {r("temperature_c")} AS temperature_c,

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from hourgrid.functions.time import floor_hour, hour_steps
 from hourgrid.operators.counts import hourly_counts, sum_by
 from hourgrid.operators.grid import dense_grid, grid_bounds
+from hourgrid.operators.history import add_history
 from hourgrid.plans.dataset import build_dataset
-from hourgrid.plans.features import build_features
+from hourgrid.plans.features import add_calendar_features, build_features
 from hourgrid.schemas import BASE_NUMERIC_FEATURES, HISTORY_FEATURES, WEATHER_FEATURES, WEATHER_MEASURES
 from hourgrid.session import materialize
 
@@ -127,6 +128,12 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.join(staged, "timestamp", "left").na.fill(0)
 
 
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the feature table without its weather, which the baselines do not look at."""
+    rows = add_history(grid(spark, sf_dir), "station_id", "pickups")
+    return add_calendar_features(rows.na.drop(subset=list(HISTORY_FEATURES)))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_features(grid(spark, sf_dir), weather(spark, sf_dir))
 

@@ -66,7 +66,7 @@ def holdout_sizes(spark, sf_dir) -> DataFrame:
 
 
 def fold_metrics(spark, sf_dir) -> DataFrame:
-    return backtest_baselines(base.features(spark, sf_dir), base.FOLD_STARTS, base.FOLD_DAYS)
+    return backtest_baselines(base.history(spark, sf_dir), base.FOLD_STARTS, base.FOLD_DAYS)
 
 
 def summary(spark, sf_dir) -> DataFrame:
@@ -74,7 +74,8 @@ def summary(spark, sf_dir) -> DataFrame:
 
 
 def locked_test(spark, sf_dir) -> DataFrame:
-    test = fixed_test(base.staged_features(spark, sf_dir), base.TEST_START, base.TEST_END, base.TEST_ROWS)
+    rows = materialize(base.history(spark, sf_dir), "history")
+    test = fixed_test(rows, base.TEST_START, base.TEST_END, base.TEST_ROWS)
     return rounded(metrics_by_model(test, BASELINES).orderBy("MAE"))
 
 
