@@ -15,7 +15,12 @@ def _cell(value: Column, size: float) -> Column:
 
 
 def polygon_cells(polygons: DataFrame, geometry: str, attributes: Sequence[str], cell: float) -> DataFrame:
-    """One row per polygon and grid cell its bounding box touches."""
+    """One row per polygon and grid cell its bounding box touches, with the edges that matter there.
+
+    A ray to the right from a point in a cell meets no edge above, below or to the left of the cell, so
+    those are left out (one cell of margin covers rounding), and a cell without edges holds no match.
+    A polygon with many vertices is therefore not repeated whole in each of its cells.
+    """
     with_edges = polygons.select(*attributes, edges_of(F.col(geometry)).alias("_edges"))
 
     def extreme(pick, side: str) -> Column:
@@ -31,7 +36,16 @@ def polygon_cells(polygons: DataFrame, geometry: str, attributes: Sequence[str],
     )
     columns = F.sequence(_cell(F.col("_x_lo"), cell), _cell(F.col("_x_hi"), cell))
     rows = F.sequence(_cell(F.col("_y_lo"), cell), _cell(F.col("_y_hi"), cell))
-    return boxed.withColumn("_cell_x", F.explode(columns)).withColumn("_cell_y", F.explode(rows))
+    celled = boxed.withColumn("_cell_x", F.explode(columns)).withColumn("_cell_y", F.explode(rows))
+    left = (F.col("_cell_x") - 1) * F.lit(cell)
+    bottom = (F.col("_cell_y") - 1) * F.lit(cell)
+    top = (F.col("_cell_y") + 2) * F.lit(cell)
+
+    def matters(edge: Column) -> Column:
+        reaches_row = (F.greatest(edge["y1"], edge["y2"]) >= bottom) & (F.least(edge["y1"], edge["y2"]) <= top)
+        return reaches_row & (F.greatest(edge["x1"], edge["x2"]) >= left)
+
+    return celled.withColumn("_edges", F.filter("_edges", matters)).where(F.size("_edges") > 0)
 
 
 def points_in_polygons(

@@ -1,4 +1,4 @@
-"""Stand-ins: how the given tables play the reference's inputs, in Spark and in SQL.
+"""Stand-ins: how the given tables play trips, stations and weather, in Spark and in SQL.
 
 ``events`` plays the trips: ``ts`` is the start time, ``user_id`` the station, ``event_type`` its name (one
 station has several names). The weather is aggregated from the same events over every hour of the month.

@@ -1,14 +1,17 @@
 import json
+import math
 import zipfile
-from datetime import datetime
+from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hourgrid import jobs
 from hourgrid.operators.quality import DataQualityError
-from hourgrid.operators.spatial import points_in_polygons
+from hourgrid.operators.spatial import points_in_polygons, polygon_cells
 from hourgrid.operators.stations import station_metadata
+from hourgrid.plans.dataset import build_dataset
 from hourgrid.schemas import DAY_AHEAD_WEATHER_NAMES, OBSERVED_WEATHER_NAMES
 from hourgrid.sources.archives import list_archives
 from hourgrid.sources.geojson import read_geojson
@@ -235,3 +238,29 @@ def test_stages_end_to_end(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "eda" / "daily")).count() == 31
     jobs.main(["importance", "--features", out["features"], "--out", str(tmp_path / "imp"), "--test-start", "2026-01-28", "--test-end", "2026-02-01", "--trees", "2", "--repeats", "2"])
     assert spark.read.parquet(str(tmp_path / "imp")).count() == 22
+
+
+def test_a_round_polygon_on_a_fine_grid(spark):
+    """Many vertices and cells: the result is the same as testing the distance, for negative places too."""
+    corners = [[-74 + math.cos(2 * math.pi * i / 720), 40 + math.sin(2 * math.pi * i / 720)] for i in range(720)]
+    polygons = spark.createDataFrame([("disc", [[[*corners, corners[0]]]])], "ntaname string, geometry array<array<array<array<double>>>>")
+    rng = np.random.default_rng(5)
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-1.2, 1.2, (400, 2)) + [-74, 40])]
+    points = spark.createDataFrame(places, "id int, longitude double, latitude double")
+    for cell in (0.05, 0.7):
+        joined = points_in_polygons(points, polygons, ["ntaname"], cell=cell).collect()
+        assert len(joined) == 400
+        for r in joined:
+            distance = math.hypot(r["longitude"] + 74, r["latitude"] - 40)
+            if abs(distance - 1) > 1e-4:
+                assert (r["ntaname"] == "disc") == (distance < 1)
+    repeated = polygon_cells(polygons, "geometry", ["ntaname"], 0.05).agg(F.sum(F.size("_edges")), F.count("*")).first()
+    assert repeated[0] < 0.2 * 720 * repeated[1]
+
+
+def test_input_order_does_not_matter(spark, rows):
+    trips = [(datetime(2026, 1, 1 + i % 20, i % 24, i % 60), f"s{i % 7}", f"n{i % 3}") for i in range(900)]
+    schema = "started_at timestamp_ntz, start_station_id string, start_station_name string"
+    one = build_dataset(spark.createDataFrame(trips, schema), date(2026, 1, 15), 4)
+    other = build_dataset(spark.createDataFrame(trips[::-1], schema).repartition(7), date(2026, 1, 15), 4)
+    assert rows(one) == rows(other)
