@@ -171,8 +171,8 @@ class PoissonTrees(Estimator):
         return tuple(values)
 
 
-def mean_poisson_deviance(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Mean deviance of positive predictions; a zero label contributes its limit."""
-    y, mu = F.col(label).cast("double"), F.col(prediction)
-    log_term = F.when(y > 0, y * F.ln(y / mu)).otherwise(0.0)
-    return df.agg(F.avg(2 * (log_term - y + mu)).alias("deviance"))
+def poisson_deviance(label: Column, prediction: Column) -> Column:
+    """Mean deviance of positive predictions, as an aggregate; a zero label contributes its limit."""
+    y = label.cast("double")
+    log_term = F.when(y > 0, y * F.ln(y / prediction)).otherwise(0.0)
+    return F.avg(2 * (log_term - y + prediction))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from hourgrid.models.configurations import (
     station_encoder,
 )
 from hourgrid.models.importance import permutation_importance, permuted_features, top_features
+from hourgrid.models.poisson_trees import poisson_deviance
 from hourgrid.functions.time import naive
 from hourgrid.operators.evaluation import (
     best_other,
@@ -110,6 +111,25 @@ def _fitted(features: DataFrame, columns, trees: int):
     return demand_pipeline(columns, "prediction", trees=trees).fit(train)
 
 
+def poisson_training(spark, sf_dir) -> DataFrame:
+    """Per tree: the rows its model scores, the mean it starts from, and whether the deviance fell."""
+    features = base.staged_features(spark, sf_dir)
+    train = features.where(F.col("timestamp") < naive(base.TEST_START))
+    trees = TREES // 2
+    model = demand_pipeline(FORECAST_FEATURES, "prediction", trees=trees).fit(train)
+    boosted = model.stages[-1]
+    scored = PipelineModel(model.stages[:-1]).transform(train)
+    for n in range(trees + 1):
+        scored = boosted.first(n).transform(scored).withColumnRenamed("prediction", f"after_{n}")
+    deviances = [poisson_deviance(F.col("pickups"), F.col(f"after_{n}")).alias(f"d{n}") for n in range(trees + 1)]
+    one_row = scored.agg(F.count("*").alias("rows"), F.avg("after_0").alias("base_mean"), *deviances)
+    per_tree = [
+        F.struct(F.lit(n).alias("tree"), "rows", "base_mean", (F.col(f"d{n}") < F.col(f"d{n - 1}")).alias("deviance_fell"))
+        for n in range(1, trees + 1)
+    ]
+    return rounded(one_row.select(F.inline(F.array(*per_tree))))
+
+
 def prediction_range(spark, sf_dir) -> DataFrame:
     features = base.staged_features(spark, sf_dir)
     model = _fitted(features, BASE_FEATURES, TREES // 2)
@@ -237,6 +257,15 @@ QUERIES = {
         ),
     ),
     "permuted_features": Query(permuted_totals, _permuted_sql()),
+    "poisson_training": Query(
+        poisson_training,
+        with_ctes(
+            "features",
+            tail=f"""SELECT CAST(tree AS INTEGER) AS tree, count(*) AS "rows", {r("avg(pickups)")} AS base_mean, true AS deviance_fell
+                FROM features CROSS JOIN generate_series(1, {TREES // 2}) t(tree)
+                WHERE "timestamp" < TIMESTAMP '{base.TEST_START} 00:00:00' GROUP BY tree""",
+        ),
+    ),
     "poisson_boost_eval": Query(poisson_eval),
     "poisson_boost_backtest": Query(poisson_backtest),
     "poisson_prediction_range": Query(prediction_range),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hourgrid.models.configurations import BASE_FEATURES, FORECAST_FEATURES, add_predictions, demand_pipeline, predict_all, train_models
 from hourgrid.models.importance import permutation_importance, permuted_features, top_features, with_position
 from hourgrid.functions.time import naive
-from hourgrid.models.poisson_trees import PoissonTrees, mean_poisson_deviance
+from hourgrid.models.poisson_trees import PoissonTrees, poisson_deviance
 from hourgrid.operators.quality import DataQualityError
 from hourgrid.plans.evaluation import run_backtest, run_final_test
 from hourgrid.plans.features import build_features
@@ -39,7 +39,8 @@ def fitted(vectors):
 
 
 def test_deviance_falls_with_every_tree(vectors, fitted):
-    deviances = [mean_poisson_deviance(fitted.first(n).transform(vectors), "pickups", "prediction").first()[0] for n in range(0, 13, 3)]
+    deviance = poisson_deviance(F.col("pickups"), F.col("prediction"))
+    deviances = [fitted.first(n).transform(vectors).agg(deviance).first()[0] for n in range(0, 13, 3)]
     assert all(after < before for before, after in zip(deviances, deviances[1:]))
     constant = vectors.agg(F.avg("pickups")).first()[0]
     assert fitted.first(0).transform(vectors).first()["prediction"] == pytest.approx(constant)
