@@ -15,7 +15,6 @@ Rows with a null language teach nothing. Repeated rows count as often as they oc
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,18 +29,16 @@ GRAM = 3
 UNKNOWN = "und"
 SEED = 7
 _SLICE = 1 << 19
-#: n-gram vectors that a worker keeps; the matrix starts anew beyond them.
+#: n-gram vectors that a task keeps; the matrix starts anew beyond them.
 _KEPT = 24_000
-_letters: np.ndarray | None = None
 
 
-def _letter_numbers() -> np.ndarray:
+def _letters_of(points: np.ndarray) -> np.ndarray:
     """For each code point, itself if it is a letter, else 0 (the blank)."""
-    global _letters
-    if _letters is None:
-        points = range(sys.maxunicode + 1)
-        _letters = np.fromiter((p if chr(p).isalpha() else 0 for p in points), np.int64, sys.maxunicode + 1)
-    return _letters
+    present = np.flatnonzero(np.bincount(points))
+    number = np.zeros(int(present[-1]) + 1, np.int64)
+    number[present] = [p if chr(p).isalpha() else 0 for p in present.tolist()]
+    return number[points]
 
 
 def _letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
@@ -90,7 +87,7 @@ class Profiles:
         points = np.frombuffer(" ".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(texts) + 1), [1, *[len(t) + 1 for t in lowered]]) - 1
         owner[0] = 0
-        letters = _letter_numbers()[points]
+        letters = _letters_of(points)
         has = np.zeros(len(texts), bool)
         has[owner[letters > 0]] = True
         # a blank before and after each text, and one for a run of other characters
@@ -136,16 +133,9 @@ def _rank(used: np.ndarray, size: int) -> np.ndarray:
     return rank
 
 
-_worker: dict[tuple[int, int], Profiles] = {}
-
-
-def _profiles(dimensions: int, gram: int) -> Profiles:
-    return _worker.setdefault((dimensions, gram), Profiles(dimensions, gram))
-
-
 def _learn(dimensions: int, gram: int):
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles, sums = _profiles(dimensions, gram), {}
+        profiles, sums = Profiles(dimensions, gram), {}
         for batch in slices(batches, size=_SLICE):
             keys, table, _ = profiles.counts(batch.column("text").to_pylist())
             langs = batch.column("lang").to_pylist()
@@ -174,10 +164,12 @@ def identify(prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, gr
     names = sorted(n for n, v in prototypes.items() if np.any(v))
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).astype(np.float32) if names else None
 
+    profiles = Profiles(dimensions, gram)
+
     def predicted(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if matrix is None:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        bundles, has = _profiles(dimensions, gram).bundles(texts)
+        bundles, has = profiles.bundles(texts)
         norms = np.linalg.norm(bundles, axis=1)
         cosines = (bundles @ matrix.T) / np.where(norms > 0, norms, 1)[:, None]
         best = cosines.argmax(axis=1)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import language, mixing, sharding, substrings, topk
+from hourgrid.llm import decontamination, language, mixing, near_duplicates, quality, sharding, substrings, surrogates, topk, toxicity
 from hourgrid.llm.staging import table
 
 
@@ -22,6 +22,10 @@ def remainder(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("similarity", F.round("similarity", 6))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -43,6 +47,22 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, hash(CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 2), ' ') END) AS h FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.o = e.a),
+c AS (SELECT reach.r AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id IS NOT DISTINCT FROM c.component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = mixing.mix(table(spark, sf_dir, "documents"))
     return result.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
@@ -66,11 +86,27 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, size * (whole + CA
 """
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def size_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = sharding.shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return result.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "keep")
+
+
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     vectors = rows.select("vec_id", topk.whole_components(F.col("embedding")).alias("vector"))
@@ -87,9 +123,14 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM n WHERE rank <= 5
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": Query(decontaminate),
     "op2_substring_dedup": Query(substring_dedup, SUBSTRING_DEDUP),
     "op3_language_id": Query(language_id),
+    "op4_near_dedup": Query(near_dedup, NEAR_DEDUP),
     "op5_source_mix": Query(source_mix, SOURCE_MIX),
+    "op6_toxicity": Query(toxicity_scores),
     "op7_size_shards": Query(size_shards),
+    "op8_quality": Query(quality_scores),
+    "op9_pii_surrogates": Query(pii_surrogates),
     "op10_top_k_search": Query(top_k_search, TOP_K_SEARCH),
 }
