@@ -160,7 +160,7 @@ def replace_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     mapping = materialize(surrogates_of(spread.select("entity").distinct(), key), "mapping")
     own = spread.join(mapping, "entity").groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("own"))
     between = F.split("text", F.lit(ENTITY), F.lit(-1))
-    pieces = F.transform("between", lambda part, i: F.concat(part, F.coalesce(F.col("own")[F.col("entities")[i]], F.lit(""))))
+    pieces = F.transform("between", lambda part, i: F.concat(part, F.coalesce(F.col("own")[F.get("entities", i)], F.lit(""))))
     with_own = found.where(F.size("entities") > 0).join(own, row).withColumn("between", between)
     changed = with_own.select("doc_id", F.size("entities").alias("n_entities"), F.array_join(pieces, "").alias("text"))
     untouched = found.where(F.size("entities") == 0).select("doc_id", F.lit(0).alias("n_entities"), "text")
