@@ -5,12 +5,14 @@
    chooses one or two tokens by a hash of the path, on average ``1 / similarity``, and every class goes to the child
    of its own token there. Similar classes thus stay together in some node with a constant chance per tree, and
    ``TREES`` independent trees make missing a pair at the threshold less likely than one in 100,000.
-3. Nodes of up to ``SMALL`` classes are compared exhaustively by the share of equal tokens; larger ones branch on. A
-   node proposes only the pairs that connect classes which nothing has connected yet, at most one less than its
-   classes, and full sets of shingles confirm them. A second pass over the nodes proposes the plausible pairs between
-   classes that are still apart, so a link that the first pass did not need is only left out inside a component.
-4. Confirmed links are joined into components. Nodes that still do not fall apart after ``DEPTH`` levels (sets that
-   differ, but agree in all tokens) are compared block by block.
+3. Nodes of up to ``SMALL`` classes are compared exhaustively, on their full sets of shingles. In a larger one all
+   classes are first compared with a central one, and what that connects is one component. If at most ``SMALL`` classes
+   are outside the node's largest component, they are compared with each other and with that component, part by part,
+   as pairs inside it need no link any more; otherwise the node branches on. A group of near copies of any size thus
+   costs a few rows for each of its classes, and never all its pairs. Nodes that do not fall apart after ``DEPTH``
+   levels (different sets that agree in all tokens) are compared block by block.
+4. Each node reports the links that connect its classes, at most one less than the classes; a link is only left out
+   where others connect its ends already. Links are joined into components.
 
 Texts without words are linked with nothing; a null text has none; shorter texts than a shingle count as one shingle.
 A null id is larger than all others. Repeated rows have equal sets; other columns are ignored; an empty table gives an
@@ -23,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.llm.components import components
@@ -37,7 +39,9 @@ TOKENS = 128
 TREES = 10
 #: Levels that a class walks before the sizes of its nodes are looked at.
 STEP = 2
-SMALL = 256
+SMALL = 512
+#: Classes among which a large node looks for its central one.
+CANDIDATES = 64
 DEPTH = 60
 #: Pairs whose tokens agree less than this many standard deviations below the threshold are not confirmed.
 DEVIATIONS = 3.7
@@ -126,74 +130,145 @@ def _branch(similarity: float, trees: int | None):
     return branch
 
 
-def small_nodes(classes: DataFrame, similarity: float, trees: int = TREES, small: int = SMALL) -> DataFrame:
-    """``members``: distinct sorted arrays of up to ``2 * small`` classes that met in a node."""
+def _least_agreement(similarity: float) -> int:
+    return int(np.ceil(TOKENS * (similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / TOKENS))))
+
+
+def _central(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node's candidates, the one whose tokens agree most with the others'."""
+    for batch in batches:
+        best = []
+        for members in batch.column("members").to_pylist():
+            tokens = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint16).reshape(len(members), TOKENS)
+            best.append(members[int(np.argmax([(tokens == t).sum() for t in tokens]))])
+        arrays = [batch.column("node"), *(pa.array([b[c] for b in best], t) for c, t in (("class", pa.int64()), ("label", pa.int64()), ("n_shingles", pa.int64()), ("tokens", pa.binary())))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["node", "center", "center_label", "center_size", "center_tokens"])
+
+
+def _near_center(similarity: float):
+    least = _least_agreement(similarity)
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, center = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TOKENS) for c in ("tokens", "center_tokens"))
+                a, b = batch.column("class").to_numpy(), batch.column("center").to_numpy()
+                keep = (own == center).sum(axis=1) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+
+    return near
+
+
+def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their class as ``label``, or the class itself where it has no links."""
+    if found is None:
+        return rows.withColumn("label", F.col("class"))
+    return rows.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+
+
+def _around_centers(large: DataFrame, own: DataFrame, found: DataFrame | None, similarity: float) -> DataFrame:
+    """Plausible pairs (``a, b``) of each class of the large nodes with its node's central class."""
+    rows = _labelled(large.select("node", "class"), found)
+    few = rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("class"))).where(F.col("place") <= CANDIDATES)
+    member = F.struct("class", "label", "n_shingles", "tokens")
+    centers = few.join(own, "class").groupBy("node").agg(F.collect_list(member).alias("members"))
+    centers = materialize(centers.mapInArrow(_central, "node long, center long, center_label long, center_size long, center_tokens binary"), "centers")
+    fits = F.least("n_shingles", "center_size") >= (similarity - 1e-9) * F.greatest("n_shingles", "center_size")
+    pairs = rows.join(centers, "node").where("label <> center_label").join(own, "class").where(fits)
+    return pairs.select("class", "tokens", "center", "center_tokens").mapInArrow(_near_center(similarity), "a long, b long").distinct()
+
+
+def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similarity: float, trees: int = TREES, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Classes that met in nodes, their texts, and the links already confirmed.
+
+    The first table has ``members``, distinct sorted arrays of about ``2 * small`` classes at most.
+    """
     said = "node long, class long"
-    tokens = classes.select("class", "tokens")
-    frontier, found = tokens.mapInArrow(_branch(similarity, trees), said), []
-    for _ in range(0, DEPTH, STEP):
+    own = classes.select("class", "n_shingles", "tokens")
+    frontier, groups, texts, confirmed = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None, None
+    for level in range(0, DEPTH, STEP):
         sizes = materialize(frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         met = materialize(frontier.join(sizes, "node"), "met")
-        found.append(met.where(F.col("size") <= small).select("node", "class"))
+        if texts is None:
+            texts = texts_of_classes(met.select("class").distinct())
+        groups.append(met.where(F.col("size") <= small).select("node", "class"))
         large = met.where(F.col("size") > small)
         if large.isEmpty():
             break
-        frontier = large.select("node", "class").join(tokens, "class").mapInArrow(_branch(similarity, None), said)
-    else:
-        # blocks of a node's classes, each with every later block; their number is counted, not assumed
-        parts = F.ceil(F.col("size") / small).cast("long")
-        part = F.pmod(F.xxhash64("class", "node"), parts)
-        split = large.withColumns({"parts": parts, "part": part})
-        other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
-        found.append(split.select("class", "node", other.alias("pair")).select(F.xxhash64("node", "pair").alias("node"), "class"))
-    nodes = found[0]
-    for more in found[1:]:
+        found = None if confirmed is None else components(confirmed)
+        pairs = _around_centers(large, own, found, similarity)
+        new = materialize(links(pairs, texts, shingle, similarity), "links")
+        confirmed = new if confirmed is None else materialize(confirmed.unionByName(new).distinct(), "links")
+        rows = materialize(_labelled(large.select("node", "class"), components(confirmed)), "labelled")
+        shares = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
+        shares = shares.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
+        shares = materialize(shares.select("node", F.col("top.label").alias("top"), F.col("top.n").alias("joined"), (F.col("size") - F.col("top.n")).alias("apart")), "shares")
+        apart = rows.join(shares.where("apart > 0"), "node")
+        # classes apart, with every part of the node's largest component
+        parts = F.greatest(F.ceil(F.col("joined") / small).cast("int"), F.lit(1))
+        part = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("class", "node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+        resolved = apart.where(F.col("apart") <= small).select("node", "class", F.explode(part).alias("part"))
+        groups.append(materialize(resolved.select(F.xxhash64("node", "part").alias("node"), "class"), "resolved"))
+        large = materialize(apart.where(F.col("apart") > small).select("node", "class", (F.col("joined") + F.col("apart")).alias("size")), "large")
+        if large.isEmpty():
+            break
+        if level + STEP < DEPTH:
+            frontier = large.select("node", "class").join(own.select("class", "tokens"), "class").mapInArrow(_branch(similarity, None), said)
+        else:
+            # blocks of a node's classes, each with every other block
+            parts = F.ceil(F.col("size") / small).cast("int")
+            split = large.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("class", "node"), parts).cast("int")})
+            pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
+            groups.append(split.select("class", "node", pair.alias("pair")).select(F.xxhash64("node", "pair").alias("node"), "class"))
+    nodes = groups[0]
+    for more in groups[1:]:
         nodes = nodes.unionByName(more)
-    return nodes.groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("members")).where(F.size("members") > 1).select("members").distinct()
+    members = nodes.groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("members")).where(F.size("members") > 1)
+    return materialize(members.select("members").distinct(), "nodes"), texts, confirmed
 
 
-def _propose(similarity: float, forest: bool):
-    least = np.ceil(TOKENS * (similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / TOKENS)))
+def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect all sets that similar ones connect; every pair of sets is looked at."""
+    percent = round(similarity * 100)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, root, found = np.zeros(len(values), np.int32), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        if (root[i:] == root[i]).all():
+            continue
+        own = number[starts[i] : starts[i] + sizes[i]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[number[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        marked[own] = 0
+        for j in i + 1 + np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)):
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                found.append((i, int(j)))
+    return found
+
+
+def _compare(shingle: int, similarity: float):
+    """Links within each node; the rows of a node follow each other."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, names, sets = None, [], []
+
+        def linked() -> pa.RecordBatch:
+            pairs = [sorted((names[i], names[j])) for i, j in spanning_links(sets, similarity)] if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    def propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = []
-            for members in batch.column("members"):
-                members = members.as_py()
-                name = np.array([m["class"] for m in members], np.int64)
-                label = np.array([m["label"] for m in members], np.int64)
-                size = np.array([m["n_shingles"] for m in members], np.int64)
-                tokens = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint16).reshape(len(members), TOKENS)
-                pairs += _plausible(name, label, size, tokens, similarity, least, forest)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-    return propose
-
-
-def _plausible(name: np.ndarray, label: np.ndarray, size: np.ndarray, tokens: np.ndarray, similarity: float, least: float, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of different labels that agree in at least ``least`` tokens; of a forest, those that connect labels."""
-    rows = []
-    for i in range(len(name) - 1):
-        agree = (tokens[i + 1 :] == tokens[i]).sum(axis=1)
-        other = i + 1 + np.flatnonzero((agree >= least) & (label[i + 1 :] != label[i]))
-        fits = np.minimum(size[other], size[i]) >= (similarity - 1e-9) * np.maximum(size[other], size[i])
-        rows += [(-int(agree[j - i - 1]), i, int(j)) for j in other[fits]]
-    if not forest:
-        return [(int(min(name[i], name[j])), int(max(name[i], name[j]))) for _, i, j in rows]
-    chosen, root = [], {int(x): int(x) for x in label}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for _, i, j in sorted(rows):
-        x, y = find(int(label[i])), find(int(label[j]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            chosen.append((int(min(name[i], name[j])), int(max(name[i], name[j]))))
-    return chosen
+        for batch in slices(batches):
+            shingles, first = shingle_sets(texts_of(batch), shingle)
+            for i, (own, name) in enumerate(zip(batch.column("node").to_pylist(), batch.column("class").to_pylist(), strict=True)):
+                if own != node:
+                    yield linked()
+                    node, names, sets = own, [], []
+                names.append(name)
+                sets.append(shingles[first[i] : first[i + 1]].copy())
+        yield linked()
+
+    return compare
 
 
 def _confirm(shingle: int, similarity: float):
@@ -230,30 +305,20 @@ def near_duplicate_classes(rows: DataFrame, shingle: int = SHINGLE, similarity:
     sketched = materialize(rows.mapInArrow(_sketch(shingle), said), "sketches")
     classes = sketched.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("row_id", "row_hash", "n_shingles", "tokens")).alias("one"))
     classes = materialize(classes.select("class", "one.*"), "classes")
-    nodes = materialize(small_nodes(classes, similarity, trees), "nodes")
 
-    compared = nodes.select(F.explode("members").alias("class")).distinct()
-    chosen = classes.join(compared, "class").select("class", "row_id", "row_hash")
-    # a repeated row would give its class's text twice
-    texts = materialize(rows.select("row_id", "row_hash", "text").join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"]), "texts")
+    def texts_of_classes(compared: DataFrame) -> DataFrame:
+        chosen = classes.join(compared, "class").select("class", "row_id", "row_hash")
+        # a repeated row would give its class's text twice
+        return materialize(rows.select("row_id", "row_hash", "text").join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"]), "texts")
 
-    def proposals(labels: DataFrame | None, forest: bool) -> DataFrame:
-        own = classes.select("class", "n_shingles", "tokens")
-        if labels is None:
-            own = own.withColumn("label", F.col("class"))
-        else:
-            own = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
-        member = F.struct("class", "label", "n_shingles", "tokens")
-        spread = nodes.select(F.xxhash64("members").alias("node"), F.explode("members").alias("class")).join(own, "class")
-        met = spread.groupBy("node").agg(F.sort_array(F.collect_list(member)).alias("members")).where(F.size(F.array_distinct("members.label")) > 1)
-        return met.select("members").mapInArrow(_propose(similarity, forest), "a long, b long").distinct()
-
-    tried = materialize(proposals(None, forest=True), "proposals")
-    confirmed = materialize(links(tried, texts, shingle, similarity), "links")
-    first = materialize(components(confirmed), "components")
-    rest = proposals(first, forest=False).join(tried, ["a", "b"], "left_anti")
-    confirmed = confirmed.unionByName(materialize(links(rest, texts, shingle, similarity), "links"))
-    return sketched.drop("tokens"), materialize(components(confirmed), "components")
+    nodes, texts, around = meeting_classes(classes, texts_of_classes, shingle, similarity, trees)
+
+    spread = nodes.select(F.xxhash64("members").alias("node"), F.explode("members").alias("class")).join(texts, "class")
+    together = spread.repartition("node").sortWithinPartitions("node", "class").select("node", "class", "text")
+    confirmed = together.mapInArrow(_compare(shingle, similarity), "a long, b long").distinct()
+    if around is not None:
+        confirmed = confirmed.unionByName(around)
+    return sketched.drop("tokens"), components(confirmed)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, trees: int = TREES) -> DataFrame:
