@@ -39,10 +39,6 @@ def month_label(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
-def plus_days(ts: Column, days: int) -> Column:
-    return ts + F.make_dt_interval(F.lit(days))
-
-
 def hour_steps(first: Column, last: Column) -> Column:
     """Every hour from ``first`` to ``last``, both included, as an array."""
     return F.sequence(first, last, F.expr("interval 1 hour"))

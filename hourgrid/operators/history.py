@@ -1,6 +1,7 @@
 """Lags and shifted rolling statistics of a dense hourly series.
 
-Windows look back a fixed number of rows, which on a dense grid is a fixed number of hours. A window
+Windows look back a fixed number of rows, which on a dense grid is a fixed number of hours. A row that does not
+follow the one before it by exactly an hour fails the job; the check shares the windows' shuffle and sort. A window
 partition per key alone would put a key's whole history into one task and leave no more tasks than
 there are keys. Each history is therefore cut into blocks of days; the tail of a block that the next
 one looks back on is copied into it, so every row still sees exactly the rows it would see in the whole
@@ -15,6 +16,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from hourgrid.operators.quality import enforce
 from hourgrid.schemas import LAGS, ROLLING_HOURS, ROLLING_SHIFT
 
 BLOCK_DAYS = 84
@@ -54,6 +56,9 @@ def add_history(
     if rolling_hours:
         blocked = blocked.withColumns(_running(ordered, value))
         columns |= _in_frame(ordered, rolling_hours, rolling_shift)
+    before = F.lag(ts, 1).over(ordered)
+    gap = F.concat(F.lit("series "), F.col(key).cast("string"), F.lit(" is not dense, "), F.col(ts).cast("string"), F.lit(" follows "), F.col("_before").cast("string"))
+    blocked = enforce(blocked.withColumn("_before", before), F.coalesce(F.col("_before") == F.col(ts) - F.expr("interval 1 hour"), F.lit(True)), gap).drop("_before")
     looked_back = blocked.withColumns(columns).where("_own = _block").drop("_own", "_block")
     if not rolling_hours:
         return looked_back

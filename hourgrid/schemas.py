@@ -21,15 +21,6 @@ HOURLY_PICKUPS = T.StructType(
     ]
 )
 
-STATION_METADATA = T.StructType(
-    [
-        T.StructField("station_id", T.StringType()),
-        T.StructField("station_name", T.StringType()),
-        T.StructField("latitude", T.DoubleType()),
-        T.StructField("longitude", T.DoubleType()),
-    ]
-)
-
 # The weather measures of every stage after the response.
 WEATHER_MEASURES = (
     "temperature_c",

@@ -26,8 +26,9 @@ def read_text_columns(spark: SparkSession, location: str, columns: Sequence[str]
         archives.register(spark)
         schema = ", ".join(f"{c} string" for c in [*columns, "archive"])
         return blank_to_null(spark.read.format("zip_csv").schema(schema).load(location), columns)
-    # Files whose header differs from the first one's fail instead of shifting columns.
-    options = {"header": True, "escape": '"', "enforceSchema": False}
+    # Files whose header differs from the first one's fail instead of shifting columns. Quoted values may hold line
+    # breaks, so a file is not split; the files are read once, by the ingest stage.
+    options = {"header": True, "escape": '"', "enforceSchema": False, "multiLine": True}
     rows = spark.read.options(**options).csv(location)
     return blank_to_null(rows.select(*columns, F.col("_metadata.file_name").alias("archive")), columns)
 

@@ -11,8 +11,8 @@ from hourgrid.functions.errors import gain_label, half_even
 from hourgrid.functions.time import naive
 from hourgrid.operators import profile as profiles
 from hourgrid.operators import reports
-from hourgrid.operators.counts import between_times, sum_by
-from hourgrid.operators.evaluation import fixed_test
+from hourgrid.operators.counts import sum_by
+from hourgrid.operators.evaluation import fixed_test, trailing_split
 from hourgrid.operators.joins import join_checked
 from hourgrid.schemas import BASELINES
 from hourgrid.session import materialize
@@ -78,24 +78,27 @@ def areas(spark, sf_dir) -> DataFrame:
 
 
 def inactive_monthly(spark, sf_dir) -> DataFrame:
-    """Stations without a trip on the last day that has trips, and what they did month by month."""
+    """Stations without a trip in the last two days of the grid, and what they did month by month."""
     grid = base.grid_of_all(spark, sf_dir).withColumn("station_name", F.concat(F.lit("S"), "station_id"))
-    day = between_times(grid, "timestamp", naive("2024-01-30"), naive("2024-01-31")).withColumn("prediction", F.lit(0.0))
+    day = trailing_split(grid, 2)[1].withColumn("prediction", F.lit(0.0))
     errors = reports.error_by(reports.error_frame(day, "prediction", ["station_id", "pickups"]), ["station_id"])
     return reports.monthly_activity(grid, reports.inactive(errors), key="station_id")
 
 
 def one_entity(spark, sf_dir) -> DataFrame:
-    """The test rows of one named station, as a report: half-even rounding, the first 175 in time."""
-    rows = test_rows(spark, sf_dir).where(F.col("station_name") == "click")
-    ordered = rows.orderBy("station_id", "timestamp").limit(175)
-    return ordered.select(
+    """All test rows of the stations of one name, as a report with half-even rounding."""
+    return test_rows(spark, sf_dir).where(F.col("station_name") == "click").select(
         "timestamp", "station_id", "pickups", "lag_24", "lag_168", half_even(F.col("rolling_mean_168"), 2).alias("rolling_mean")
     )
 
 
+def preview(spark, sf_dir) -> DataFrame:
+    """The first rows of the whole test table; the limit is the feature."""
+    return test_rows(spark, sf_dir).orderBy("station_id", "timestamp").limit(175).select("timestamp", "station_id", "pickups", "lag_24", "lag_168")
+
+
 def worst_rounded(spark, sf_dir) -> DataFrame:
-    return rounded(reports.worst(station_errors(spark, sf_dir), 5).select("station_id", "mae"), 2)
+    return rounded(reports.worst(station_errors(spark, sf_dir), 10).select("station_id", "mae"), 2)
 
 
 ERROR_COLUMNS = f"""CAST(sum(pickups) AS BIGINT) AS actual_pickups, {r("sum(prediction)")} AS predicted_pickups,
@@ -243,7 +246,7 @@ QUERIES = {
             tail="""SELECT station_id, 'S' || station_id AS station_name, strftime("timestamp", '%Y-%m') AS year_month,
                 CAST(sum(pickups) AS BIGINT) AS total_pickups, count(*) FILTER (WHERE pickups > 0) AS active_hours,
                 count(pickups) AS total_hours FROM grid_all
-                WHERE station_id IN (SELECT station_id FROM grid_all WHERE CAST("timestamp" AS DATE) = DATE '2024-01-30'
+                WHERE station_id IN (SELECT station_id FROM grid_all WHERE CAST("timestamp" AS DATE) >= (SELECT max(CAST("timestamp" AS DATE)) - 1 FROM grid_all)
                                      GROUP BY 1 HAVING sum(pickups) = 0) GROUP BY 1, 2, 3""",
         ),
     ),
@@ -273,7 +276,7 @@ QUERIES = {
         with_ctes(
             "station_errors",
             tail=f"""SELECT station_id, {r("mae", 2)} AS mae FROM station_errors WHERE actual_pickups > 0
-                     ORDER BY station_errors.mae DESC, station_id LIMIT 5""",
+                     ORDER BY station_errors.mae DESC, station_id LIMIT 10""",
         ),
     ),
     "one_entity_series": Query(
@@ -281,7 +284,11 @@ QUERIES = {
         with_ctes(
             "test",
             tail="""SELECT "timestamp", station_id, pickups, lag_24, lag_168, round_even(rolling_mean_168, 2) AS rolling_mean
-                    FROM test WHERE station_name = 'click' ORDER BY station_id, "timestamp" LIMIT 175""",
+                    FROM test WHERE station_name = 'click'""",
         ),
     ),
+    "table_preview": Query(
+        preview,
+        with_ctes("test", tail="""SELECT "timestamp", station_id, pickups, lag_24, lag_168 FROM test ORDER BY station_id, "timestamp" LIMIT 175"""),
+    ),
 }

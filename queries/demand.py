@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.functions.time import first_hour_of_month, last_hour_of_month, month_label, next_month_start
+from hourgrid.functions.time import first_hour_of_month, floor_hour, last_hour_of_month, month_label, next_month_start
 from hourgrid.operators.counts import hourly_counts, sum_by
 from hourgrid.operators.joins import add_weather, join_checked, keep_listed, lookup
 from hourgrid.operators.quality import coverage_gaps, density_gaps, duplicate_keys, join_report, null_counts
@@ -147,12 +147,13 @@ QUERIES = {
            SELECT "timestamp", 'unexpected' FROM (SELECT * FROM actual EXCEPT SELECT * FROM expected)""",
     ),
     "density_gaps": Query(
-        lambda spark, sf_dir: density_gaps(base.hourly_by_station(spark, sf_dir), "station_id"),
-        with_ctes(
-            "by_station",
-            tail="""SELECT station_id, count(*) AS "rows", date_diff('hour', min("timestamp"), max("timestamp")) + 1 AS hours
-                    FROM by_station GROUP BY 1 HAVING count(*) <> date_diff('hour', min("timestamp"), max("timestamp")) + 1""",
+        # hours of single trips, so that stations have repeated hours beside missing ones
+        lambda spark, sf_dir: density_gaps(
+            base.trips(spark, sf_dir).select(F.col("start_station_id").alias("station_id"), floor_hour("started_at").alias("timestamp")), "station_id"
         ),
+        """SELECT CAST(user_id AS VARCHAR) AS station_id, count(*) AS "rows", count(DISTINCT date_trunc('hour', ts)) AS present,
+                  date_diff('hour', date_trunc('hour', min(ts)), date_trunc('hour', max(ts))) + 1 AS hours FROM events GROUP BY 1
+           HAVING "rows" <> hours OR present <> hours""",
     ),
     "duplicate_keys": Query(
         duplicates,

@@ -107,3 +107,11 @@ def test_any_window_and_shift(spark, values, shift, window):
         else:
             assert r[f"rolling_mean_{window}"] == pytest.approx(np.mean(seen))
             assert r[f"rolling_std_{window}"] == pytest.approx(np.std(seen, ddof=1), abs=1e-9)
+
+
+@pytest.mark.parametrize("wrong", [[0, 1, 3, 4], [0, 1, 1, 2]])
+def test_a_series_with_a_gap_or_a_repeated_hour_is_refused(spark, wrong):
+    stamps = hours("2024-01-01", 5)
+    df = frame(spark, [(stamps[i], "a", 1) for i in wrong], "timestamp timestamp_ntz, station_id string, pickups int")
+    with pytest.raises(Exception, match="series a is not dense"):
+        add_history(df, "station_id", "pickups").collect()
