@@ -39,6 +39,7 @@ HASHED = 384
 PREFIXES = (4, 5, 6)
 #: Voters found in the sample occur in at least so many toxic texts.
 LEAST_TOXIC = 5
+LABEL_ACCURACY = 0.95
 #: Common insults of the languages the corpus has.
 LEXICON = (
     "idiot idiots idiotic moron morons moronic stupid dumb imbecile fool loser losers scum trash garbage filth filthy vermin worthless pathetic "
@@ -129,10 +130,12 @@ def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 10) -> tupl
     """Posterior of the toxic class for each text, and the model's rates and shared voices.
 
     The model is a mixture of two classes with a firing rate for each voter in each. A voter that correlates with
-    others inside the classes counts by one over the sum of its squared correlations.
+    others inside the classes counts by one over the sum of its squared correlations. The label votes too, with the
+    accuracy ``LABEL_ACCURACY``; without it, voters that never fire together would end up in different classes.
     """
     prior = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-    posterior = np.where(labels == 1, 0.9, 0.1)
+    said = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * np.where(labels == 1, 1, -1)
+    posterior = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
     shared = np.ones(fires.shape[1])
     for _ in range(rounds):
         sums = np.stack([posterior, 1 - posterior])
@@ -141,7 +144,7 @@ def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 10) -> tupl
         spread = np.sqrt(np.maximum((rest**2).mean(axis=0), 1e-9))
         shared = np.maximum(((rest.T @ rest / len(rest) / np.outer(spread, spread)) ** 2).sum(axis=0), 1.0)
         fired, silent = np.log(rates[0] / rates[1]) / shared, np.log((1 - rates[0]) / (1 - rates[1])) / shared
-        posterior = sigmoid(np.log(prior / (1 - prior)) + fires @ (fired - silent) + silent.sum())
+        posterior = sigmoid(np.log(prior / (1 - prior)) + said + fires @ (fired - silent) + silent.sum())
     return posterior, {"rates": rates, "shared": shared}
 
 
