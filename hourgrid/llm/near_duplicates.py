@@ -185,7 +185,7 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
     """
     said = "node long, class long"
     own = classes.select("class", "n_shingles", "tokens")
-    frontier, groups, texts, confirmed = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None, None
+    frontier, groups, texts, confirmed, found = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None, None, None
     for level in range(0, DEPTH, STEP):
         sizes = materialize(frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         met = materialize(frontier.join(sizes, "node"), "met")
@@ -195,11 +195,11 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
         large = met.where(F.col("size") > small)
         if large.isEmpty():
             break
-        found = None if confirmed is None else components(confirmed)
         pairs = _around_centers(large, own, found, similarity)
         new = materialize(links(pairs, texts, shingle, similarity), "links")
         confirmed = new if confirmed is None else materialize(confirmed.unionByName(new).distinct(), "links")
-        rows = materialize(_labelled(large.select("node", "class"), components(confirmed)), "labelled")
+        found = components(confirmed)
+        rows = materialize(_labelled(large.select("node", "class"), found), "labelled")
         shares = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
         shares = shares.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
         shares = materialize(shares.select("node", F.col("top.label").alias("top"), F.col("top.n").alias("joined"), (F.col("size") - F.col("top.n")).alias("apart")), "shares")
