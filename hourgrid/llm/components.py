@@ -12,12 +12,16 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _nodes(edges: DataFrame) -> DataFrame:
+    """Each node with the smallest of itself and its neighbours, and its numbers of smaller and larger neighbours."""
+    counts = [F.count_if(F.col("b") < F.col("a")).alias("lower"), F.count_if(F.col("b") > F.col("a")).alias("higher")]
+    return materialize(_neighbours(edges).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), *counts), "nodes")
+
+
+def _round(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One large-star and one small-star step; both keep components and bring nodes closer to their smallest one."""
-    both = _neighbours(edges)
-    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
-    large = both.join(least, "a").where("b > a AND b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-    large = materialize(large, "edges")
+    large = _neighbours(edges).join(nodes.select("a", "least"), "a").where("b > a")
+    large = materialize(large.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "edges")
     down = materialize(large.groupBy("a").agg(F.min("b").alias("least")), "least")
     small = large.join(down, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return materialize(small.unionByName(down.select("a", F.col("least").alias("b"))).distinct(), "edges")
@@ -29,13 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     A hub with a third of all edges is only ever reduced to a minimum, by partial sums, and joined.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    while True:
-        # stars are done: no node is both a tip and a center
-        tips, centers = edges.select("a").distinct(), edges.select(F.col("b").alias("a")).distinct()
-        if tips.join(centers, "a").isEmpty():
-            twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-            if twice.isEmpty():
-                break
-        edges = _round(edges)
-    named = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return materialize(named.unionByName(named.select(F.col("component").alias("node"), "component").distinct()), "components")
+    nodes = _nodes(edges)
+    # stars are done: no node has two smaller neighbours, or both smaller and larger ones
+    while not nodes.where("lower > 1 OR (lower > 0 AND higher > 0)").isEmpty():
+        edges = _round(edges, nodes)
+        nodes = _nodes(edges)
+    return nodes.select(F.col("a").alias("node"), F.col("least").alias("component"))
