@@ -43,6 +43,8 @@ SMALL = 512
 #: Classes among which a large node looks for its central one.
 CANDIDATES = 64
 DEPTH = 60
+#: Keys of at most so many compared texts are broadcast, so that other texts need not be shuffled; 8 bytes each.
+FILTER_KEYS = 1 << 22
 #: Pairs whose tokens agree less than this many standard deviations below the threshold are not confirmed.
 DEVIATIONS = 3.7
 _ROTATE = np.random.default_rng(99).integers(1, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32)
@@ -166,6 +168,11 @@ def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """The links of components to their smallest classes."""
+    return found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _around_centers(large: DataFrame, own: DataFrame, found: DataFrame | None, similarity: float) -> DataFrame:
     """Plausible pairs (``a, b``) of each class of the large nodes with its node's central class."""
     rows = _labelled(large.select("node", "class"), found)
@@ -179,13 +186,13 @@ def _around_centers(large: DataFrame, own: DataFrame, found: DataFrame | None, s
 
 
 def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similarity: float, trees: int = TREES, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Classes that met in nodes, their texts, and the links already confirmed.
+    """Classes that met in nodes, their texts, and stars (``a, b``) of the links already confirmed.
 
     The first table has ``members``, distinct sorted arrays of about ``2 * small`` classes at most.
     """
     said = "node long, class long"
     own = classes.select("class", "n_shingles", "tokens")
-    frontier, groups, texts, confirmed, found = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None, None, None
+    frontier, groups, texts, found = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None, None
     for level in range(0, DEPTH, STEP):
         sizes = materialize(frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         met = materialize(frontier.join(sizes, "node"), "met")
@@ -197,8 +204,9 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
             break
         pairs = _around_centers(large, own, found, similarity)
         new = materialize(links(pairs, texts, shingle, similarity), "links")
-        confirmed = new if confirmed is None else materialize(confirmed.unionByName(new).distinct(), "links")
-        found = components(confirmed)
+        if found is None or not new.isEmpty():
+            # links of earlier levels come back as stars
+            found = components(new if found is None else new.unionByName(_stars(found)))
         rows = materialize(_labelled(large.select("node", "class"), found), "labelled")
         shares = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
         shares = shares.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
@@ -208,7 +216,7 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
         parts = F.greatest(F.ceil(F.col("joined") / small).cast("int"), F.lit(1))
         part = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("class", "node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
         resolved = apart.where(F.col("apart") <= small).select("node", "class", F.explode(part).alias("part"))
-        groups.append(materialize(resolved.select(F.xxhash64("node", "part").alias("node"), "class"), "resolved"))
+        groups.append(resolved.select(F.xxhash64("node", "part").alias("node"), "class"))
         large = materialize(apart.where(F.col("apart") > small).select("node", "class", (F.col("joined") + F.col("apart")).alias("size")), "large")
         if large.isEmpty():
             break
@@ -224,7 +232,7 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
     for more in groups[1:]:
         nodes = nodes.unionByName(more)
     members = nodes.groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("members")).where(F.size("members") > 1)
-    return materialize(members.select("members").distinct(), "nodes"), texts, confirmed
+    return materialize(members.select("members").distinct(), "nodes"), texts, None if found is None else _stars(found)
 
 
 def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -307,9 +315,13 @@ def near_duplicate_classes(rows: DataFrame, shingle: int = SHINGLE, similarity:
     classes = materialize(classes.select("class", "one.*"), "classes")
 
     def texts_of_classes(compared: DataFrame) -> DataFrame:
-        chosen = classes.join(compared, "class").select("class", "row_id", "row_hash")
+        chosen = materialize(classes.join(compared, "class").select("class", "row_id", "row_hash"), "chosen")
+        candidates, key = rows.select("row_id", "row_hash", "text"), F.xxhash64("row_id", "row_hash")
+        if chosen.count() <= FILTER_KEYS:
+            # the join below is exact with and without this filter
+            candidates = candidates.join(F.broadcast(chosen.select(key.alias("key"))), key == F.col("key"), "left_semi")
         # a repeated row would give its class's text twice
-        return materialize(rows.select("row_id", "row_hash", "text").join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"]), "texts")
+        return materialize(candidates.join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"]), "texts")
 
     nodes, texts, around = meeting_classes(classes, texts_of_classes, shingle, similarity, trees)
 
