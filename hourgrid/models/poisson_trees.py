@@ -135,26 +135,30 @@ class PoissonTrees(Estimator):
         steps: list[Step] = []
         state = rows.withColumn("eta", F.lit(base)).persist(StorageLevel.MEMORY_AND_DISK)
         previous = None
-        for number in range(1, self.trees + 1):
-            weighted = state.withColumn("mu", _mean_of(F.col("eta")))
-            weighted = weighted.withColumn("target", (F.col("y") - F.col("mu")) / F.col("mu"))
-            tree = learner.fit(weighted)
-            # Fitting has filled the cache of this state; the one it was computed from can go.
-            if previous is not None:
-                previous.unpersist()
-            step = Step(tree, self._leaf_values(tree, weighted))
-            steps.append(step)
-            previous = state
-            if number % self.cut_lineage_every:
-                scored = tree.transform(state).withColumn("eta", F.col("eta") + step.increment("leaf"))
-                state = scored.select("features", "y", "eta")
-            else:
-                # Start again from the written rows: the plan, and what a lost executor has to
-                # recompute, stay short.
-                state = PoissonTreesModel(base, steps, "features", "eta").with_eta(rows, "eta")
-            state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        previous.unpersist()
-        state.unpersist()
+        try:
+            for number in range(1, self.trees + 1):
+                weighted = state.withColumn("mu", _mean_of(F.col("eta")))
+                weighted = weighted.withColumn("target", (F.col("y") - F.col("mu")) / F.col("mu"))
+                tree = learner.fit(weighted)
+                # Fitting has filled the cache of this state; the one it was computed from can go.
+                if previous is not None:
+                    previous.unpersist()
+                step = Step(tree, self._leaf_values(tree, weighted))
+                steps.append(step)
+                previous = state
+                if number % self.cut_lineage_every:
+                    scored = tree.transform(state).withColumn("eta", F.col("eta") + step.increment("leaf"))
+                    state = scored.select("features", "y", "eta")
+                else:
+                    # Start again from the written rows: the plan, and what a lost executor has to
+                    # recompute, stay short.
+                    state = PoissonTreesModel(base, steps, "features", "eta").with_eta(rows, "eta")
+                state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        finally:
+            # a failed fit leaves no cached rows either
+            for cached in (previous, state):
+                if cached is not None:
+                    cached.unpersist()
         return PoissonTreesModel(base, steps, self.features, self.prediction)
 
     def _leaf_values(self, tree: DecisionTreeRegressionModel, weighted: DataFrame) -> tuple[float, ...]:

@@ -37,8 +37,9 @@ from queries import base
 from queries.base import Query, r, rounded, rounded_columns, with_ctes
 
 TREES = 10
-PERMUTED = ("lag_24", "lag_168", "hour", "temperature_c")
-REPEATS = 3
+#: All numeric features.
+PERMUTED = tuple(f for f in FORECAST_FEATURES if f != "station_id")
+REPEATS = 5
 
 
 def lags(spark, sf_dir) -> DataFrame:

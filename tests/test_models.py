@@ -78,6 +78,12 @@ def test_labels_must_have_a_positive_mean(vectors):
         PoissonTrees(trees=1).fit(vectors.withColumn("pickups", F.lit(0)))
 
 
+def test_no_trees_predict_the_mean(vectors):
+    model = PoissonTrees(trees=0).fit(vectors)
+    mean = vectors.agg(F.avg("pickups")).first()[0]
+    assert model.steps == [] and model.transform(vectors).first()["prediction"] == pytest.approx(mean)
+
+
 def test_unknown_station_gets_no_station_effect(training, spark):
     model = demand_pipeline(["station_id", "a"], "prediction", trees=3).fit(training)
     vector = model.transform(training.limit(1).withColumn("station_id", F.lit("new"))).first()["_prediction_features"]
