@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Classifier:
     known = known.orderBy(F.xxhash64("measures")).limit(SAMPLE).collect()
     rate = min(1.0, POOL / max(docs.count(), 1))
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))
-    others = docs.where(uniform < rate).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+    others = docs.where(uniform < rate).join(ids.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
     others = others.select(fields).mapInArrow(_collect, said).orderBy(F.xxhash64("measures")).limit(POOL).collect()
 
     def views(rows: list) -> tuple[np.ndarray, np.ndarray]:

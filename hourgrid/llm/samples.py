@@ -18,4 +18,4 @@ def labelled_ids(labels: DataFrame, label: str, rows: int, learn_from: Column, s
 
 def with_labels(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents of the sampled ids; the hint is safe because ``labelled_ids`` bounds their number."""
-    return docs.join(F.broadcast(ids), "doc_id")
+    return docs.join(ids, "doc_id")
