@@ -17,5 +17,5 @@ def labelled_ids(labels: DataFrame, label: str, rows: int, learn_from: Column, s
 
 
 def with_labels(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents of the sampled ids; the hint is safe because ``labelled_ids`` bounds their number."""
+    """Documents of the sampled ids, which ``labelled_ids`` bounds in number, so that Spark can broadcast them."""
     return docs.join(ids, "doc_id")
