@@ -13,9 +13,13 @@ def _neighbours(edges: DataFrame) -> DataFrame:
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
-    """Each node with the smallest of itself and its neighbours, and its numbers of smaller and larger neighbours."""
-    counts = [F.count_if(F.col("b") < F.col("a")).alias("lower"), F.count_if(F.col("b") > F.col("a")).alias("higher")]
-    return materialize(_neighbours(edges).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), *counts), "nodes")
+    """Each node with the smallest of itself and its neighbours, and whether it is part of a finished star.
+
+    There, no node has two smaller neighbours, or both smaller and larger ones.
+    """
+    lower = F.when(F.col("b") < F.col("a"), F.col("b"))
+    stars = (F.min(lower) == F.max(lower)) & ~F.max(F.col("b") > F.col("a")) | F.min(lower).isNull()
+    return materialize(_neighbours(edges).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), stars.alias("star")), "nodes")
 
 
 def _round(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -24,18 +28,19 @@ def _round(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     large = materialize(large.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "edges")
     down = materialize(large.groupBy("a").agg(F.min("b").alias("least")), "least")
     small = large.join(down, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return materialize(small.unionByName(down.select("a", F.col("least").alias("b"))).distinct(), "edges")
+    # repeated edges go in the next large-star step
+    return materialize(small.unionByName(down.select("a", F.col("least").alias("b"))), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (``a, b``); a component is named by its smallest node.
 
-    A hub with a third of all edges is only ever reduced to a minimum, by partial sums, and joined.
+    ``edges`` is read several times and should be a written table. A hub with a third of all edges is only ever
+    reduced to a minimum, by partial sums, and joined.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = edges.where("a <> b")
     nodes = _nodes(edges)
-    # stars are done: no node has two smaller neighbours, or both smaller and larger ones
-    while not nodes.where("lower > 1 OR (lower > 0 AND higher > 0)").isEmpty():
+    while not nodes.where("NOT star").isEmpty():
         edges = _round(edges, nodes)
         nodes = _nodes(edges)
     return nodes.select(F.col("a").alias("node"), F.col("least").alias("component"))

@@ -5,14 +5,15 @@
    chooses one or two tokens by a hash of the path, on average ``1 / similarity``, and every class goes to the child
    of its own token there. Similar classes thus stay together in some node with a constant chance per tree, and
    ``TREES`` independent trees make missing a pair at the threshold less likely than one in 100,000.
-3. Nodes of up to ``SMALL`` classes are compared exhaustively, on their full sets of shingles. In a larger one all
-   classes are first compared with a central one, and what that connects is one component. If at most ``SMALL`` classes
+3. Nodes of up to ``SMALL`` classes are compared exhaustively: first on all tokens, which splits a node into groups
+   whose members may be similar, then, group by group, on the full sets of shingles. Only texts of classes in such a
+   group are fetched. In a larger node all classes are first compared with a central one, and what that connects is one component. If at most ``SMALL`` classes
    are outside the node's largest component, they are compared with each other and with that component, part by part,
    as pairs inside it need no link any more; otherwise the node branches on. A group of near copies of any size thus
    costs a few rows for each of its classes, and never all its pairs. Nodes that do not fall apart after ``DEPTH``
    levels (different sets that agree in all tokens) are compared block by block.
-4. Each node reports the links that connect its classes, at most one less than the classes; a link is only left out
-   where others connect its ends already. Links are joined into components.
+4. Each node reports stars of what confirmed links connect in it, at most one row less than its classes; a pair is
+   only left out where links connect its ends already. Links are joined into components.
 
 Texts without words are linked with nothing; a null text has none; shorter texts than a shingle count as one shingle.
 A null id is larger than all others. Repeated rows have equal sets; other columns are ignored; an empty table gives an
@@ -43,8 +44,8 @@ SMALL = 512
 #: Classes among which a large node looks for its central one.
 CANDIDATES = 64
 DEPTH = 60
-#: Pairs whose tokens agree less than this many standard deviations below the threshold are not confirmed.
-DEVIATIONS = 3.7
+#: Pairs whose tokens agree this many standard deviations less than those of sets at the threshold are not confirmed.
+DEVIATIONS = 5
 _ROTATE = np.random.default_rng(99).integers(1, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32)
 _FACTORS = np.random.default_rng(98).integers(1, 1 << 31, TOKENS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -159,6 +160,56 @@ def _near_center(similarity: float):
     return near
 
 
+def likely_groups(tokens: np.ndarray, sizes: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Groups of rows, two at least, that pairs with agreeing tokens and possible sizes connect; every pair is looked at."""
+    least, label = _least_agreement(similarity), np.arange(len(sizes))
+    for i in range(len(sizes) - 1):
+        if (label[i:] == label[i]).all():
+            continue
+        fits = np.minimum(sizes[i], sizes[i + 1 :]) >= (similarity - 1e-9) * np.maximum(sizes[i], sizes[i + 1 :])
+        near = i + 1 + np.flatnonzero(fits & ((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least))
+        if len(near):
+            joined = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    order = np.argsort(label, kind="stable")
+    return [g for g in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(g) > 1]
+
+
+def _likely(similarity: float):
+    """The likely groups of each node, as ``members``; the rows of a node follow each other."""
+
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def groups(rows: pa.Table) -> pa.RecordBatch:
+            nodes, names, sizes = (rows.column(c).to_numpy() for c in ("node", "class", "n_shingles"))
+            tokens = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint16).reshape(-1, TOKENS)
+            ends = [0, *(np.flatnonzero(np.diff(nodes)) + 1), len(nodes)]
+            found = [names[a:b][g] for a, b in zip(ends, ends[1:], strict=False) for g in likely_groups(tokens[a:b], sizes[a:b], similarity)]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["members"])
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                nodes = rows.column("node").to_numpy()
+                last = int(np.flatnonzero(nodes != nodes[-1])[-1]) + 1 if (nodes != nodes[-1]).any() else 0
+                yield groups(rows.slice(0, last))
+                rest = rows.slice(last)
+        if rest is not None:
+            yield groups(rest)
+
+    return likely
+
+
+def _likely_members(nodes: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Distinct ``members``, sorted arrays of classes of one of the ``nodes`` that may be similar."""
+    sets = nodes.groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("members")).where(F.size("members") > 1).select("members").distinct()
+    # written, so that Spark knows its size
+    spread = materialize(sets.select(F.xxhash64("members").alias("node"), F.explode("members").alias("class")), "spread")
+    together = spread.join(own, "class").repartition("node").sortWithinPartitions("node", "class").select("node", "class", "n_shingles", "tokens")
+    return together.mapInArrow(_likely(similarity), "members array<long>").distinct()
+
+
 def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """``rows`` with the component of their class as ``label``, or the class itself where it has no links."""
     if found is None:
@@ -172,36 +223,34 @@ def _stars(found: DataFrame) -> DataFrame:
 
 
 def _around_centers(large: DataFrame, own: DataFrame, found: DataFrame | None, similarity: float) -> DataFrame:
-    """Plausible pairs (``a, b``) of each class of the large nodes with its node's central class."""
-    rows = _labelled(large.select("node", "class"), found)
-    few = rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("class"))).where(F.col("place") <= CANDIDATES)
+    """Likely pairs (``a, b``) of each class of the large nodes with its node's central class."""
+    few = large.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("class"))).where(F.col("place") <= CANDIDATES)
     member = F.struct("class", "label", "n_shingles", "tokens")
-    centers = few.join(own, "class").groupBy("node").agg(F.collect_list(member).alias("members"))
+    centers = _labelled(few.join(own, "class"), found).groupBy("node").agg(F.collect_list(member).alias("members"))
     centers = materialize(centers.mapInArrow(_central, "node long, center long, center_label long, center_size long, center_tokens binary"), "centers")
     fits = F.least("n_shingles", "center_size") >= (similarity - 1e-9) * F.greatest("n_shingles", "center_size")
-    pairs = rows.join(centers, "node").where("label <> center_label").join(own, "class").where(fits)
+    pairs = _labelled(large.join(own, "class"), found).join(centers, "node").where("label <> center_label").where(fits)
     return pairs.select("class", "tokens", "center", "center_tokens").mapInArrow(_near_center(similarity), "a long, b long").distinct()
 
 
-def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similarity: float, trees: int = TREES, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Classes that met in nodes, their texts, and stars (``a, b``) of the links already confirmed.
+def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similarity: float, trees: int = TREES, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """Classes that met in nodes and may be similar, and stars (``a, b``) of the links already confirmed.
 
     The first table has ``members``, distinct sorted arrays of about ``2 * small`` classes at most.
     """
     said = "node long, class long"
     own = classes.select("class", "n_shingles", "tokens")
-    frontier, groups, texts, found = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None, None
+    frontier, groups, found = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None
     for level in range(0, DEPTH, STEP):
         sizes = materialize(frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         met = materialize(frontier.join(sizes, "node"), "met")
-        if texts is None:
-            texts = texts_of_classes(met.select("class").distinct())
         groups.append(met.where(F.col("size") <= small).select("node", "class"))
-        large = met.where(F.col("size") > small)
+        large = materialize(met.where(F.col("size") > small).select("node", "class"), "large")
         if large.isEmpty():
             break
-        pairs = _around_centers(large, own, found, similarity)
-        new = materialize(links(pairs, texts, shingle, similarity), "links")
+        pairs = materialize(_around_centers(large, own, found, similarity), "pairs")
+        compared = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        new = materialize(links(pairs, materialize(texts_of_classes(compared), "texts"), shingle, similarity), "links")
         if found is None or not new.isEmpty():
             # links of earlier levels come back as stars
             found = components(new if found is None else new.unionByName(_stars(found)))
@@ -229,8 +278,7 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
     nodes = groups[0]
     for more in groups[1:]:
         nodes = nodes.unionByName(more)
-    members = nodes.groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("members")).where(F.size("members") > 1)
-    return materialize(members.select("members").distinct(), "nodes"), texts, None if found is None else _stars(found)
+    return materialize(_likely_members(nodes, own, similarity), "nodes"), None if found is None else _stars(found)
 
 
 def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -255,14 +303,18 @@ def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def _compare(shingle: int, similarity: float):
-    """Links within each node; the rows of a node follow each other."""
+    """Stars around the smallest of the classes that links within a node connect; the rows of a node follow each other."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, names, sets = None, [], []
 
         def linked() -> pa.RecordBatch:
-            pairs = [sorted((names[i], names[j])) for i, j in spanning_links(sets, similarity)] if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            least = np.arange(len(sets))
+            for i, j in spanning_links(sets, similarity) if len(sets) > 1 else []:
+                least[least == max(least[i], least[j])] = min(least[i], least[j])
+            named = np.array(names, np.int64)
+            away = np.flatnonzero(least != np.arange(len(sets)))
+            return pa.RecordBatch.from_arrays([pa.array(named[least[away]]), pa.array(named[away])], names=["a", "b"])
 
         for batch in slices(batches):
             shingles, first = shingle_sets(texts_of(batch), shingle)
@@ -313,15 +365,17 @@ def near_duplicate_classes(rows: DataFrame, shingle: int = SHINGLE, similarity:
     classes = materialize(classes.select("class", "one.*"), "classes")
 
     def texts_of_classes(compared: DataFrame) -> DataFrame:
-        chosen = classes.join(compared, "class").select("class", "row_id", "row_hash")
+        # written, so that Spark knows its size and need not shuffle all texts for a few
+        chosen = materialize(classes.join(compared, "class").select("class", "row_id", "row_hash"), "chosen")
         # a repeated row would give its class's text twice
-        return materialize(rows.select("row_id", "row_hash", "text").join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"]), "texts")
+        return rows.select("row_id", "row_hash", "text").join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"])
 
-    nodes, texts, around = meeting_classes(classes, texts_of_classes, shingle, similarity, trees)
+    nodes, around = meeting_classes(classes, texts_of_classes, shingle, similarity, trees)
 
-    spread = nodes.select(F.xxhash64("members").alias("node"), F.explode("members").alias("class")).join(texts, "class")
-    together = spread.repartition("node").sortWithinPartitions("node", "class").select("node", "class", "text")
-    confirmed = together.mapInArrow(_compare(shingle, similarity), "a long, b long").distinct()
+    spread = materialize(nodes.select(F.xxhash64("members").alias("node"), F.explode("members").alias("class")), "spread")
+    together = spread.join(texts_of_classes(spread.select("class").distinct()), "class")
+    together = together.repartition("node").sortWithinPartitions("node", "class").select("node", "class", "text")
+    confirmed = materialize(together.mapInArrow(_compare(shingle, similarity), "a long, b long"), "links")
     if around is not None:
         confirmed = confirmed.unionByName(around)
     return sketched.drop("tokens"), components(confirmed)
