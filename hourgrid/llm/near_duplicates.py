@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.llm.components import components
@@ -46,6 +46,9 @@ CANDIDATES = 64
 DEPTH = 60
 #: Pairs whose tokens agree this many standard deviations less than those of sets at the threshold are not confirmed.
 DEVIATIONS = 5
+#: Bits of the filter that keeps texts that are not needed out of a shuffle: 4 MB, whatever the number of documents. The
+#: fuller it is, the more texts are shuffled for nothing; the join behind it is exact.
+FILTER_BITS = 1 << 25
 _ROTATE = np.random.default_rng(99).integers(1, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32)
 _FACTORS = np.random.default_rng(98).integers(1, 1 << 31, TOKENS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -353,6 +356,39 @@ def links(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, similarity), "a long, b long")
 
 
+def _places() -> list[Column]:
+    """The two bits of a row's key in the filter."""
+    return [F.pmod(F.xxhash64("row_id", "row_hash", F.lit(k)), F.lit(FILTER_BITS)).alias(f"place_{k}") for k in range(2)]
+
+
+def _may_be_chosen(chosen: DataFrame) -> np.ndarray:
+    """A bit for each place of a chosen key; Spark builds it in pieces of 32,768 bits."""
+    place = chosen.select(F.explode(F.array(*_places())).alias("place")).select((F.col("place") + 1).alias("place"))
+    pieces = place.groupBy(F.bitmap_bucket_number("place").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for row in pieces.collect():
+        bits[row["piece"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return bits.reshape(-1)
+
+
+def _passing(bits: np.ndarray):
+    def passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [batch.column(c).to_numpy() for c in ("place_0", "place_1")]
+            set_bits = [(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in places]
+            yield batch.select(["row_id", "row_hash", "text"]).filter(pa.array((set_bits[0] & set_bits[1]).astype(bool)))
+
+    return passing
+
+
+def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``class, text`` of the ``chosen`` keys; repeated rows give their text once."""
+    kinds = dict(rows.dtypes)
+    near = rows.select("row_id", "row_hash", "text", *_places())
+    near = near.mapInArrow(_passing(_may_be_chosen(chosen)), f"row_id {kinds['row_id']}, row_hash long, text string")
+    return near.join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"])
+
+
 def near_duplicate_classes(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """Rows of ``identified`` documents with their class, and each class's component, if it has links.
 
@@ -365,10 +401,8 @@ def near_duplicate_classes(rows: DataFrame, shingle: int = SHINGLE, similarity:
     classes = materialize(classes.select("class", "one.*"), "classes")
 
     def texts_of_classes(compared: DataFrame) -> DataFrame:
-        # written, so that Spark knows its size and need not shuffle all texts for a few
-        chosen = materialize(classes.join(compared, "class").select("class", "row_id", "row_hash"), "chosen")
-        # a repeated row would give its class's text twice
-        return rows.select("row_id", "row_hash", "text").join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"])
+        # written, as it is read for the filter and for the join
+        return _texts(rows, materialize(classes.join(compared, "class").select("class", "row_id", "row_hash"), "chosen"))
 
     nodes, around = meeting_classes(classes, texts_of_classes, shingle, similarity, trees)
 
