@@ -3,15 +3,16 @@
 1. Documents with equal shingle sets form a class, and one text stands for it from then on.
 2. Each class has ``TOKENS`` minwise tokens. In a tree, a node keeps the classes whose tokens agree along its path; it
    chooses one or two tokens by a hash of the path, on average ``1 / similarity``, and every class goes to the child
-   of its own token there. Similar classes thus stay together in some node with a constant chance per tree, and
-   ``TREES`` independent trees make missing a pair at the threshold less likely than one in 100,000.
+   of its own token there. A pair is found in a tree if it is still together in some node when that node is compared.
+   The deeper that is, the less likely: a class whose nodes were branched goes through so many more independent trees
+   that missing a pair at the threshold is less likely than ``MISS`` at the depth its nodes reached (``trees_needed``).
 3. Nodes of up to ``SMALL`` classes are compared exhaustively: first on all tokens, which splits a node into groups
    whose members may be similar, then, group by group, on the full sets of shingles. Only texts of classes in such a
    group are fetched. In a larger node all classes are first compared with a central one, and what that connects is one component. If at most ``SMALL`` classes
    are outside the node's largest component, they are compared with each other and with that component, part by part,
    as pairs inside it need no link any more; otherwise the node branches on. A group of near copies of any size thus
-   costs a few rows for each of its classes, and never all its pairs. Nodes that do not fall apart after ``DEPTH``
-   levels (different sets that agree in all tokens) are compared block by block.
+   costs a few rows for each of its classes, and never all its pairs. Nodes that do not fall apart in ``DEPTH`` levels
+   are compared block by block, as deeper ones would need more trees than the blocks cost.
 4. Each node reports stars of what confirmed links connect in it, at most one row less than its classes; a pair is
    only left out where links connect its ends already. Links are joined into components.
 
@@ -23,6 +24,8 @@ empty result. Classes are named by 64 bits of a hash of their set.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,16 @@ from hourgrid.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 TOKENS = 128
+#: Trees for all classes.
 TREES = 10
+#: The chance, at most, that a pair at the threshold is in no compared node.
+MISS = 1e-5
 #: Levels that a class walks before the sizes of its nodes are looked at.
 STEP = 2
 SMALL = 512
 #: Classes among which a large node looks for its central one.
 CANDIDATES = 64
-DEPTH = 60
+DEPTH = 10
 #: Pairs whose tokens agree this many standard deviations less than those of sets at the threshold are not confirmed.
 DEVIATIONS = 5
 #: Bits of the filter that keeps texts that are not needed out of a shuffle: 4 MB, whatever the number of documents. The
@@ -110,12 +116,37 @@ def _walk(nodes: np.ndarray, members: np.ndarray, tokens: np.ndarray, similarity
     return nodes, members
 
 
+def miss_chance(similarity: float, depth: int, trees: int) -> float:
+    """The chance that a pair of this similarity is apart in all nodes ``depth`` levels down in each of the trees.
+
+    The trees share the pair's tokens, so the chance is taken for each number of tokens that may agree.
+    """
+    agree = np.arange(TOKENS + 1)
+    weight = np.array([comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k) for k in range(TOKENS + 1)])
+    both, neither = (n * (n - 1) / (TOKENS * (TOKENS - 1)) for n in (agree, TOKENS - agree))
+    apart = np.zeros(TOKENS + 1)
+    for _ in range(depth):
+        once = 1 - agree / TOKENS * (1 - apart)
+        twice = neither + (1 - both - neither) * apart + both * apart**2
+        apart = (2 - 1 / similarity) * once + (1 / similarity - 1) * twice
+    return float((weight * apart**trees).sum())
+
+
+@cache
+def trees_needed(similarity: float, depth: int) -> int:
+    """The least number of trees that miss a pair at the threshold with a chance of at most ``MISS``."""
+    trees = 1
+    while miss_chance(similarity, depth, trees) > MISS:
+        trees += 1
+    return trees
+
+
 def _tokens_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(batch.num_rows, TOKENS)
 
 
-def _branch(similarity: float, trees: int | None):
-    """Emits ``node, class``: from the roots of ``trees`` trees, or from each row's ``node``."""
+def _branch(similarity: float, roots: bool):
+    """Emits ``node, class``: from the roots of the trees from ``begin`` to before ``end``, or from each row's ``node``."""
 
     def branch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,11 +154,13 @@ def _branch(similarity: float, trees: int | None):
                 part = batch.slice(at, 4096)
                 name, tokens = part.column("class").to_numpy(), _tokens_of(part)
                 members = np.arange(part.num_rows)
-                if trees is None:
-                    nodes = part.column("node").to_numpy().view(np.uint64)
+                if roots:
+                    begin, end = (part.column(c).to_numpy() for c in ("begin", "end"))
+                    members = np.repeat(members, end - begin)
+                    tree = np.arange(len(members)) - np.repeat(np.cumsum(end - begin) - end, end - begin)
+                    nodes = mixed(tree.astype(np.uint64) + np.uint64(1))
                 else:
-                    nodes = np.repeat(mixed(np.arange(1, trees + 1, dtype=np.uint64)), part.num_rows)
-                    members = np.tile(members, trees)
+                    nodes = part.column("node").to_numpy().view(np.uint64)
                 nodes, members = _walk(nodes, members, tokens, similarity, STEP)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(name[members])], names=["node", "class"])
 
@@ -243,41 +276,58 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
     """
     said = "node long, class long"
     own = classes.select("class", "n_shingles", "tokens")
-    frontier, groups, found = own.select("class", "tokens").mapInArrow(_branch(similarity, trees), said), [], None
-    for level in range(0, DEPTH, STEP):
-        sizes = materialize(frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        met = materialize(frontier.join(sizes, "node"), "met")
-        groups.append(met.where(F.col("size") <= small).select("node", "class"))
-        large = materialize(met.where(F.col("size") > small).select("node", "class"), "large")
-        if large.isEmpty():
+    needed = F.array(*[F.lit(trees_needed(similarity, d)) for d in range(STEP, DEPTH + 1, STEP)])
+    groups, found = [], None
+    # classes, the trees they go through next, and the depth that their nodes have reached
+    first = max(trees, trees_needed(similarity, STEP))
+    asked = own.select("class", "tokens", F.lit(0).alias("begin"), F.lit(first).alias("end"), F.lit(STEP).alias("depth"))
+    while True:
+        deeper = []
+        frontier = asked.select("class", "tokens", "begin", "end").mapInArrow(_branch(similarity, True), said)
+        for level in range(0, DEPTH, STEP):
+            sizes = materialize(frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+            met = materialize(frontier.join(sizes, "node"), "met")
+            groups.append(met.where(F.col("size") <= small).select("node", "class"))
+            large = materialize(met.where(F.col("size") > small).select("node", "class"), "large")
+            if large.isEmpty():
+                break
+            pairs = materialize(_around_centers(large, own, found, similarity), "pairs")
+            compared = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+            new = materialize(links(pairs, materialize(texts_of_classes(compared), "texts"), shingle, similarity), "links")
+            if found is None or not new.isEmpty():
+                # links of earlier levels come back as stars
+                found = components(new if found is None else new.unionByName(_stars(found)))
+            rows = materialize(_labelled(large.select("node", "class"), found), "labelled")
+            shares = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
+            shares = shares.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
+            shares = materialize(shares.select("node", F.col("top.label").alias("top"), F.col("top.n").alias("joined"), (F.col("size") - F.col("top.n")).alias("apart")), "shares")
+            apart = rows.join(shares.where("apart > 0"), "node")
+            # classes apart, with every part of the node's largest component
+            parts = F.greatest(F.ceil(F.col("joined") / small).cast("int"), F.lit(1))
+            part = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("class", "node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+            resolved = apart.where(F.col("apart") <= small).select("node", "class", F.explode(part).alias("part"))
+            groups.append(resolved.select(F.xxhash64("node", "part").alias("node"), "class"))
+            large = materialize(apart.where(F.col("apart") > small).select("node", "class", (F.col("joined") + F.col("apart")).alias("size")), "large")
+            if large.isEmpty():
+                break
+            if level + STEP < DEPTH:
+                frontier = large.select("node", "class").join(own.select("class", "tokens"), "class").mapInArrow(_branch(similarity, False), said)
+                deeper.append(large.select("class", F.lit(level + 2 * STEP).alias("depth")).distinct())
+            else:
+                # blocks of a node's classes, each with every other block
+                parts = F.ceil(F.col("size") / small).cast("int")
+                split = large.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("class", "node"), parts).cast("int")})
+                pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
+                groups.append(split.select("class", "node", pair.alias("pair")).select(F.xxhash64("node", "pair").alias("node"), "class"))
+        if not deeper:
             break
-        pairs = materialize(_around_centers(large, own, found, similarity), "pairs")
-        compared = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        new = materialize(links(pairs, materialize(texts_of_classes(compared), "texts"), shingle, similarity), "links")
-        if found is None or not new.isEmpty():
-            # links of earlier levels come back as stars
-            found = components(new if found is None else new.unionByName(_stars(found)))
-        rows = materialize(_labelled(large.select("node", "class"), found), "labelled")
-        shares = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
-        shares = shares.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
-        shares = materialize(shares.select("node", F.col("top.label").alias("top"), F.col("top.n").alias("joined"), (F.col("size") - F.col("top.n")).alias("apart")), "shares")
-        apart = rows.join(shares.where("apart > 0"), "node")
-        # classes apart, with every part of the node's largest component
-        parts = F.greatest(F.ceil(F.col("joined") / small).cast("int"), F.lit(1))
-        part = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("class", "node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
-        resolved = apart.where(F.col("apart") <= small).select("node", "class", F.explode(part).alias("part"))
-        groups.append(resolved.select(F.xxhash64("node", "part").alias("node"), "class"))
-        large = materialize(apart.where(F.col("apart") > small).select("node", "class", (F.col("joined") + F.col("apart")).alias("size")), "large")
-        if large.isEmpty():
+        # a pair is found if one of its classes has had its trees
+        reached = reduce(DataFrame.unionByName, deeper).groupBy("class").agg(F.max("depth").alias("reached"))
+        depth = F.greatest("depth", "reached")
+        asked = asked.join(reached, "class").select("class", "tokens", F.col("end").alias("begin"), F.element_at(needed, (depth / STEP).cast("int")).alias("end"), depth.alias("depth"))
+        asked = materialize(asked.where("end > begin"), "asked")
+        if asked.isEmpty():
             break
-        if level + STEP < DEPTH:
-            frontier = large.select("node", "class").join(own.select("class", "tokens"), "class").mapInArrow(_branch(similarity, None), said)
-        else:
-            # blocks of a node's classes, each with every other block
-            parts = F.ceil(F.col("size") / small).cast("int")
-            split = large.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("class", "node"), parts).cast("int")})
-            pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
-            groups.append(split.select("class", "node", pair.alias("pair")).select(F.xxhash64("node", "pair").alias("node"), "class"))
     nodes = groups[0]
     for more in groups[1:]:
         nodes = nodes.unionByName(more)

@@ -125,6 +125,34 @@ def test_large_nodes_are_split_around_their_center(spark, monkeypatch):
     assert got == {r[0]: rows[x][0] for r, x in zip(rows, label, strict=True)}
 
 
+def test_pairs_hidden_among_templates_are_found(spark, monkeypatch):
+    """Texts of one template, 0.7 similar to each other, whose nodes stay large for many levels, and pairs just above the threshold among them."""
+    rng = np.random.default_rng(7)
+    template, pairs = [f"t{i}" for i in range(82)], 400
+    own = lambda i, n: [f"o{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join(rng.permutation(template + own(f"p{i // 2}", 7) + own(i, 11)))) for i in range(2 * pairs)]
+    rows += [(i, " ".join(rng.permutation(template + own(i, 18)))) for i in range(2 * pairs, 1200)]
+    words = {w: k for k, w in enumerate({w for r in rows for w in r[1].split()})}
+    has = np.zeros((len(rows), len(words)), np.float32)
+    for i, r in enumerate(rows):
+        has[i, [words[w] for w in r[1].split()]] = 1
+    both = has @ has.T
+    similar = both / (200 - both) >= 0.8
+    assert similar.sum() == len(rows) + 2 * pairs
+    want = {i: int(np.flatnonzero(similar[i])[0]) for i in range(len(rows))}
+    meeting = near_duplicates.meeting_classes
+    monkeypatch.setattr(near_duplicates, "meeting_classes", lambda *a, **k: meeting(*a, **k, small=100))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=1, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_the_trees_keep_the_chance_of_a_miss_at_every_depth():
+    for similarity in (0.8, 0.85):
+        trees = [near_duplicates.trees_needed(similarity, d) for d in range(near_duplicates.STEP, near_duplicates.DEPTH + 1, near_duplicates.STEP)]
+        assert trees[0] <= near_duplicates.TREES < trees[1] and trees == sorted(trees)
+        assert near_duplicates.miss_chance(similarity, near_duplicates.DEPTH, trees[-1]) <= 1e-5 < near_duplicates.miss_chance(similarity, near_duplicates.DEPTH, near_duplicates.TREES)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(5, 5), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
