@@ -1,7 +1,7 @@
 """Benchmark decontamination: fingerprints of item-sized windows, a Hamming index, and an exact check.
 
-1. A benchmark item of n words is compared with windows of n words of the documents. Windows without a shingle of the
-   item have similarity 0 and are not fingerprinted.
+1. A benchmark item of n words is compared with windows of n words of the documents, and a document of fewer words is
+   one window as a whole. Windows without a shingle of the item have similarity 0 and are not fingerprinted.
 2. The SimHash of a window adds the signs of its shingles, each as often as it occurs, in 128 bits; running sums give
    every window of a size in one pass.
 3. Fingerprints within ``RADIUS`` of an item's differ by at most ``RADIUS // BLOCKS`` bits in one of ``BLOCKS`` blocks of
@@ -13,8 +13,7 @@
 Words are runs of letters and digits, A-Z in lower case. Items go to the tasks in parts of ``ITEM_BLOCK``, each with a
 pass over the documents; shingles of items are the only thing that travels, and texts are never shuffled.
 
-Items and documents that are null or shorter than a shingle match nothing; documents shorter than an item are no match
-for it; repeated rows give their matches again; an empty table on either side gives an empty result.
+Items and documents that are null or shorter than a shingle match nothing; repeated rows give their matches again; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,7 +112,7 @@ class Items:
         return which[distance <= RADIUS], item[distance <= RADIUS]
 
     def matches(self, shingles: np.ndarray, threshold: float) -> list[tuple[int, float, int]]:
-        """``(item, similarity, first word)`` of the best window for each item that the text's shingles contain."""
+        """``(item, similarity, first word)`` of the best window for each item that the text's shingles contain, or nearly are."""
         seen = np.flatnonzero(self.filter[shingles & np.uint64((1 << 20) - 1)])
         place = np.minimum(np.searchsorted(self.keys, shingles[seen]), len(self.keys) - 1)
         real = self.keys[place] == shingles[seen]
@@ -124,10 +123,16 @@ class Items:
         at = np.repeat(self.key_starts[place], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         sizes, hits = self.key_sizes[at], np.repeat(seen, count)
         best: dict[int, tuple[float, int]] = {}
-        for size in np.unique(sizes):
+        own = len(shingles) + SHINGLE - 1
+        if (sizes > own).any():
+            # as a whole, the text is the only window for items that are longer
+            _, item = self.nearby(_blocks(_signs(shingles).sum(axis=0, dtype=np.int64)[None, :]))
+            for i in item[(self.sizes[item] > own) & (len(shingles) >= threshold * (self.sizes[item] - SHINGLE + 1) - 1e-9)].tolist():
+                found = (weighted_similarity(shingles, self.shingles[i]), 0)
+                if found[0] >= threshold:
+                    best[i] = found
+        for size in np.unique(sizes[sizes <= own]):
             span = size - SHINGLE + 1
-            if len(shingles) < span:
-                continue
             edges = np.zeros(len(shingles) + 2, np.int64)
             hit = hits[sizes == size]
             np.add.at(edges, np.maximum(hit - span + 1, 0), 1)
@@ -145,8 +150,8 @@ class Items:
                                 best[i] = found
         return [(i, similarity, -start) for i, (similarity, start) in sorted(best.items())]
 
-    def found_in(self, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, float, int]]:
-        """``(text, item, similarity, first word)``."""
+    def found_in(self, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """``(text, item, similarity, first word, words)``."""
         if not self.ids:
             return
         words = find_words(texts, PUNCTUATION, lower=True)
@@ -157,7 +162,7 @@ class Items:
             begin, end = words.first[i], words.first[i + 1] - SHINGLE + 1
             if end > begin and maybe[end] > maybe[begin]:
                 for item, similarity, start in self.matches(shingles[begin:end], threshold):
-                    yield i, item, similarity, start
+                    yield i, item, similarity, start, min(int(self.sizes[item]), int(words.first[i + 1] - begin))
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block: int = ITEM_BLOCK) -> Iterator[Items]:
@@ -179,7 +184,7 @@ def _leaks(items: Items, threshold: float, schema: pa.Schema):
                 pa.array([items.ids[f[1]] for f in found], schema.field("item_id").type),
                 pa.array([f[2] for f in found], pa.float64()),
                 pa.array([f[3] for f in found], pa.int64()),
-                pa.array([int(items.sizes[f[1]]) for f in found], pa.int64()),
+                pa.array([f[4] for f in found], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 

@@ -185,6 +185,35 @@ def test_decontamination_equals_brute_force(spark, docs, rows, empty):
     assert not decontamination.find_leaks(docs, benchmark.limit(0)).collect()
 
 
+def test_documents_shorter_than_an_item_equal_brute_force(spark):
+    """Items with words cut off at either end, alone and within longer texts."""
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choices(WORDS, k=n))) for i, n in enumerate((60, 30, 14, 6))]
+    texts = []
+    for _, said in items:
+        w = said.split()
+        for cut in range(0, 16):
+            texts += [" ".join(w[cut:]), " ".join(w[: len(w) - cut]), " ".join(w[cut // 2 : len(w) - cut // 2]), " ".join(w[cut:] + rng.choices(WORDS, k=70))]
+    shingled = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want, short = [], 0
+    for doc, text in enumerate(texts):
+        w = text.split()
+        for item, said in items:
+            own = said.split()
+            size, best = min(len(own), len(w)), (0.0, 0)
+            for at in range(len(w) - size + 1):
+                window, target = shingled(w[at : at + size]), shingled(own)
+                best = max(best, (sum((target & window).values()) / sum((target | window).values()), -at))
+            if best[0] >= 0.8:
+                want.append((doc, item, round(best[0], 6), -best[1], size))
+                short += size < len(own)
+    found = decontamination.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((*r[:2], round(r[2], 6), *r[3:]) for r in found.collect()) == sorted(want) and short > 40
+    blocks = [*decontamination.item_blocks(spark.createDataFrame(items, "item_id long, text string"))]
+    clean = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").where(~decontamination.is_leaked(blocks[0], F.col("text")))
+    assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {x[0] for x in want}
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(5)
     items = decontamination.Items([0, 1], [" ".join(WORDS[:30]), " ".join(WORDS[30:70])])
