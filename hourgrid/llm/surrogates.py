@@ -1,13 +1,16 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 One pattern finds the entities: e-mail and IP addresses, telephone and card numbers, social security numbers, bank
-accounts, and names after a title. Every distinct entity gets a surrogate that depends on a secret key and on the entity: a
+accounts, and names after a title. An entity is what its spellings share: a mail address in lower case, the letters and
+digits of a number, the first and the family name each on their own, without the title. It gets a surrogate that depends
+on a secret key and on that, and every mention shows it in the mention's own format: a
 letter becomes a letter of the same case, script and kind (vowels stay vowels, so names can be spoken), a digit a digit,
 anything else stays; names come from lists by the gender of the title and the script; card numbers keep a right check
 digit; the ends of mail domains, country and area formats stay. The same entity has the same surrogate in all documents.
 
 Distinctness is checked: where surrogates of several entities coincide, or equal an entity that occurs, all but the
-least of those entities draw again with the next attempt, until none is left. Surrogates are made once per distinct entity.
+least of those entities draw again with the next attempt, until none is left; after some attempts, names, mail addresses
+and telephone numbers get longer. Surrogates are made once per distinct entity.
 Only texts with an entity take part in a join; the others pass by.
 
 A null text has no entities and stays null; an empty one stays empty; repeated rows are changed alike; other columns are
@@ -23,6 +26,8 @@ from hourgrid.llm.staging import identified
 from hourgrid.session import materialize
 
 KEY = "surrogate key of this corpus"
+#: The attempt from which on surrogates may be longer than their entity.
+WIDER = 4
 MALE_TITLES, FEMALE_TITLES, OTHER_TITLES = r"Mr|Herr|Señor|Sr|Monsieur|г-н", r"Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|г-жа", r"Dr|Prof"
 #: Names by gender and script.
 NAMES = {
@@ -94,62 +99,136 @@ def _luhn(card: Column) -> Column:
     return _checked(card) == card
 
 
-def _named(entity: Column, stream: Column) -> Column:
-    """The title as it is, then names of the title's gender in the name's script."""
-    words = F.split(entity, " ")
-    title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    gender = F.when(F.rlike(title, F.lit(f"^(?:{MALE_TITLES})$")), "male").when(F.rlike(title, F.lit(f"^(?:{FEMALE_TITLES})$")), "female").otherwise("other")
-    script = F.when(F.rlike(F.element_at(words, 2), F.lit(r"^\p{IsCyrillic}")), "cyrillic").otherwise("latin")
-
-    def name(word: Column, place: Column) -> Column:
-        chosen = word
-        number = F.conv(F.substring(stream, 8 * place + 1, 6), 16, 10).cast("int")
-        for (g, s), names in NAMES.items():
-            listed = F.array(*[F.lit(n) for n in names])
-            chosen = F.when((gender == g) & (script == s), F.element_at(listed, number % len(names) + 1)).otherwise(chosen)
-        return chosen
-
-    # a first name from the list, and for the family name a spoken word of the same form
-    last = F.substring(stream, 33, 10_000)
-    rest = F.transform(F.slice(words, 2, 10), lambda w, i: F.when(i == 0, F.when(F.size(words) > 2, name(w, i)).otherwise(_spelled(w, last))).otherwise(_spelled(w, last)))
-    return F.array_join(F.concat(F.slice(words, 1, 1), rest), " ")
-
-
-def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) -> Column:
-    stream = _stream(entity, attempt, key)
-    at = F.locate("@", entity)
-    ending = F.length(entity) - F.length(F.substring_index(entity, ".", -1)) - 1
-    mail = F.concat(_spelled(F.substring(entity, F.lit(1), at - 1), stream), F.lit("@"),
-                    _spelled(F.substring(entity, at + 1, ending - at), F.substring(stream, 2 * at + 1, 10_000)), F.substring(entity, ending + 1, F.lit(64)))
-    octets = F.transform(F.split(entity, r"\."), lambda o, i: (_number(stream, 4 * i) * 256 + _number(stream, 4 * i + 1)) % 223 + 1)
-    card = _spelled(entity, stream, 1)
+def _gender(title: Column) -> Column:
+    bare = F.regexp_replace(title, r"\.$", "")
+    return F.when(F.rlike(bare, F.lit(f"^(?:{MALE_TITLES})$")), "male").when(F.rlike(bare, F.lit(f"^(?:{FEMALE_TITLES})$")), "female").otherwise("other")
+
+
+def _first_name(name: Column, part: Column, stream: Column) -> Column:
+    """A listed name of the gender of ``part`` and of the script of ``name``."""
+    script = F.when(F.rlike(name, F.lit(r"^\p{IsCyrillic}")), "cyrillic").otherwise("latin")
+    chosen, number = name, F.conv(F.substring(stream, F.lit(1), F.lit(6)), 16, 10).cast("int")
+    for (g, s), names in NAMES.items():
+        listed = F.array(*[F.lit(n) for n in names])
+        chosen = F.when((part == f"first {g}") & (script == s), F.element_at(listed, number % len(names) + 1)).otherwise(chosen)
+    return chosen
+
+
+def _marks(entity: Column) -> Column:
+    return F.regexp_replace(entity, "[^A-Za-z0-9]", "")
+
+
+def normalised(entity: Column, kind: Column) -> Column:
+    """What all spellings of an entity other than a name share."""
+    marks = _marks(entity)
+    # numbers of country 1 are also written without it
+    phone = F.when(~F.startswith(entity, F.lit("+")), marks).when(F.rlike(marks, F.lit("^1[0-9]{10}$")), F.substring(marks, 2, 10)).otherwise(F.concat(F.lit("+"), marks))
+    return F.when(kind == "email", F.lower(entity)).when(kind == "phone", phone).when(kind == "ip", entity).otherwise(marks)
+
+
+def _more(last: Column, part: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """Further characters like ``last`` from attempt ``WIDER`` on, one more with each attempt."""
+    stream = _stream(F.concat(F.lit("wider|"), part, F.lit("|"), norm), attempt, key)
+    places = F.sequence(F.lit(0), F.least(attempt - WIDER, F.lit(11)))
+    letter = lambda p: F.coalesce(F.nullif(_replaced(last, _number(stream, p)), last), _replaced(F.lit("b"), _number(stream, p)))
+    return F.when(attempt < WIDER, "").otherwise(F.array_join(F.transform(F.when(attempt >= WIDER, places), letter), ""))
+
+
+def surrogate(norm: Column, part: Column, attempt: Column, key: str = KEY) -> Column:
+    """The drawn value, in normalised form, of a part of an entity."""
+    stream = _stream(F.concat(part, F.lit("|"), norm), attempt, key)
+    more = lambda last: _more(last, part, norm, attempt, key)
+    at = F.locate("@", norm)
+    ending = F.length(norm) - F.length(F.substring_index(norm, ".", -1)) - 1
+    mail = F.concat(_spelled(F.substring(norm, F.lit(1), at - 1), stream), more(F.lit("b")), F.lit("@"),
+                    _spelled(F.substring(norm, at + 1, ending - at), F.substring(stream, 2 * at + 1, 10_000)), F.substring(norm, ending + 1, F.lit(64)))
+    octets = F.transform(F.split(norm, r"\."), lambda o, i: (_number(stream, 4 * i) * 256 + _number(stream, 4 * i + 1)) % 223 + 1)
+    card, first = _spelled(norm, stream, 1), _first_name(norm, part, stream)
     return (
-        F.when(kind == "email", mail)
-        .when(kind == "ip", F.array_join(octets.cast("array<string>"), "."))
-        .when(kind == "card", F.when(_luhn(entity), _checked(card)).otherwise(card))
-        .when(kind == "iban", _spelled(entity, stream, 2))
-        .when(kind == "phone", F.when(F.startswith(entity, F.lit("+")), _spelled(entity, stream, 2)).otherwise(_spelled(entity, stream)))
-        .when(kind == "name", _named(entity, stream))
-        .otherwise(_spelled(entity, stream))
+        F.when(part == "email", mail)
+        .when(part == "ip", F.array_join(octets.cast("array<string>"), "."))
+        .when(part == "card", F.when(_luhn(norm), _checked(card)).otherwise(card))
+        .when(part == "iban", _spelled(norm, stream, 2))
+        .when(part == "phone", F.concat(F.when(F.startswith(norm, F.lit("+")), _spelled(norm, stream, 2)).otherwise(_spelled(norm, stream)), more(F.lit("0"))))
+        .when(part == "family", F.concat(_spelled(norm, stream), more(F.right(norm, F.lit(1)))))
+        .when(F.startswith(part, F.lit("first")), F.concat(first, more(F.right(first, F.lit(1)))))
+        .otherwise(_spelled(norm, stream))
     )
 
 
-def surrogates_of(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """``entity, kind, surrogate`` of distinct ``entity``; no two surrogates are equal, and none is an entity."""
+def _like_mail(entity: Column, drawn: Column) -> Column:
+    """The drawn address with capitals where the mention has them."""
+    at, more = F.locate("@", entity) - 1, F.length(drawn) - F.length(entity)
+
+    def letter(p: Column) -> Column:
+        own = F.when(p < at, F.substring(entity, p + 1, F.lit(1))).when(p < at + more, "").otherwise(F.substring(entity, p - more + 1, F.lit(1)))
+        drawn_one = F.substring(drawn, p + 1, F.lit(1))
+        return F.when(F.rlike(own, F.lit("[A-Z]")), F.upper(drawn_one)).otherwise(drawn_one)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(drawn) - 1), letter), "")
+
+
+def _like_number(entity: Column, norm: Column, drawn: Column) -> Column:
+    """The drawn letters and digits between the other characters of the mention; a country code that ``norm`` lacks stays."""
+    drawn, size = F.ltrim(drawn, F.lit("+")), F.length(F.ltrim(norm, F.lit("+")))
+    skip = F.length(_marks(entity)) - size
+
+    def letter(p: Column) -> Column:
+        own, before = F.substring(entity, p + 1, F.lit(1)), F.length(_marks(F.substring(entity, F.lit(1), p)))
+        return F.when(F.rlike(own, F.lit("[A-Za-z0-9]")) & (before >= skip), F.substring(drawn, before - skip + 1, F.lit(1))).otherwise(own)
+
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.length(entity) - 1), letter), ""), F.substring(drawn, size + 1, F.lit(64)))
+
+
+def parts_of(entities: DataFrame) -> DataFrame:
+    """``entity, kind, place, part, norm``: names in their first and family name, others as one part.
+
+    A first name after a title of no gender has the gender that titles give it elsewhere, if that is only one.
+    """
+    words = F.split("entity", " ")
+    pair = lambda place, part, norm: F.struct(F.lit(place).alias("place"), part.alias("part"), norm.alias("norm"))
+    family = pair(1, F.lit("family"), F.element_at(words, -1))
+    first = pair(0, F.concat(F.lit("first "), _gender(F.element_at(words, 1))), F.element_at(words, 2))
+    kind = F.col("kind")
+    parts = F.when(kind != "name", F.array(pair(0, kind, normalised(F.col("entity"), kind)))).when(F.size(words) > 2, F.array(first, family)).otherwise(F.array(family))
+    spread = materialize(entities.select("entity", kind_of(F.col("entity")).alias("kind")).select("entity", "kind", F.inline(parts)), "parts")
+    told = spread.where("part IN ('first male', 'first female')").groupBy("norm").agg(F.min("part").alias("told"), F.max("part").alias("most")).where("told = most").select("norm", "told")
+    open_ones = spread.where("part = 'first other'").join(told, "norm", "left")
+    return spread.where("part <> 'first other'").unionByName(open_ones.select("entity", "kind", "place", F.coalesce("told", "part").alias("part"), "norm"))
+
+
+def _drawn(parts: DataFrame, key: str) -> DataFrame:
+    """``part, norm, surrogate`` of distinct parts; those of one kind have different surrogates.
+
+    No surrogate is a part that occurs; a first name's is only another one than its own, as family names differ anyway.
+    """
     settled = None
-    drawn = entities.select("entity", kind_of(F.col("entity")).alias("kind"), F.lit(0).alias("attempt"))
+    real = parts.where("NOT startswith(part, 'first')").select(F.col("part").alias("group"), F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
+    group = F.element_at(F.split("part", " "), 1).alias("group")
+    drawn = parts.select("part", "norm", F.lit(0).alias("attempt"))
     while True:
-        drawn = drawn.select("entity", "kind", "attempt", surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key).alias("surrogate"))
+        drawn = drawn.select("part", "norm", "attempt", surrogate(F.col("norm"), F.col("part"), F.col("attempt"), key).alias("surrogate"), group)
         drawn = materialize(drawn if settled is None else settled.unionByName(drawn), "surrogates")
-        real = entities.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        first = drawn.groupBy("surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
-        clashes = materialize(first.join(real, "surrogate", "left").where("n > 1 OR real").select("surrogate", "first.entity", F.coalesce("real", F.lit(False)).alias("real")), "clashes")
+        first = drawn.groupBy("group", "surrogate").agg(F.min(F.struct("attempt", "norm", "part")).alias("first"), F.count("*").alias("n"), F.max(F.col("surrogate") == F.col("norm")).alias("own"))
+        clashes = first.join(real, ["group", "surrogate"], "left").where("n > 1 OR own OR real")
+        clashes = materialize(clashes.select("group", "surrogate", F.struct("first.norm", "first.part").alias("owner"), F.coalesce("real", F.lit(False)).alias("real")), "clashes")
         if clashes.isEmpty():
-            return drawn.select("entity", "kind", "surrogate")
-        judged = drawn.join(clashes.withColumnsRenamed({"entity": "owner"}), "surrogate", "left")
-        loses = F.coalesce(F.col("real") | (F.col("entity") != F.col("owner")), F.lit(False))
-        settled = judged.where(~loses).select("entity", "kind", "attempt", "surrogate")
-        drawn = judged.where(loses).select("entity", "kind", (F.col("attempt") + 1).alias("attempt"))
+            return drawn.select("part", "norm", "surrogate")
+        judged = drawn.join(clashes, ["group", "surrogate"], "left")
+        loses = F.coalesce(F.col("real") | (F.struct("norm", "part") != F.col("owner")) | (F.col("surrogate") == F.col("norm")), F.lit(False))
+        settled = judged.where(~loses).select("part", "norm", "attempt", "surrogate", "group")
+        drawn = judged.where(loses).select("part", "norm", (F.col("attempt") + 1).alias("attempt"))
+
+
+def surrogates_of(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """``entity, kind, surrogate`` of distinct ``entity``; no two surrogates are equal, and none is an entity."""
+    parts = materialize(parts_of(entities), "parts")
+    drawn = _drawn(materialize(parts.select("part", "norm").distinct(), "distinct"), key)
+    whole = parts.join(drawn, ["part", "norm"]).groupBy("entity", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "norm", "surrogate"))).alias("parts"))
+    entity, kind, one = F.col("entity"), F.col("kind"), F.element_at("parts", 1)
+    name = F.array_join(F.concat(F.array(F.substring_index(entity, " ", 1)), F.col("parts.surrogate")), " ")
+    said = F.when(kind == "name", name).when(kind == "email", _like_mail(entity, one["surrogate"])).when(kind == "ip", one["surrogate"])
+    return whole.select("entity", "kind", said.otherwise(_like_number(entity, one["norm"], one["surrogate"])).alias("surrogate"))
 
 
 def replace_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:

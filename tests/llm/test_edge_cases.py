@@ -375,3 +375,18 @@ def test_colliding_surrogates_are_drawn_again(spark):
     got = surrogates.surrogates_of(entities).collect()
     assert len({r["surrogate"] for r in got}) == len(got) == 132
     assert not {r["surrogate"] for r in got} & {r["entity"] for r in got}
+
+
+def test_mentions_of_one_entity_in_several_forms_keep_their_link(spark):
+    texts = ["Mr John Smith", "Mr. Smith", "Dr Smith", "Dr John Smith", "AB.42@mail8.example.com", "ab.42@mail8.example.com", "Ab.42@Mail8.example.COM",
+             "4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "+1 (988) 555-2485", "988-555-2485", "(988) 555-2485", "+44 7911 123456", "+447911123456",
+             "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "Mrs Kim Lee", "Mr Kim Lee", "Ms Jones"]
+    got = [r["text"] for r in surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0].split()[2] == got[1].split()[1] == got[2].split()[1] == got[3].split()[2] != got[19].split()[1]
+    assert got[0].split()[1] == got[3].split()[1] and got[17].split()[1] != got[18].split()[1] and got[17].split()[2] == got[18].split()[2]
+    assert len({x.lower() for x in got[4:7]}) == 1 and got[4][:2].isupper() and got[6].endswith(".COM") and got[5].islower()
+    marks = [re.sub("[^A-Za-z0-9]", "", x) for x in got]
+    assert len({*marks[7:10]}) == len({marks[10][1:], *marks[11:13]}) == len({*marks[13:15]}) == len({*marks[15:17]}) == 1
+    form = lambda x: re.sub("[0-9]", "0", x)
+    assert [form(x) for x in got[7:17]] == [form(x) for x in texts[7:17]] and got[10].startswith("+1 (")
+    assert not {*texts} & {*got} and len({*got}) == len(texts)
