@@ -5,12 +5,12 @@ accounts, and names after a title. An entity is what its spellings share: a mail
 digits of a number, the first and the family name each on their own, without the title. It gets a surrogate that depends
 on a secret key and on that, and every mention shows it in the mention's own format: a
 letter becomes a letter of the same case, script and kind (vowels stay vowels, so names can be spoken), a digit a digit,
-anything else stays; names come from lists by the gender of the title and the script; card numbers keep a right check
+anything else stays; first names come from lists by the gender of the title and the script, if there are any for it; card numbers keep a right check
 digit; the ends of mail domains, country and area formats stay. The same entity has the same surrogate in all documents.
 
 Distinctness is checked: where surrogates of several entities coincide, or equal an entity that occurs, all but the
 least of those entities draw again with the next attempt, until none is left; after some attempts, names, mail addresses
-and telephone numbers get longer. Surrogates are made once per distinct entity.
+and telephone numbers get longer. Formats of fixed length cannot: if their values run out, drawing fails with an error. Surrogates are made once per distinct entity.
 Only texts with an entity take part in a join; the others pass by.
 
 A null text has no entities and stays null; an empty one stays empty; repeated rows are changed alike; other columns are
@@ -19,6 +19,9 @@ ignored. Text without entities comes out byte for byte as it was.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,29 @@ _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 _GROUPS = (_DIGITS, "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "áéíóú", "àèìòù", "äöü")
 
 
+def _scripts() -> list[tuple[str, str]]:
+    """By script and case, the letters that are in no group, and those without marks, from which theirs are drawn."""
+    listed, found = {c for g in _GROUPS for c in g}, {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.category(c) in ("Lu", "Ll") and c not in listed:
+            name = unicodedata.name(c)
+            members, plain = found.setdefault((name.split()[0], unicodedata.category(c)), ([], []))
+            members.append(c)
+            if " LETTER " in name and " WITH " not in name:
+                plain.append(c)
+    for (script, case), (_, plain) in found.items():
+        if script in ("LATIN", "CYRILLIC"):
+            plain[:] = {"LATINLu": _GROUPS[4], "LATINLl": _GROUPS[2], "CYRILLICLu": _GROUPS[8], "CYRILLICLl": _GROUPS[6]}[script + case]
+    return [("".join(members), "".join(plain if len(plain) > 1 else members)) for members, plain in found.values()]
+
+
+#: All letters and digits, for each the number of its list as a character, and what each list draws from.
+_ALL = [*((g, g) for g in _GROUPS), *_scripts()]
+_LETTERS, _NUMBERS = "".join(m for m, _ in _ALL), "".join(chr(33 + k) * len(m) for k, (m, _) in enumerate(_ALL))
+#: The attempt after which drawing fails: then all values of a format, such as social security numbers, are in use.
+LAST = 200
+
+
 def kind_of(entity: Column) -> Column:
     kind = F.lit("name")
     for name, pattern in reversed(list(PATTERNS.items())[:-1]):
@@ -72,11 +98,12 @@ def _number(stream: Column, place: Column) -> Column:
 
 
 def _replaced(character: Column, number: Column) -> Column:
-    """Another character of the same group, or the character itself if it has none."""
-    out = character
-    for group in _GROUPS:
-        out = F.when(F.position(character, F.lit(group)) > 0, F.substring(F.lit(group), number % len(group) + 1, F.lit(1))).otherwise(out)
-    return out
+    """Another character of the same group, or else of the same script and case; no letter or digit stays as it is."""
+    place = F.position(character, F.lit(_LETTERS))
+    known = F.element_at(F.array(*[F.lit(p) for _, p in _ALL]), F.ascii(F.substring(F.lit(_NUMBERS), place, F.lit(1))) - 32)
+    # a letter that is in no list gets a Latin one
+    drawn_from = F.when(place > 0, known).when(F.rlike(character, F.lit(r"^\p{Lu}")), _GROUPS[4]).when(F.rlike(character, F.lit(r"^\p{Ll}")), _GROUPS[2]).otherwise(character)
+    return F.substring(drawn_from, number % F.length(drawn_from) + 1, F.lit(1))
 
 
 def _spelled(text: Column, stream: Column, keep_first: int = 0) -> Column:
@@ -105,12 +132,12 @@ def _gender(title: Column) -> Column:
 
 
 def _first_name(name: Column, part: Column, stream: Column) -> Column:
-    """A listed name of the gender of ``part`` and of the script of ``name``."""
-    script = F.when(F.rlike(name, F.lit(r"^\p{IsCyrillic}")), "cyrillic").otherwise("latin")
-    chosen, number = name, F.conv(F.substring(stream, F.lit(1), F.lit(6)), 16, 10).cast("int")
+    """A listed name of the gender of ``part`` and of the script of ``name``; where the script has none, a spoken word."""
+    script = F.when(F.rlike(name, F.lit(r"^\p{IsCyrillic}")), "cyrillic").when(F.rlike(name, F.lit(r"^\p{IsLatin}")), "latin")
+    chosen, number = _spelled(name, stream), F.conv(F.substring(stream, F.lit(1), F.lit(6)), 16, 10).cast("int")
     for (g, s), names in NAMES.items():
         listed = F.array(*[F.lit(n) for n in names])
-        chosen = F.when((part == f"first {g}") & (script == s), F.element_at(listed, number % len(names) + 1)).otherwise(chosen)
+        chosen = F.when((part == f"first {g}") & script.eqNullSafe(s), F.element_at(listed, number % len(names) + 1)).otherwise(chosen)
     return chosen
 
 
@@ -130,7 +157,7 @@ def _more(last: Column, part: Column, norm: Column, attempt: Column, key: str) -
     """Further characters like ``last`` from attempt ``WIDER`` on, one more with each attempt."""
     stream = _stream(F.concat(F.lit("wider|"), part, F.lit("|"), norm), attempt, key)
     places = F.sequence(F.lit(0), F.least(attempt - WIDER, F.lit(11)))
-    letter = lambda p: F.coalesce(F.nullif(_replaced(last, _number(stream, p)), last), _replaced(F.lit("b"), _number(stream, p)))
+    letter = lambda p: _replaced(last, _number(stream, p))
     return F.when(attempt < WIDER, "").otherwise(F.array_join(F.transform(F.when(attempt >= WIDER, places), letter), ""))
 
 
@@ -151,7 +178,7 @@ def surrogate(norm: Column, part: Column, attempt: Column, key: str = KEY) -> Co
         .when(part == "iban", _spelled(norm, stream, 2))
         .when(part == "phone", F.concat(F.when(F.startswith(norm, F.lit("+")), _spelled(norm, stream, 2)).otherwise(_spelled(norm, stream)), more(F.lit("0"))))
         .when(part == "family", F.concat(_spelled(norm, stream), more(F.right(norm, F.lit(1)))))
-        .when(F.startswith(part, F.lit("first")), F.concat(first, more(F.right(first, F.lit(1)))))
+        .when(F.startswith(part, F.lit("first")), F.concat(first, more(F.right(norm, F.lit(1)))))
         .otherwise(_spelled(norm, stream))
     )
 
@@ -202,7 +229,7 @@ def _drawn(parts: DataFrame, key: str) -> DataFrame:
 
     No surrogate is a part that occurs; a first name's is only another one than its own, as family names differ anyway.
     """
-    settled = None
+    settled, attempt = None, 0
     real = parts.where("NOT startswith(part, 'first')").select(F.col("part").alias("group"), F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
     group = F.element_at(F.split("part", " "), 1).alias("group")
     drawn = parts.select("part", "norm", F.lit(0).alias("attempt"))
@@ -217,6 +244,9 @@ def _drawn(parts: DataFrame, key: str) -> DataFrame:
         judged = drawn.join(clashes, ["group", "surrogate"], "left")
         loses = F.coalesce(F.col("real") | (F.struct("norm", "part") != F.col("owner")) | (F.col("surrogate") == F.col("norm")), F.lit(False))
         settled = judged.where(~loses).select("part", "norm", "attempt", "surrogate", "group")
+        attempt += 1
+        if attempt > LAST:
+            raise ValueError(f"some entities have no surrogate after {LAST} attempts: {[tuple(r) for r in judged.where(loses).groupBy('part').count().collect()]}")
         drawn = judged.where(loses).select("part", "norm", (F.col("attempt") + 1).alias("attempt"))
 
 

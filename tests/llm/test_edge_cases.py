@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -390,3 +391,18 @@ def test_mentions_of_one_entity_in_several_forms_keep_their_link(spark):
     form = lambda x: re.sub("[0-9]", "0", x)
     assert [form(x) for x in got[7:17]] == [form(x) for x in texts[7:17]] and got[10].startswith("+1 (")
     assert not {*texts} & {*got} and len({*got}) == len(texts)
+
+
+def test_every_entity_gets_a_surrogate_in_its_script(spark, monkeypatch):
+    """Other scripts, shapes with fewer surrogates than entities, and addresses without a letter to replace."""
+    monkeypatch.setattr(surrogates, "LAST", 20)
+    names = ["Dr Ωμέγα", "Mr Νίκος Παπαδόπουλος", "Prof Արամ", "Dr Øß", "г-н Їжак", "Dr Ꭰꭰ"]
+    mails = [f"{a}@{b}.co" for a in "bcdfghjklm" for b in "bcdfghj"] + ["_@-.co", "%%@-.co"]
+    short = [f"Mr {a}{b}" for a in "BCDFGHJKLM" for b in "aeiou"] + [f"Ms {n} Jones" for n in surrogates.NAMES["female", "latin"]] + [f"Ms {n}ix Jones" for n in surrogates.NAMES["male", "latin"]]
+    got = {r["entity"]: r["surrogate"] for r in surrogates.surrogates_of(spark.createDataFrame([(e,) for e in names + mails + short], "entity string")).collect()}
+    assert len(got) == len({*got.values()}) == len(names + mails + short) and not {*got} & {*got.values()}
+    script = lambda c: unicodedata.name(c).split()[0]
+    for name in names:
+        for own, drawn in zip(name.split()[1:], got[name].split()[1:], strict=True):
+            assert own != drawn and {script(c) for c in own} == {script(c) for c in drawn} and re.fullmatch(r"[^\W\d_]+", drawn) and drawn.istitle()
+    assert all(re.fullmatch(surrogates.PATTERNS["email"], got[m]) and got[m].endswith(".co") for m in mails)
