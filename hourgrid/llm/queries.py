@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import decontamination, language, mixing, near_duplicates, quality, sharding, substrings, surrogates, topk, toxicity
+from hourgrid.llm import decontamination, language, lexical, mixing, near_duplicates, periods, quality, rules, sharding, substrings, surrogates, topk, toxicity
 from hourgrid.llm.staging import table
 
 
@@ -122,6 +122,88 @@ n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) A
 SELECT query_id, rank::INT AS rank, vec_id, score FROM n WHERE rank <= 5
 """
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+g AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY term, docs),
+m AS (SELECT doc_id, r, 100 - 25 + (25 * len(w) * docs) // total AS m FROM d, s WHERE len(w) > 0),
+i AS (SELECT item_id, row_number() OVER () AS i, {_TERMS} AS w FROM benchmark),
+q AS (SELECT item_id, i, term, count(*) AS times FROM (SELECT item_id, i, unnest(w) AS term FROM i) GROUP BY item_id, i, term),
+p AS (SELECT item_id, i, r, any_value(doc_id) AS doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM q JOIN f USING (term) JOIN g USING (term) JOIN m USING (r) GROUP BY item_id, i, r),
+n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM n WHERE rank <= 20
+"""
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(table(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, F.round("quality", 6).alias("quality"))
+
+
+def _votes_sql() -> str:
+    number = lambda x: {"inf": "'inf'::DOUBLE", "-inf": "'-inf'::DOUBLE"}.get(str(x), str(x))
+    within = lambda r, bounds: f"{r.measure} BETWEEN {number(bounds[0])} AND {number(bounds[1])}"
+    votes = [f"CASE WHEN {within(r, r.good)} THEN 1 WHEN NOT ({within(r, r.fair)}) THEN -1 ELSE 0 END" for r in rules.RULES]
+    return "[" + ", ".join(votes) + "]"
+
+
+def _rounds_sql() -> str:
+    """Expectation (``e``) and maximisation (``m``) of every round, one after the other."""
+    steps = []
+    for k in range(rules.ROUNDS + 1):
+        steps.append(
+            f"""e{k} AS MATERIALIZED (SELECT v, any_value(n) AS n, 1 / (1 + exp(-(any_value(ln(share / (1 - share))) + sum(CASE vote WHEN 1 THEN ln(good / (1 - bad)) WHEN -1 THEN ln((1 - good) / bad) ELSE 0 END)))) AS p
+    FROM long JOIN m{k} USING (j) GROUP BY v)"""
+        )
+        right = lambda hit, of, first: f"least(greatest((coalesce(sum({of}) FILTER (vote = {hit}), 0) + {rules.BELIEF * first}) / (coalesce(sum({of}) FILTER (vote <> 0), 0) + {rules.BELIEF}), 1e-6), 1 - 1e-6)"
+        steps.append(
+            f"""m{k + 1} AS MATERIALIZED (SELECT j, least(greatest(sum(n * p) / sum(n), 1e-6), 1 - 1e-6) AS share, {right(1, "n * p", rules.FIRST_GOOD)} AS good, {right(-1, "n * (1 - p)", rules.FIRST_BAD)} AS bad
+    FROM long JOIN (SELECT v, p FROM e{k}) USING (v) GROUP BY j)"""
+        )
+    return ",\n".join(steps[:-1])
+
+
+QUALITY_RULES = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+windows AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1) GROUP BY r),
+c AS (SELECT doc_id, r, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '{rules.SYMBOLS}', '')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, length(t) - length(translate(t, '{rules.MARKS}', '')) AS n_marks,
+    len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_letterless, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_capitals
+    FROM w LEFT JOIN covered USING (r)),
+x AS (SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbols_per_word, CASE WHEN n_lines > 1 THEN n_dup_lines / n_lines END AS repeated_line_share,
+    CASE WHEN n_words >= 3 THEN n_repeat_words / n_words END AS repeated_word_share, n_letters / nullif(word_chars, 0) AS letter_share, n_capitals / nullif(n_letters, 0) AS capital_share,
+    CASE WHEN n_words >= 50 THEN n_marks / n_words END AS marks_per_word, CASE WHEN n_words BETWEEN 50 AND 2000 THEN n_distinct / n_words END AS distinct_word_share, n_letterless / nullif(n_words, 0) AS letterless_word_share FROM c),
+v AS MATERIALIZED (SELECT *, {_votes_sql()} AS v FROM x),
+long AS MATERIALIZED (SELECT v, n, j, v[j] AS vote FROM (SELECT v, count(*)::DOUBLE AS n FROM v GROUP BY v), range(1, {len(rules.RULES) + 1}) t(j)),
+m0 AS (SELECT j, {rules.FIRST_SHARE}::DOUBLE AS share, {rules.FIRST_GOOD}::DOUBLE AS good, {rules.FIRST_BAD}::DOUBLE AS bad FROM range(1, {len(rules.RULES) + 1}) t(j)),
+{_rounds_sql()},
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v JOIN (SELECT v, p FROM e{rules.ROUNDS}) USING (v))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {rules.KEEP} AS kept, round(p, 6) AS quality FROM judged
+"""
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), fold=F.when(hashed % 10 == 0, F.floor(hashed / 10)))
+    top = periods.highest_exponent(F.col("runs"))
+    rows = found.select("doc_id", "runs", "collapsed", top.alias("top"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(periods.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": Query(decontaminate),
     "op2_substring_dedup": Query(substring_dedup, SUBSTRING_DEDUP),
@@ -133,4 +215,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": Query(quality_scores),
     "op9_pii_surrogates": Query(pii_surrogates),
     "op10_top_k_search": Query(top_k_search, TOP_K_SEARCH),
+    "op11_ranked_search": Query(ranked_search, RANKED_SEARCH),
+    "op12_quality_rules": Query(quality_rules, QUALITY_RULES),
+    "op13_periodic_runs": Query(periodic_runs),
 }

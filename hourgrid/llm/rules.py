@@ -161,10 +161,14 @@ class Model:
     good: tuple[float, ...]
     bad: tuple[float, ...]
 
-    def posterior(self, votes: list[Column]) -> Column:
-        odds = F.lit(math.log(self.share / (1 - self.share)))
-        for v, g, b in zip(votes, self.good, self.bad, strict=True):
-            odds = odds + F.when(v == 1, math.log(g / (1 - b))).when(v == -1, math.log((1 - g) / b)).otherwise(0.0)
+    def posterior(self, votes: Column) -> Column:
+        """The chance that a document with this array of votes is good."""
+        said = []
+        for g, b in zip(self.good, self.bad, strict=True):
+            said += [math.log((1 - g) / b), 0.0, math.log(g / (1 - b))]
+        table = F.lit(said)
+        start = F.lit(math.log(self.share / (1 - self.share)))
+        odds = F.aggregate(F.transform(votes, lambda v, j: F.get(table, 3 * j + v + 1)), start, lambda a, x: a + x)
         return 1 / (1 + F.exp(-odds))
 
 
@@ -173,42 +177,37 @@ def _bounded(share: float) -> float:
 
 
 def fit(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> Model:
-    """Expectation maximisation on ``v0, v1, ..., n``: documents ``n`` by votes. Each round is one sum over that table."""
+    """Expectation maximisation on ``votes, n``: documents ``n`` by their votes. Each round sums that table by rule and vote."""
     model = Model(FIRST_SHARE, (FIRST_GOOD,) * rules, (FIRST_BAD,) * rules)
-    votes = [F.col(f"v{j}") for j in range(rules)]
-    if patterns.isEmpty():
-        return model
     for _ in range(rounds):
-        weighed = patterns.withColumn("p", model.posterior(votes))
-        good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        sums = [F.sum(good).alias("good"), F.sum("n").alias("n")]
-        for j, v in enumerate(votes):
-            parts = {"gr": (v == 1, good), "g": (v != 0, good), "br": (v == -1, bad), "b": (v != 0, bad)}
-            sums += [F.sum(F.when(when, of).otherwise(0.0)).alias(f"{name}{j}") for name, (when, of) in parts.items()]
-        s = weighed.agg(*sums).collect()[0]
-        right = lambda hits, of, first: _bounded((hits + BELIEF * first) / (of + BELIEF))
+        weighed = patterns.select("n", model.posterior(F.col("votes")).alias("p"), F.posexplode("votes").alias("rule", "vote"))
+        rows = weighed.groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad")).collect()
+        if not rows:
+            return model
+        of = {(r["rule"], r["vote"]): (r["good"], r["bad"]) for r in rows}
+        take = lambda j, vote, side: of.get((j, vote), (0.0, 0.0))[side]
+        right = lambda j, vote, side, first: _bounded((take(j, vote, side) + BELIEF * first) / (take(j, 1, side) + take(j, -1, side) + BELIEF))
+        good, bad = (sum(take(0, v, side) for v in (-1, 0, 1)) for side in (0, 1))
         model = Model(
-            _bounded(s["good"] / s["n"]),
-            tuple(right(s[f"gr{j}"], s[f"g{j}"], FIRST_GOOD) for j in range(rules)),
-            tuple(right(s[f"br{j}"], s[f"b{j}"], FIRST_BAD) for j in range(rules)),
+            _bounded(good / (good + bad)),
+            tuple(right(j, 1, 0, FIRST_GOOD) for j in range(rules)),
+            tuple(right(j, -1, 1, FIRST_BAD) for j in range(rules)),
         )
     return model
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, the counts of each row's text, and the rules' votes ``v0, v1, ...``."""
+    """``doc_id``, the counts of each row's text, and ``votes``, one of each rule."""
     rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), counts(docs[f"`{text}`"]).alias("c"))
     flat = rows.select("doc_id", "c.words.*", "c.lines.*", "c.word_chars", "c.n_symbols", "c.n_marks", "c.n_letterless_words", "c.n_letters", "c.n_capitals")
-    voted = flat.withColumns(measures()).withColumns({f"v{j}": vote(rule) for j, rule in enumerate(RULES)})
-    return voted.drop(*measures())
+    return flat.withColumns(measures()).withColumn("votes", F.array(*[vote(rule) for rule in RULES])).drop(*measures())
 
 
 def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Every row's id, counts, ``base_failed``, ``quality`` (the posterior) and ``kept``."""
+    """Every row's id, counts, votes, ``base_failed``, ``quality`` (the posterior) and ``kept``."""
     rows = materialize(measured(docs, doc_id, text), "measured")
-    names = [f"v{j}" for j in range(len(RULES))]
-    patterns = materialize(rows.groupBy(*names).agg(F.count("*").alias("n")), "patterns")
+    patterns = materialize(rows.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
     model = fit(patterns, len(RULES), rounds)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    judged = rows.withColumns({"base_failed": failed, "quality": model.posterior([F.col(v) for v in names])})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP)).drop(*names)
+    judged = rows.withColumns({"base_failed": failed, "quality": model.posterior(F.col("votes"))})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
