@@ -8,9 +8,10 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from hourgrid.models.poisson_trees import PoissonTrees
+from hourgrid.models.poisson_trees import Fit, PoissonTrees, PoissonTreesModel, Settings, Step, fit_together
 from hourgrid.schemas import BASE_NUMERIC_FEATURES, CATEGORICAL_FEATURE, WEATHER_FEATURES
 
 BASE_FEATURES = (CATEGORICAL_FEATURE, *BASE_NUMERIC_FEATURES)
@@ -75,6 +76,49 @@ def train_models(
         return dict(zip(tasks, pool.map(fit, tasks), strict=True))
 
 
+def train_together(
+    rows: DataFrame,
+    training: Mapping[Hashable, Column],
+    configurations: Mapping[str, Sequence[str]] = CONFIGURATIONS,
+    label: str = "pickups",
+    **boosting,
+) -> dict[tuple[Hashable, str], PipelineModel]:
+    """One fitted pipeline per training set, a condition on ``rows``, and configuration, grown side by side.
+
+    The models are those that separate fits would give. The station encoder learns from all training sets; a station
+    that one of them lacks is a constant there, which no split can use.
+    """
+    any_set = F.lit(False)
+    for condition in training.values():
+        any_set = any_set | condition
+    used = rows.where(any_set)
+    numeric = list(dict.fromkeys(f for features in configurations.values() for f in features if f != CATEGORICAL_FEATURE))
+    encoded, stages, stations = [], [], 0
+    if any(CATEGORICAL_FEATURE in features for features in configurations.values()):
+        encoder = Pipeline(stages=station_encoder("_index", "_onehot")).fit(used)
+        encoded, stages, stations = ["_onehot"], encoder.stages, len(encoder.stages[0].labels)
+    assembled = PipelineModel([*stages, VectorAssembler(inputCols=[*encoded, *numeric], outputCol="_vector")]).transform(used)
+
+    def slots(features: Sequence[str]) -> list[int]:
+        """Where a configuration's vector has its entries in the common one."""
+        own = list(range(stations)) if CATEGORICAL_FEATURE in features else []
+        return own + [stations + numeric.index(f) for f in features if f != CATEGORICAL_FEATURE]
+
+    tasks = [(at, chosen, name) for at, chosen in enumerate(training) for name in configurations]
+    fits = [Fit(at, tuple(slots(configurations[name]))) for at, _, name in tasks]
+    fitted = fit_together(assembled, "_vector", label, list(training.values()), fits, Settings(**boosting))
+    models = {}
+    for (_, chosen, name), fit, (base, steps) in zip(tasks, fits, fitted, strict=True):
+        features, vector = configurations[name], f"_{name}_features"
+        inputs = (encoded if CATEGORICAL_FEATURE in features else []) + [f for f in features if f != CATEGORICAL_FEATURE]
+        position = {slot: i for i, slot in enumerate(fit.features)}
+        moved = [Step(s.tree.moved(position), s.values) for s in steps]
+        needed = stages if CATEGORICAL_FEATURE in features else []
+        model = PoissonTreesModel(base, moved, vector, name)
+        models[chosen, name] = PipelineModel([*needed, VectorAssembler(inputCols=inputs, outputCol=vector), model])
+    return models
+
+
 def predict_all(df: DataFrame, models: Iterable[PipelineModel]) -> DataFrame:
     """One prediction column per model, in the row it belongs to."""
     for model in models:

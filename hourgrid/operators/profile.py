@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import pairwise
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from hourgrid.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
-DIRECT = 1_000_000
-PARTS = 64
+#: Distinct values that a task sorts, at most about so many.
+RANGE_VALUES = 1_000_000
 
 
 def profile(df: DataFrame, key: str = "station_id", value: str = "pickups", ts: str = "timestamp") -> DataFrame:
@@ -28,35 +27,26 @@ def profile(df: DataFrame, key: str = "station_id", value: str = "pickups", ts:
 def values_at_ranks(counted: DataFrame, ranks: Sequence[int]) -> dict[int, float]:
     """The values at 0-based ranks of a sorted column that is given as distinct values ``v`` and counts ``n``.
 
-    A range of at most ``DIRECT`` distinct values is ranked in one task. A larger one is split at
-    approximate quantiles, the rows per part are counted, and only parts that hold a wanted rank are
-    looked at again. The approximation moves the cuts, never the result.
+    Values are dealt into ranges of about ``RANGE_VALUES`` distinct ones, which are counted; only ranges that hold a
+    wanted rank are sorted. One row per range reaches the driver, and no task sees more than a range.
     """
-    found: dict[int, float] = {}
-    pending = [(None, None, 0, sorted(set(ranks)))]
-    while pending:
-        above, upto, before, wanted = pending.pop()
-        part = counted
-        if above is not None:
-            part = part.where(F.col("v") > above)
-        if upto is not None:
-            part = part.where(F.col("v") <= upto)
-        if part.count() <= DIRECT:
-            last = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v")) + before
-            ranked = part.select("v", (last - F.col("n")).alias("first"), last.alias("last"))
-            here = [F.max(F.when((F.col("first") <= r) & (F.lit(r) < F.col("last")), F.col("v"))) for r in wanted]
-            found |= zip(wanted, ranked.agg(*here).first(), strict=True)
-            continue
-        cuts = sorted(set(part.approxQuantile("v", [i / PARTS for i in range(1, PARTS)], 0.005)))
-        which = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < F.col("v")))
-        sizes = dict(part.groupBy(which).agg(F.sum("n")).collect())
-        for i, (low, high) in enumerate(pairwise([above, *cuts, upto])):
-            size = sizes.get(i, 0)
-            inside = [r for r in wanted if before <= r < before + size]
-            if inside:
-                pending.append((low, high, before, inside))
-            before += size
-    return found
+    parts = max(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted.count() // RANGE_VALUES))
+    ranged = materialize(counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    holds: dict[int, list[int]] = {}
+    starts, before = {}, 0
+    for row in sizes:
+        inside = [r for r in set(ranks) if before <= r < before + row["n"]]
+        if inside:
+            holds[row["part"]], starts[row["part"]] = inside, before
+        before += row["n"]
+    if not holds:
+        return {}
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for item in starts.items() for x in item]), F.col("part").cast("long"))
+    last = start + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = ranged.where(F.col("part").isin([*holds])).select("v", (last - F.col("n")).alias("first"), last.alias("last"))
+    wanted = F.explode(F.filter(F.array(*[F.lit(r).cast("long") for r in sorted({*ranks})]), lambda r: (r >= F.col("first")) & (r < F.col("last"))))
+    return {r["rank"]: r["v"] for r in ranked.select("v", wanted.alias("rank")).collect()}
 
 
 def describe_exact(df: DataFrame, value: str = "pickups") -> DataFrame:
@@ -77,7 +67,7 @@ def describe_exact(df: DataFrame, value: str = "pickups") -> DataFrame:
     at_rank = values_at_ranks(counted, [rank for pair in neighbours.values() for rank in pair])
 
     def quantile(p: float) -> float | None:
-        low, high = (at_rank[rank] for rank in neighbours[p])
+        low, high = (at_rank.get(rank) for rank in neighbours[p])
         return None if low is None else low + (high - low) * (positions[p] - int(positions[p]))
 
     deviation = F.col("v") - F.lit(mean).cast("double")

@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.time import naive
-from hourgrid.models.configurations import CONFIGURATIONS, predict_all, train_models
+from hourgrid.models.configurations import CONFIGURATIONS, predict_all, train_together
 from hourgrid.operators.evaluation import assign_folds, fixed_test, metrics_by_model, trailing_start
 from hourgrid.operators.history import add_history
 from hourgrid.schemas import BASELINES
@@ -36,8 +36,8 @@ def backtest_baselines(features: DataFrame, starts: Sequence[date], days: int =
     return metrics_by_model(assign_folds(features, starts, days), BASELINES, keys=["validation_week"])
 
 
-def _before(features: DataFrame, start: date) -> DataFrame:
-    return features.where(F.col("timestamp") < naive(start))
+def _before(start: date) -> Column:
+    return F.col("timestamp") < naive(start)
 
 
 def _columns(configurations: Mapping[str, Sequence[str]]) -> dict[str, str]:
@@ -50,11 +50,10 @@ def run_backtest(
     starts: Sequence[date],
     days: int = 7,
     configurations: Mapping[str, Sequence[str]] = CONFIGURATIONS,
-    parallelism: int = 4,
     **boosting,
 ) -> DataFrame:
     """Train on everything before each start, score the ``days`` after it: metrics per fold and model."""
-    models = train_models({s: _before(features, s) for s in starts}, configurations, parallelism, **boosting)
+    models = train_together(features, {s: _before(s) for s in starts}, configurations, **boosting)
     folds = []
     for start in starts:
         validation = fixed_test(features, start, start + timedelta(days=days))
@@ -70,11 +69,10 @@ def run_final_test(
     end: date,
     expected_rows: int,
     configurations: Mapping[str, Sequence[str]] = CONFIGURATIONS,
-    parallelism: int = 4,
     **boosting,
 ) -> tuple[DataFrame, DataFrame]:
     """Metrics of models and baselines on the locked period, and the scored rows behind them."""
     test = fixed_test(features, start, end, expected_rows)
-    models = train_models({start: _before(features, start)}, configurations, parallelism, **boosting)
+    models = train_together(features, {start: _before(start)}, configurations, **boosting)
     scored = predict_all(test, models.values())
     return metrics_by_model(scored, _columns(configurations)).orderBy("MAE", "model"), scored

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.models.configurations import (
-    BASE_FEATURES,
-    CONFIGURATIONS,
     FORECAST_FEATURES,
-    add_predictions,
     demand_pipeline,
     station_encoder,
+    train_together,
 )
 from hourgrid.models.importance import permutation_importance, permuted_features, top_features
-from hourgrid.models.poisson_trees import poisson_deviance
+from hourgrid.models.poisson_trees import PoissonTreesModel, poisson_deviance
 from hourgrid.functions.time import naive
 from hourgrid.operators.evaluation import (
     best_other,
@@ -36,7 +34,17 @@ from hourgrid.session import materialize
 from queries import base
 from queries.base import Query, r, rounded, rounded_columns, with_ctes
 
-TREES = 10
+TREES = 200
+#: Trees of the model whose features are permuted; the shuffles are what that query is about.
+IMPORTANCE_TREES = 20
+#: Models of one split a tree on whole numbers, which SQL can grow step by step.
+STUMPS = {
+    "stumps": ("hour", "day_of_week", "lag_24"),
+    "stumps_weather": ("hour", "day_of_week", "lag_24", "weather_code", "is_precipitating"),
+}
+STUMP_TREES = 4
+STUMP_RATE = 0.3
+STUMP_SETTINGS = {"trees": STUMP_TREES, "learning_rate": STUMP_RATE, "max_depth": 1, "l2": 1.0, "min_rows_per_leaf": 20, "cut_lineage_every": 3}
 #: All numeric features.
 PERMUTED = tuple(f for f in FORECAST_FEATURES if f != "station_id")
 REPEATS = 5
@@ -88,15 +96,28 @@ def poisson_eval(spark, sf_dir) -> DataFrame:
 
 
 def poisson_backtest(spark, sf_dir) -> DataFrame:
-    """All folds, fewer trees, the model with weather against the best baseline."""
-    weather_model = {"gradient_boosting_weather": CONFIGURATIONS["gradient_boosting_weather"]}
-    results = run_backtest(
-        base.staged_features(spark, sf_dir), base.FOLD_STARTS, base.FOLD_DAYS, weather_model, trees=TREES // 2
-    )
+    """All folds and both configurations, against the best baseline."""
+    results = run_backtest(base.staged_features(spark, sf_dir), base.FOLD_STARTS, base.FOLD_DAYS, trees=TREES)
     staged = materialize(summarize_folds(results), "summary")
     return rounded(improvement_over_best(staged, "gradient_boosting_weather"))
 
 
+def stump_test(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Metrics of both stump models and both baselines on the locked test, and the scored rows."""
+    features = base.staged_features(spark, sf_dir)
+    return run_final_test(features, base.TEST_START, base.TEST_END, base.TEST_ROWS, STUMPS, **STUMP_SETTINGS)
+
+
+def stump_predictions(spark, sf_dir) -> DataFrame:
+    _, scored = stump_test(spark, sf_dir)
+    return rounded(scored.select("timestamp", "station_id", "pickups", *STUMPS))
+
+
+def stump_backtest(spark, sf_dir) -> DataFrame:
+    features = base.staged_features(spark, sf_dir)
+    return rounded(run_backtest(features, base.FOLD_STARTS, base.FOLD_DAYS, STUMPS, **STUMP_SETTINGS))
+
+
 def one_hot(spark, sf_dir) -> DataFrame:
     """The encoder learns the selected stations and meets all of them."""
     selected = base.grid(spark, sf_dir).select("station_id").distinct()
@@ -107,41 +128,44 @@ def one_hot(spark, sf_dir) -> DataFrame:
     )
 
 
-def _fitted(features: DataFrame, columns, trees: int):
-    train = features.where(F.col("timestamp") < naive(base.TEST_START))
-    return demand_pipeline(columns, "prediction", trees=trees).fit(train)
-
-
 def poisson_training(spark, sf_dir) -> DataFrame:
-    """Per tree: the rows its model scores, the mean it starts from, and whether the deviance fell."""
+    """Per tree of a stump model: its split and leaf values, and the deviance of the training rows after it."""
     features = base.staged_features(spark, sf_dir)
-    train = features.where(F.col("timestamp") < naive(base.TEST_START))
-    trees = TREES // 2
-    model = demand_pipeline(FORECAST_FEATURES, "prediction", trees=trees).fit(train)
-    boosted = model.stages[-1]
-    scored = PipelineModel(model.stages[:-1]).transform(train)
-    for n in range(trees + 1):
-        scored = boosted.first(n).transform(scored).withColumnRenamed("prediction", f"after_{n}")
-    deviances = [poisson_deviance(F.col("pickups"), F.col(f"after_{n}")).alias(f"d{n}") for n in range(trees + 1)]
-    one_row = scored.agg(F.count("*").alias("rows"), F.avg("after_0").alias("base_mean"), *deviances)
-    per_tree = [
-        F.struct(F.lit(n).alias("tree"), "rows", "base_mean", (F.col(f"d{n}") < F.col(f"d{n - 1}")).alias("deviance_fell"))
-        for n in range(1, trees + 1)
-    ]
+    before = F.col("timestamp") < naive(base.TEST_START)
+    (model,) = train_together(features, {"all": before}, {"stumps_weather": STUMPS["stumps_weather"]}, **STUMP_SETTINGS).values()
+    *prepare, boosted = model.stages
+    scored = features.where(before)
+    for stage in prepare:
+        scored = stage.transform(scored)
+    scored = scored.withColumn("eta_0", F.lit(boosted.base))
+    for n, step in enumerate(boosted.steps, 1):
+        only = PoissonTreesModel(0.0, [step], boosted.features, "")
+        scored = scored.withColumn(f"eta_{n}", F.col(f"eta_{n - 1}") + only.eta(F.col(boosted.features)))
+    deviances = [poisson_deviance(F.col("pickups"), F.exp(f"eta_{n}")).alias(f"d{n}") for n in range(1, STUMP_TREES + 1)]
+    one_row = scored.agg(F.count("*").alias("rows"), F.avg(F.exp("eta_0")).alias("base_mean"), *deviances)
+    per_tree = []
+    for n, step in enumerate(boosted.steps, 1):
+        (at,), (threshold,) = step.tree.feature, step.tree.threshold
+        left, right = (step.values[~child] for (child,) in (step.tree.left, step.tree.right))
+        split = [F.lit(STUMPS["stumps_weather"][at]).alias("feature"), F.lit(threshold).alias("threshold"), F.lit(left).alias("left_value"), F.lit(right).alias("right_value")]
+        per_tree.append(F.struct(F.lit(n).alias("tree"), "rows", "base_mean", *split, F.col(f"d{n}").alias("deviance")))
     return rounded(one_row.select(F.inline(F.array(*per_tree))))
 
 
 def prediction_range(spark, sf_dir) -> DataFrame:
-    features = base.staged_features(spark, sf_dir)
-    model = _fitted(features, BASE_FEATURES, TREES // 2)
-    test = fixed_test(features, base.TEST_START, base.TEST_END)
-    scored = add_predictions(test, model)
-    return rounded(reports.prediction_range(error_frame(scored, "prediction", ["timestamp", "station_id", "pickups"])))
+    """Of both configurations."""
+    _, scored = stump_test(spark, sf_dir)
+    ranges = []
+    for name in STUMPS:
+        frame = error_frame(scored, name, ["timestamp", "station_id", "pickups"])
+        ranges.append(reports.prediction_range(frame).select(F.lit(name).alias("model"), "*"))
+    return rounded(ranges[0].unionByName(ranges[1]))
 
 
 def importance(spark, sf_dir) -> DataFrame:
     features = base.staged_features(spark, sf_dir)
-    model = _fitted(features, FORECAST_FEATURES, TREES // 2)
+    train = features.where(F.col("timestamp") < naive(base.TEST_START))
+    model = demand_pipeline(FORECAST_FEATURES, "prediction", trees=IMPORTANCE_TREES).fit(train)
     test = fixed_test(features, base.TEST_START, base.TEST_END)
     return rounded(top_features(permutation_importance(model, test, FORECAST_FEATURES, repeats=REPEATS)))
 
@@ -175,6 +199,44 @@ def _permuted_sql() -> str:
     return with_ctes("features", tail=" UNION ALL ".join(parts))
 
 
+def with_stumps(starts, tail: str) -> str:
+    """Both stump models from the rows before each of ``starts``: ``s0`` to the last state, one split (``t1``, ...) after the other."""
+    used = STUMPS["stumps_weather"]
+    uses = ", ".join(f"('{model}', {used.index(f) + 1})" for model, own in STUMPS.items() for f in own)
+    ctes = [
+        f"""x AS MATERIALIZED (SELECT station_id, "timestamp", unnest(range(1, {len(used) + 1})) AS feature, unnest([{", ".join(f"{f}::DOUBLE" for f in used)}]) AS value FROM features)""",
+        f"uses(model, feature) AS (VALUES {uses})",
+        f"""s0 AS MATERIALIZED (SELECT start, model, station_id, "timestamp", pickups, "timestamp" < start AS train,
+            ln(avg(pickups) FILTER ("timestamp" < start) OVER (PARTITION BY start, model)) AS eta
+            FROM features, (VALUES {", ".join(f"(DATE '{d}')" for d in starts)}) f(start), (SELECT DISTINCT model FROM uses))""",
+    ]
+    for k in range(1, STUMP_TREES + 1):
+        ctes += [
+            f"""h{k} AS (SELECT start, model, feature, value, sum(pickups - exp(eta)) AS g, sum(exp(eta)) AS h, count(*) AS n
+                FROM s{k - 1} JOIN x USING (station_id, "timestamp") JOIN uses USING (model, feature) WHERE train GROUP BY ALL)""",
+            f"""c{k} AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER a AS gw, sum(h) OVER a AS hw, sum(n) OVER a AS nw, lead(value) OVER w AS above FROM h{k}
+                WINDOW w AS (PARTITION BY start, model, feature ORDER BY value), a AS (PARTITION BY start, model, feature))""",
+            f"""t{k} AS MATERIALIZED (SELECT start, model, feature, (value + above) / 2 AS threshold, {STUMP_RATE} * gl / (hl + 1) AS left_value, {STUMP_RATE} * (gw - gl) / (hw - hl + 1) AS right_value FROM c{k}
+                WHERE above IS NOT NULL AND least(nl, nw - nl) >= 20 AND least(hl, hw - hl) >= 0.001 QUALIFY row_number() OVER (PARTITION BY start, model
+                ORDER BY round(gl * gl / (hl + 1) + (gw - gl) * (gw - gl) / (hw - hl + 1) - gw * gw / (hw + 1), 6) DESC, feature, value) = 1)""",
+            f"""s{k} AS MATERIALIZED (SELECT s.* REPLACE (eta + CASE WHEN value <= threshold THEN left_value ELSE right_value END AS eta)
+                FROM s{k - 1} s JOIN t{k} USING (start, model) JOIN x USING (station_id, "timestamp", feature))""",
+        ]
+    ctes.append(f"""scored AS (SELECT start, model, station_id, "timestamp", pickups, exp(eta) AS prediction FROM s{STUMP_TREES})""")
+    return with_ctes("features", tail=", " + ",\n".join(ctes) + "\n" + tail)
+
+
+LOCKED = f"""start = DATE '{base.TEST_START}' AND "timestamp" >= start AND "timestamp" < TIMESTAMP '{base.TEST_END} 00:00:00'"""
+
+
+def _compared(period: str, keys: str = "") -> str:
+    """MAE and RMSE of stumps and baselines over the scored rows of ``period``."""
+    baselines = f"""SELECT DISTINCT start, b.model, station_id, "timestamp", f.pickups, CASE b.model WHEN 'yesterday' THEN lag_24 ELSE lag_168 END AS prediction
+        FROM scored JOIN features f USING (station_id, "timestamp"), (VALUES ('yesterday'), ('last_week')) b(model)"""
+    errors = f"""{r("avg(abs(prediction - pickups))")} AS "MAE", {r("sqrt(avg((prediction - pickups) * (prediction - pickups)))")} AS "RMSE\""""
+    return f"""SELECT {keys} model, {errors} FROM (SELECT * FROM scored UNION ALL {baselines}) WHERE {period} GROUP BY ALL"""
+
+
 SUMMARY_COLUMNS = ", ".join(f"{r(c)} AS {c}" for c in ("mean_MAE", "std_MAE", "mean_RMSE", "std_RMSE"))
 
 QUERIES = {
@@ -260,15 +322,35 @@ QUERIES = {
     "permuted_features": Query(permuted_totals, _permuted_sql()),
     "poisson_training": Query(
         poisson_training,
-        with_ctes(
-            "features",
-            tail=f"""SELECT CAST(tree AS INTEGER) AS tree, count(*) AS "rows", {r("avg(pickups)")} AS base_mean, true AS deviance_fell
-                FROM features CROSS JOIN generate_series(1, {TREES // 2}) t(tree)
-                WHERE "timestamp" < TIMESTAMP '{base.TEST_START} 00:00:00' GROUP BY tree""",
+        with_stumps(
+            [base.TEST_START],
+            " UNION ALL ".join(
+                f"""SELECT {k} AS tree, count(*) AS "rows", {r("avg(pickups)")} AS base_mean, {list(STUMPS["stumps_weather"])}[any_value(feature)] AS feature, {r("any_value(threshold)")} AS threshold,
+                {r("any_value(left_value)")} AS left_value, {r("any_value(right_value)")} AS right_value,
+                {r("avg(2 * (CASE WHEN pickups > 0 THEN pickups * (ln(pickups) - eta) ELSE 0 END - pickups + exp(eta)))")} AS deviance
+                FROM s{k} JOIN t{k} USING (start, model) WHERE train AND model = 'stumps_weather'"""
+                for k in range(1, STUMP_TREES + 1)
+            ),
+        ),
+    ),
+    "stump_predictions": Query(
+        stump_predictions,
+        with_stumps([base.TEST_START], f"""SELECT "timestamp", station_id, pickups, {", ".join(f"{r(f"max(prediction) FILTER (model = '{m}')")} AS {m}" for m in STUMPS)} FROM scored WHERE {LOCKED} GROUP BY ALL"""),
+    ),
+    "stumps_vs_baselines": Query(lambda spark, sf_dir: rounded(stump_test(spark, sf_dir)[0]), with_stumps([base.TEST_START], _compared(LOCKED))),
+    "stump_backtest": Query(
+        stump_backtest,
+        with_stumps(base.FOLD_STARTS, _compared(f"""\"timestamp\" >= start AND \"timestamp\" < start + INTERVAL {base.FOLD_DAYS} DAY""", "start AS validation_week,")),
+    ),
+    "poisson_prediction_range": Query(
+        prediction_range,
+        with_stumps(
+            [base.TEST_START],
+            f"""SELECT model, {r("avg(pickups)")} AS actual_mean, {r("avg(prediction)")} AS predicted_mean, {r("min(prediction)")} AS predicted_min,
+                {r("max(prediction)")} AS predicted_max, max(pickups) AS actual_max FROM scored WHERE {LOCKED} GROUP BY model""",
         ),
     ),
     "poisson_boost_eval": Query(poisson_eval),
     "poisson_boost_backtest": Query(poisson_backtest),
-    "poisson_prediction_range": Query(prediction_range),
     "permutation_importance": Query(importance),
 }

@@ -120,11 +120,10 @@ def test_daily_weather_counts_each_hour_once(spark, rows):
     assert rows(reports.daily_weather_of(df)) == [(date(2024, 5, 1), 10.5, 1.5, 1)]
 
 
-@pytest.mark.parametrize("direct", [1, 200, profiles.DIRECT])
+@pytest.mark.parametrize("values_each", [100, 200, profiles.RANGE_VALUES])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_describe_is_exact(spark, monkeypatch, seed, direct):
-    monkeypatch.setattr(profiles, "DIRECT", direct)
-    monkeypatch.setattr(profiles, "PARTS", 8 if direct < 1000 else 64)
+def test_describe_is_exact(spark, monkeypatch, seed, values_each):
+    monkeypatch.setattr(profiles, "RANGE_VALUES", values_each)
     rng = np.random.default_rng(seed)
     values = np.concatenate([rng.normal(100, 30, 3001), np.full(1500, 42.0)]) if seed == 1 else rng.poisson(2, 1000).astype(float)
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "pickups double")

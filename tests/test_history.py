@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.time import naive
 from hourgrid.operators.history import add_history
+from hourgrid.operators.quality import DataQualityError
 from hourgrid.plans.features import build_features
 from hourgrid.schemas import HISTORY_FEATURES, LAGS
 from tests.helpers import dense, frame, hours, weather_for
@@ -115,3 +116,13 @@ def test_a_series_with_a_gap_or_a_repeated_hour_is_refused(spark, wrong):
     df = frame(spark, [(stamps[i], "a", 1) for i in wrong], "timestamp timestamp_ntz, station_id string, pickups int")
     with pytest.raises(Exception, match="series a is not dense"):
         add_history(df, "station_id", "pickups").collect()
+
+
+def test_a_gap_where_blocks_meet_is_refused(spark):
+    """Days 70 to 83 are missing: all that the second block of 84 days would have a copy of."""
+    stamps = [t for t in hours("1970-01-01", 100 * 24) if not 70 <= (t - hours("1970-01-01", 1)[0]).days < 84]
+    df = frame(spark, [(t, s, 1) for t in stamps for s in "ab"], "timestamp timestamp_ntz, station_id string, pickups int")
+    with pytest.raises(DataQualityError, match="not dense.*1970-03-11 23|not dense.*1970, 3, 11, 23"):
+        add_history(df, "station_id", "pickups")
+    late = df.where(F.col("timestamp") >= naive("1970-03-26"))
+    assert add_history(late, "station_id", "pickups").count() == late.count()
