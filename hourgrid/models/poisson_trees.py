@@ -7,7 +7,7 @@ Newton step: a split's gain is what it adds to ``sum(y - mu) ** 2 / (sum(mu) + l
 Several models that learn from rows of one table, such as the folds and configurations of a backtest, are fitted
 together. The table is binned once, into one byte per feature and training set. Each level of all models' next trees is
 one pass over that table: tasks sum gradients, curvatures and rows by node, feature and bin, the sums are added by node
-and feature, and the best split of each reaches the driver. The trees since the table was last written travel with the
+and feature, and the best splits of each node reach the driver. The trees since the table was last written travel with the
 pass; every ``cut_lineage_every`` trees the table is written with the new ``eta``, so that neither a pass nor a recovery
 grows with the number of trees.
 
@@ -212,7 +212,7 @@ def _histograms(works: list[_Work], widths: list[np.ndarray]):
 
 
 def _best_splits(l2: float, min_rows: int):
-    """The best split of every fit, node and feature, of which a task has all partial sums."""
+    """The best split of every fit and node among the features of which a task has all partial sums."""
 
     def best_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[tuple[int, int, int], int] = {}
@@ -231,9 +231,11 @@ def _best_splits(l2: float, min_rows: int):
         fair = (np.minimum(n, whole_n - n) >= max(min_rows, 1)) & (np.minimum(h, whole_h - h) >= LEAST_CURVATURE)
         gain = np.where(fair, np.round(gain, GAIN_DECIMALS), -np.inf)
         bins = gain.argmax(axis=1) if len(place) else np.zeros(0, int)
-        rows = np.arange(len(place))
         keys = np.array(list(place), np.int32).reshape(-1, 3)
-        columns = [*keys.T, gain[rows, bins], bins.astype(np.int32), *(x[rows, bins] for x in (g, h, n)), whole_g[:, 0], whole_h[:, 0], whole_n[:, 0]]
+        rows = np.lexsort((keys[:, 2], -gain.max(axis=1, initial=-np.inf), keys[:, 1], keys[:, 0]))
+        rows = rows[np.append(True, (np.diff(keys[rows, :2], axis=0) != 0).any(axis=1))[: len(rows)]]
+        bins, whole_g, whole_h, whole_n = bins[rows], whole_g[rows], whole_h[rows], whole_n[rows]
+        columns = [*keys[rows].T, gain[rows, bins], bins.astype(np.int32), *(x[rows, bins] for x in (g, h, n)), whole_g[:, 0], whole_h[:, 0], whole_n[:, 0]]
         columns[7], columns[10] = columns[7].astype(np.int64), columns[10].astype(np.int64)
         names = ["fit", "node", "feature", "gain", "bin", "g_left", "h_left", "n_left", "g", "h", "n"]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)

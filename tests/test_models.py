@@ -6,10 +6,11 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from hourgrid.models.configurations import BASE_FEATURES, FORECAST_FEATURES, add_predictions, demand_pipeline, predict_all, train_models
+from hourgrid.models.configurations import BASE_FEATURES, FORECAST_FEATURES, add_predictions, demand_pipeline, predict_all, train_models, train_together
 from hourgrid.models.importance import permutation_importance, permuted_features, top_features, with_position
 from hourgrid.functions.time import naive
 from hourgrid.models.poisson_trees import PoissonTrees, poisson_deviance
+from hourgrid.models.trees import Tree, bin_edges, codes_of
 from hourgrid.operators.quality import DataQualityError
 from hourgrid.plans.evaluation import run_backtest, run_final_test
 from hourgrid.plans.features import build_features
@@ -185,3 +186,69 @@ def test_importance_equals_scoring_every_shuffle_by_hand(training):
         gains = [mae(shuffled.where((F.col("feature") == f) & (F.col("repeat") == k))) - mae(rows) for k in (1, 2)]
         assert found[f]["MAE_increase"] == pytest.approx(np.mean(gains))
         assert found[f]["importance_std"] == pytest.approx(np.std(gains), abs=1e-12)
+
+
+def jobs_of(spark, group, action):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_grow_with_the_number_of_models(spark, features):
+    """A level of all models' trees is one pass: a shuffle and its result."""
+    folds = {d: F.col("timestamp") < naive(date(2024, 1, d)) for d in (18, 20, 22)}
+    count = lambda trees, sets, own: jobs_of(spark, f"fit-{trees}-{len(sets)}", lambda: train_together(features, sets, own, trees=trees, max_depth=3))
+    one = {"small": SMALL["small"]}
+    few, more = count(1, {18: folds[18]}, one), count(3, {18: folds[18]}, one)
+    assert more - few <= 2 * 2 * 3
+    assert count(3, folds, SMALL) - count(1, folds, SMALL) <= 2 * 2 * 3
+
+
+def test_models_fitted_together_are_those_of_separate_fits(features):
+    starts = [date(2024, 1, 18), date(2024, 1, 21)]
+    together = train_together(features, {s: F.col("timestamp") < naive(s) for s in starts}, SMALL, trees=4, cut_lineage_every=2)
+    for (start, name), model in together.items():
+        alone = demand_pipeline(SMALL[name], name, trees=4).fit(features.where(F.col("timestamp") < naive(start)))
+        a, b = (add_predictions(features, m).orderBy("station_id", "timestamp").select(name).toPandas()[name] for m in (model, alone))
+        np.testing.assert_allclose(a, b)
+        assert set(model.stages[-1].steps[0].tree.feature) <= set(range(len(SMALL[name]) - 1 + 3))
+
+
+def test_bins_of_few_and_of_many_values(spark):
+    rng = np.random.default_rng(1)
+    many, few = rng.normal(size=3000), rng.integers(0, 5, 3000).astype(float)
+    rows = spark.createDataFrame([([float(a), float(b), 1.0], i < 2000) for i, (a, b) in enumerate(zip(many, few, strict=True))], "v array<double>, first boolean")
+    (wide, five, one), (all_wide, *_) = bin_edges(rows.withColumn("every", F.lit(True)), "v", ["first", "every"])
+    assert five.tolist() == [0.5, 1.5, 2.5, 3.5] and len(one) == 0 and 200 < len(wide) < 256
+    sizes = np.bincount(codes_of(many[:2000, None], [wide])[:, 0], minlength=len(wide) + 1)
+    assert sizes.max() < 3 * 2000 / 256 and not np.array_equal(wide, all_wide)
+
+
+def test_trees_send_rows_to_their_leaves():
+    tree = Tree((1, 0), (0.5, 2.0), (1, ~0), (~2, ~1))
+    assert tree.leaf_of(np.array([[1.0, 0.0], [2.5, 0.5], [1.0, 0.6], [2.0, 0.5], [np.nan, 0.1], [1.0, np.nan]])).tolist() == [0, 1, 2, 0, 1, 2]
+    assert Tree((), (), (), ()).leaf_of(np.zeros((2, 1))).tolist() == [0, 0]
+
+
+def test_first_split_is_the_best_of_all(spark, training, vectors):
+    """Every threshold of every feature, tried by hand."""
+    (step,) = PoissonTrees(trees=1, max_depth=1).fit(vectors).steps
+    pdf = training.toPandas()
+    mu = pdf["pickups"].mean()
+
+    def gain(inside):
+        g, h = (pdf["pickups"] - mu)[inside].sum(), mu * inside.sum()
+        return g * g / (h + 1)
+
+    tried = {}
+    for at, name in enumerate(["a", "b", "noise"]):
+        values = np.sort(pdf[name].to_numpy())
+        for low in values[19:-20:5]:
+            left = pdf[name] <= low
+            tried[at, low] = gain(left) + gain(~left)
+    chosen = pdf.iloc[:, 2 + step.tree.feature[0]] <= step.tree.threshold[0]
+    assert gain(chosen) + gain(~chosen) > 0.99 * max(tried.values())
+    assert step.tree.feature[0] == max(tried, key=tried.get)[0]
