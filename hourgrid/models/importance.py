@@ -1,41 +1,42 @@
 """Permutation importance: how much the MAE grows when one feature is shuffled.
 
 A shuffle is a one-to-one pairing of rows with donor rows. Both sides get a gapless position in their own
-pseudo-random order; equal positions are joined. Orders come from hashes of the row key, are numbered
-inside hash buckets, and each bucket starts where the previous one ends, so no task sorts all rows and a
-rerun after a lost executor pairs the same rows.
+pseudo-random order; equal positions are joined. Orders are those of an md5 of the row key, which any engine
+repeats. Rows are numbered inside ranges of the md5, and a table of the ranges' sizes says where each begins, so no
+task sorts all rows, the positions do not depend on the number of ranges, and a rerun after a lost executor pairs
+the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import accumulate
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.errors import mae
 from hourgrid.models.configurations import add_predictions
 from hourgrid.session import materialize
 
-
-def _bucket_starts(rows: DataFrame, bucket: str, buckets: int) -> Column:
-    """First position of every bucket, as a literal array; one count per bucket reaches the driver."""
-    sizes = {r[bucket]: r["n"] for r in rows.groupBy(bucket).agg(F.count("*").alias("n")).collect()}
-    starts = accumulate([0] + [sizes.get(b, 0) for b in range(buckets - 1)])
-    return F.array(*[F.lit(s).cast("long") for s in starts])
+#: Ranges of the md5, however many rows there are; the window over their sizes has one row for each.
+BUCKETS = 4096
+_DIGITS = 8
 
 
 def with_position(rows: DataFrame, keys: Sequence[str], salt: int, buckets: int, out: str) -> DataFrame:
     """Number the rows 0, 1, 2, ... in a pseudo-random order given by ``salt``; ``keys`` are unique."""
-    hashed = rows.withColumn("_hash", F.xxhash64(*keys, F.lit(salt)))
-    bucketed = hashed.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
-    starts = _bucket_starts(bucketed, "_bucket", buckets)
+    said = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(salt)))
+    hashed = rows.withColumn("_hash", F.md5(said))
+    high = F.conv(F.substring("_hash", 1, _DIGITS), 16, 10).cast("double")
+    bucketed = hashed.withColumn("_bucket", F.floor(high * buckets / float(16**_DIGITS)).cast("int"))
+    up_to = F.sum("_size").over(Window.orderBy("_bucket"))
+    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    starts = sizes.select("_bucket", (up_to - F.col("_size")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *keys)) - 1
-    position = F.element_at(starts, F.col("_bucket") + 1) + inside
-    return bucketed.withColumn(out, position).drop("_hash", "_bucket")
+    numbered = bucketed.withColumn("_inside", inside).join(starts, "_bucket")
+    return numbered.select(*rows.columns, (F.col("_start") + F.col("_inside")).alias(out))
 
 
 def permuted_features(
@@ -71,18 +72,17 @@ def permutation_importance(
     prediction: str = "prediction",
     repeats: int = 5,
     seed: int = 42,
-    rows_per_bucket: int = 500_000,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Mean and population deviation, over the repeats, of the MAE increase per feature."""
     needed = list(dict.fromkeys([*keys, *features, label]))
     rows = materialize(data.select(*needed), "importance")
     y, p = F.col(label), F.col(prediction)
-    base, size = add_predictions(rows, model).agg(mae(y, p), F.count("*")).first()
-    buckets = max(8, size // rows_per_bucket)
+    base = add_predictions(rows, model).agg(mae(y, p)).scalar()
     # The keys identify a row even where a feature that is also a key has been swapped.
     shuffled = permuted_features(rows, features, keys, repeats, seed, buckets)
     scored = add_predictions(shuffled, model).groupBy("feature", "repeat")
-    increases = scored.agg((mae(y, p) - F.lit(base)).alias("increase"))
+    increases = scored.agg((mae(y, p) - base).alias("increase"))
     return increases.groupBy("feature").agg(
         F.avg("increase").alias("MAE_increase"), F.stddev_pop("increase").alias("importance_std")
     )

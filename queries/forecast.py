@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from hourgrid.models.configurations import (
     station_encoder,
     train_together,
 )
-from hourgrid.models.importance import permutation_importance, permuted_features, top_features
+from hourgrid.models.importance import BUCKETS, permutation_importance, permuted_features, top_features
 from hourgrid.models.poisson_trees import PoissonTreesModel, poisson_deviance
 from hourgrid.functions.time import naive
 from hourgrid.operators.evaluation import (
@@ -170,10 +171,38 @@ def importance(spark, sf_dir) -> DataFrame:
     return rounded(top_features(permutation_importance(model, test, FORECAST_FEATURES, repeats=REPEATS)))
 
 
+def blend_importance(spark, sf_dir) -> DataFrame:
+    """The twelve features whose shuffles hurt a fixed weighted sum of all features most."""
+    features = base.staged_features(spark, sf_dir)
+    blend = PipelineModel([SQLTransformer(statement=f"SELECT *, {_blend()} AS prediction FROM __THIS__")])
+    test = fixed_test(features, base.TEST_START, base.TEST_END)
+    return rounded(top_features(permutation_importance(blend, test, PERMUTED, repeats=REPEATS)))
+
+
+def _blend(prefix: str = "", swapped: str = "", value: str = "") -> str:
+    """A weighted sum of all numeric features, each with a weight of its own; ``swapped`` stands for ``value``."""
+    return " + ".join(f"{0.02 * (i % 7 + 1):.2f} * CAST({value if f == swapped else prefix + f} AS DOUBLE)" for i, f in enumerate(PERMUTED))
+
+
+def _blend_importance_sql() -> str:
+    """Both orders of each repeat by row number over the md5 of the row key, and equal numbers joined."""
+    order = lambda salt: f"""row_number() OVER (ORDER BY md5(station_id || '|' || CAST("timestamp" AS VARCHAR) || '|{salt}'), station_id, "timestamp") - 1"""
+    parts = [f"""SELECT '{f}' AS feature, repeat, avg(abs({_blend("r.", f, f"d.{f}")} - r.pickups)) AS m FROM receivers r JOIN donors d USING (place) GROUP BY repeat""" for f in PERMUTED]
+    return with_ctes(
+        "test",
+        tail=f""", receivers AS MATERIALIZED (SELECT *, {order(42)} AS place FROM test),
+            donors AS MATERIALIZED ({" UNION ALL ".join(f"SELECT *, {i} AS repeat, {order(42 + i)} AS place FROM test" for i in range(1, REPEATS + 1))}),
+            base AS (SELECT avg(abs({_blend()} - pickups)) AS m FROM test),
+            swapped AS ({" UNION ALL ".join(parts)})
+            SELECT feature, {r("avg(swapped.m - base.m)")} AS "MAE_increase", {r("stddev_pop(swapped.m - base.m)")} AS importance_std
+            FROM swapped, base GROUP BY feature ORDER BY avg(swapped.m - base.m) DESC, feature LIMIT 12""",
+    )
+
+
 def permuted_totals(spark, sf_dir) -> DataFrame:
     """A shuffle moves values between rows and changes none: each feature keeps its total and range."""
     rows = base.staged_features(spark, sf_dir).select("station_id", "timestamp", *PERMUTED)
-    shuffled = permuted_features(rows, PERMUTED, ["station_id", "timestamp"], REPEATS, 42, 16)
+    shuffled = permuted_features(rows, PERMUTED, ["station_id", "timestamp"], REPEATS, 42, BUCKETS)
     value = F.coalesce(*[F.when(F.col("feature") == f, F.col(f).cast("double")) for f in PERMUTED])
     return rounded(
         shuffled.groupBy("feature", "repeat").agg(
@@ -352,5 +381,6 @@ QUERIES = {
     ),
     "poisson_boost_eval": Query(poisson_eval),
     "poisson_boost_backtest": Query(poisson_backtest),
+    "blend_importance": Query(blend_importance, _blend_importance_sql()),
     "permutation_importance": Query(importance),
 }
