@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.llm.words import PUNCTUATION, find_words, mixed, run_hashes, slices, texts_of
@@ -203,17 +203,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return result
 
 
-def is_leaked(items: Items, text: Column, threshold: float = SIMILARITY) -> Column:
-    """Whether a text contains one of the items, as a column of the rows at hand."""
+def without_leaks(docs: DataFrame, items: Items, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text contains none of the items; rows pass in slices, as Arrow holds them."""
 
-    @F.pandas_udf("boolean")
-    def leaked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            found = np.zeros(len(part), bool)
-            at = 0
-            for piece in slices([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"])]):
-                found[[at + f[0] for f in items.found_in(texts_of(piece), threshold)]] = True
-                at += piece.num_rows
-            yield pd.Series(found)
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            clean = np.ones(batch.num_rows, bool)
+            clean[[f[0] for f in items.found_in(texts_of(batch, text), threshold)]] = False
+            yield batch.filter(pa.array(clean))
 
-    return leaked(text)
+    return docs.mapInArrow(kept, docs.schema)

@@ -9,7 +9,7 @@ each row its place: a row belongs to the shard in which the middle of its bytes
 one row at most, and equal texts share a shard unless a shard ends among them.
 
 A null text has no bytes, and a null id is an id like any other; repeated rows get places of their own; an empty table
-gives an empty result. The new columns may not be among the old ones.
+gives an empty result. An old column with the name of a new one gets ``_before`` added to its name, as often as that takes.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ RANGES_PER_PARTITION = 4
 #: Drawn keys for each range.
 DRAWS = 64
 TEXT_BITS = 40
+ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def row_size(text: Column) -> Column:
@@ -103,16 +104,25 @@ def splitters_of(rows: DataFrame, least_ranges: int) -> tuple[list[int], dict[in
         splitters = sorted(finer)
 
 
+def free_names(columns: list[str]) -> dict[str, str]:
+    """A name for each column that none of the new columns has."""
+    names, used = {}, {*columns, *ADDED}
+    for column in columns:
+        name = column
+        while name in ADDED or name != column and name in used:
+            name += "_before"
+        used.add(name)
+        names[column] = name
+    return names
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with ``size, text_crc32, shard, slot``; slots count from 0 in each shard."""
-    kept = docs.columns if carry is None else carry
-    clash = {"size", "text_crc32", "shard", "slot"} & {*kept}
-    if clash:
-        raise ValueError(f"columns that sharding adds are there already: {sorted(clash)}")
+    kept = free_names(docs.columns if carry is None else carry)
     spark = docs.sparkSession
     body = docs[f"`{text}`"]
     rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), row_key(docs, text).alias("key"), row_size(body).alias("size"),
+        F.struct(*[docs[f"`{c}`"].alias(name) for c, name in kept.items()]).alias("row"), row_key(docs, text).alias("key"), row_size(body).alias("size"),
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
     )
     keys = materialize(rows.select("key", "size"), "keys")

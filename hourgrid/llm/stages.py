@@ -14,7 +14,7 @@ from hourgrid.llm.staging import table
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below one half; all labels of documents at hand are learned from."""
     classifier = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return docs.where(~toxicity.is_toxic(classifier, F.col("text")))
+    return toxicity.without_toxic(docs, classifier)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     blocks = decontamination.item_blocks(table(spark, sf_dir, "benchmark"))
-    return reduce(lambda kept, items: kept.where(~decontamination.is_leaked(items, F.col("text"))), blocks, docs)
+    return reduce(decontamination.without_leaks, blocks, docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ FIT_ROWS = 8_000
 VOTERS = 192
 HASHED = 384
 PREFIXES = (4, 5, 6)
+#: Texts that are counted at a time; each takes about 5 KB, however short it is.
+SLICE_ROWS = 4_096
 #: Voters found in the sample occur in at least so many toxic texts.
 LEAST_TOXIC = 5
 LABEL_ACCURACY = 0.95
@@ -67,10 +68,17 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, label = _words(batch.column("text").to_pylist()), batch.column("label").to_numpy(zero_copy_only=False)
         owner = words.owner()
         for kind, feature in enumerate(_features(words)):
-            pairs = pd.DataFrame({"feature": feature.view(np.int64), "owner": owner})[feature != 0].drop_duplicates()
-            toxic = label[pairs["owner"].to_numpy()] == 1
-            counted = pairs.assign(toxic=toxic.astype(np.int64), other=(~toxic).astype(np.int64)).groupby("feature")[["toxic", "other"]].sum()
-            arrays = [pa.array(np.full(len(counted), kind, np.int32)), pa.array(counted.index.to_numpy()), pa.array(counted["toxic"].to_numpy()), pa.array(counted["other"].to_numpy())]
+            used = np.flatnonzero(feature)
+            used = used[np.lexsort((owner[used], feature[used]))]
+            value, text = feature[used], owner[used]
+            once = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))[: len(used)]
+            value, toxic = value[once], label[text[once]] == 1
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+            if not len(first):
+                continue
+            in_toxic = np.add.reduceat(toxic.astype(np.int64), first)
+            in_all = np.diff(np.append(first, len(value)))
+            arrays = [pa.array(np.full(len(first), kind, np.int32)), pa.array(value[first].view(np.int64)), pa.array(in_toxic), pa.array(in_all - in_toxic)]
             yield pa.RecordBatch.from_arrays(arrays, names=["kind", "feature", "toxic", "other"])
 
 
@@ -150,7 +158,7 @@ def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 10) -> tupl
 
 def _collect_counts(counter: Counter):
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows=SLICE_ROWS):
             votes, hashed, length = counter(batch.column("text").to_pylist())
             packed = np.minimum(np.concatenate([votes, hashed], axis=1), 65535).astype(np.uint16)
             arrays = [batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(length, pa.int64())]
@@ -194,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
 
 def _score(classifier: Classifier):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows=SLICE_ROWS):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classifier.score(batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
     return score
@@ -208,15 +216,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_i
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 
 
-def is_toxic(classifier: Classifier, text: Column) -> Column:
-    """Whether a text's score reaches one half, as a column of the rows at hand."""
+def without_toxic(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score stays below one half; rows pass in slices, as Arrow holds them."""
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            found = []
-            for piece in slices([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"])]):
-                found.append(classifier.score(piece.column("text").to_pylist()) >= 0.5)
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, rows=SLICE_ROWS):
+            yield batch.filter(pa.array(classifier.score(batch.column(text).to_pylist()) < 0.5))
 
-    return toxic(text)
+    return docs.mapInArrow(kept, docs.schema)

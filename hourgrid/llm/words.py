@@ -118,8 +118,8 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b if b is not None else b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about ``size`` bytes of text, at least one row each."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``size`` bytes of text and, if given, at most ``rows`` rows, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -129,6 +129,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
         while at < batch.num_rows:
             before = total[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(total, before + size, "right")))
+            to = min(to, at + (rows or to))
             yield batch.slice(at, to - at)
             at = to
 

@@ -211,7 +211,7 @@ def test_documents_shorter_than_an_item_equal_brute_force(spark):
     found = decontamination.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((*r[:2], round(r[2], 6), *r[3:]) for r in found.collect()) == sorted(want) and short > 40
     blocks = [*decontamination.item_blocks(spark.createDataFrame(items, "item_id long, text string"))]
-    clean = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").where(~decontamination.is_leaked(blocks[0], F.col("text")))
+    clean = decontamination.without_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), blocks[0])
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {x[0] for x in want}
 
 
@@ -265,8 +265,9 @@ def test_shards(spark, docs, rows, empty):
     assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
     for s in range(5):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    with pytest.raises(ValueError, match="size"):
-        sharding.shard(docs)
+    clashing = sharding.shard(docs.withColumns({"size_before": F.lit(1), "slot": F.lit(2)}), shards=5)
+    assert clashing.columns == [*("size_before_before" if c == "size" else c for c in docs.columns), "size_before", "slot_before", *sharding.ADDED]
+    assert clashing.where("size_before_before = 'y' AND size_before = 1 AND slot_before = 2").count() == docs.where("size = 'y'").count() > 0
     assert not sharding.shard(empty.drop("size")).collect()
 
 
@@ -324,8 +325,8 @@ def test_toxicity(spark, docs, empty):
     assert sum(truth[r["doc_id"]] == r["predicted"] for r in scored if r["doc_id"] >= 300) >= 98
     assert toxicity.score_toxicity(docs, labels.limit(0), F.lit(True)).count() == docs.count()
     assert not toxicity.score_toxicity(empty, labels, F.lit(True)).collect()
-    kept = stages.toxicity.is_toxic(toxicity.fit(texts, labels, F.lit(True)), F.col("text"))
-    assert texts.where(~kept).count() == pytest.approx(320, abs=4)
+    kept = toxicity.without_toxic(texts.withColumn("score", F.lit("clash")), toxicity.fit(texts, labels, F.lit(True)))
+    assert kept.count() == pytest.approx(320, abs=4) and kept.columns == [*texts.columns, "score"]
 
 
 def test_the_label_model_counts_shared_voices_once():
