@@ -258,6 +258,33 @@ def test_a_round_polygon_on_a_fine_grid(spark):
     assert repeated[0] < 0.2 * 720 * repeated[1]
 
 
+def test_cells_follow_the_edges_and_not_the_extent(spark):
+    ring = lambda w, h: [[0.0, 0.0], [w, 0.0], [w, h], [0.0, h], [0.0, 0.0]]
+    kind = "ntaname string, geometry array<array<array<array<double>>>>"
+    count = lambda w, h: polygon_cells(spark.createDataFrame([("box", [[ring(w, h)]])], kind), "geometry", ["ntaname"], 0.01).count()
+    assert count(20.0, 10.0) <= 8 and count(2e-5, 1e-5) <= 8
+    # a comb of many teeth has few cells for each of its edges
+    teeth = [[i / 100, (i % 2) * 5.0] for i in range(1001)]
+    comb = spark.createDataFrame([("comb", [[[*teeth, [10.0, -1.0], [0.0, -1.0], teeth[0]]]])], kind)
+    assert polygon_cells(comb, "geometry", ["ntaname"], 0.01).count() < 8 * 1003
+    rng = np.random.default_rng(3)
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform((-0.5, -1.5), (10.5, 5.5), (500, 2)))]
+    points = spark.createDataFrame(places, "id int, longitude double, latitude double")
+    joined = points_in_polygons(points, comb, ["ntaname"])
+    height = lambda x: abs((x * 100 + 1) % 2 - 1) * 5
+    for r in joined.collect():
+        if abs(r["latitude"] - height(r["longitude"])) > 1e-6:
+            assert (r["ntaname"] == "comb") == (0 < r["longitude"] < 10 and -1 < r["latitude"] < height(r["longitude"]))
+    assert joined.count() == 500
+
+
+def test_no_polygons_leave_the_points(spark):
+    polygons = spark.createDataFrame([("flat", [])], "ntaname string, geometry array<array<array<array<double>>>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id int, longitude double, latitude double")
+    for empty in (polygons, polygons.limit(0)):
+        assert [tuple(r) for r in points_in_polygons(points, empty, ["ntaname"]).collect()] == [(1, 0.5, 0.5, None)]
+
+
 def test_input_order_does_not_matter(spark, rows):
     trips = [(datetime(2026, 1, 1 + i % 20, i % 24, i % 60), f"s{i % 7}", f"n{i % 3}") for i in range(900)]
     schema = "started_at timestamp_ntz, start_station_id string, start_station_name string"
