@@ -9,7 +9,7 @@ import argparse
 from collections.abc import Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.functions.time import naive
@@ -19,7 +19,7 @@ from hourgrid.operators.counts import sum_by
 from hourgrid.operators.evaluation import fixed_test, improvement_over_best, summarize_folds
 from hourgrid.operators.joins import join_checked
 from hourgrid.operators.profile import area_summary, daily_demand, daily_weather, describe_exact, hourly_profile, profile
-from hourgrid.operators.quality import require_columns
+from hourgrid.operators.quality import DataQualityError, require_columns
 from hourgrid.operators.reports import (
     active,
     error_by,
@@ -40,13 +40,22 @@ from hourgrid.schemas import DAY_AHEAD_WEATHER_NAMES, OBSERVED_WEATHER_NAMES, TR
 from hourgrid.session import materialize
 from hourgrid.sources.geojson import read_geojson
 from hourgrid.sources.tables import read_monthly, read_months, read_table, require_input, write_monthly, write_table
-from hourgrid.sources.trips import read_station_points, read_trips
+from hourgrid.sources.trips import read_station_points, read_trips, rejected_trips
 from hourgrid.sources.weather import read_weather
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Write the trips; lines whose time cannot be read go to a table beside them and fail the stage at its end."""
     require_input(spark, args.trips, "landing the monthly trip files")
-    ingest_trips(read_trips(spark, args.trips, zipped=not args.csv), args.out)
+    seen = Observation("lines")
+    ingest_trips(read_trips(spark, args.trips, zipped=not args.csv, seen=seen), args.out)
+    counted = seen.get
+    print(", ".join(f"{name} {n:,}" for name, n in counted.items()))
+    if counted["unreadable"]:
+        beside = f"{args.out.rstrip('/')}-rejected"
+        write_table(rejected_trips(spark, args.trips, zipped=not args.csv), beside)
+        if not args.allow_unreadable:
+            raise DataQualityError(f"{counted['unreadable']:,} of {counted['lines']:,} lines have a time that cannot be read; they are listed in {beside}")
 
 
 def dataset(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -173,7 +182,10 @@ def _parser() -> argparse.ArgumentParser:
         return sub
 
     for run in (ingest, stations):
-        stage(run, "trips", "out").add_argument("--csv", action="store_true", help="extracted CSV files, no archives")
+        sub = stage(run, "trips", "out")
+        sub.add_argument("--csv", action="store_true", help="extracted CSV files, no archives")
+        if run is ingest:
+            sub.add_argument("--allow-unreadable", action="store_true", help="go on where times cannot be read")
     sub = stage(dataset, "trips", "out")
     sub.add_argument("--cutoff", type=date.fromisoformat, required=True)
     sub.add_argument("--top-n", type=int, default=25)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.time import first_hour_of_month, floor_hour, next_month_start
@@ -16,9 +16,13 @@ def blank_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)) for c in columns})
 
 
+def in_month(ts: str, month: str) -> Column:
+    """Whether a time lies in the calendar month of ``month`` (half-open)."""
+    return (F.col(ts) >= first_hour_of_month(month)) & (F.col(ts) < next_month_start(month))
+
+
 def within_month(df: DataFrame, ts: str, month: str) -> DataFrame:
-    """Keep rows whose time lies in the calendar month of ``month`` (half-open)."""
-    return df.where((F.col(ts) >= first_hour_of_month(month)) & (F.col(ts) < next_month_start(month)))
+    return df.where(in_month(ts, month))
 
 
 def between_times(df: DataFrame, ts: str, start, end) -> DataFrame:

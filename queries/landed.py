@@ -20,7 +20,7 @@ from hourgrid.session import new_path
 from hourgrid.sources.archives import open_filesystem, ship_with_tasks
 from hourgrid.sources.geojson import read_geojson
 from hourgrid.sources.tables import read_monthly, write_monthly
-from hourgrid.sources.trips import read_station_points, read_trips
+from hourgrid.sources.trips import read_station_points, read_trips, rejected_trips
 from hourgrid.sources.weather import hourly_rows, read_responses, require_clean, require_variables
 from queries import base
 from queries.base import Query, r, rounded, table, with_ctes
@@ -40,10 +40,10 @@ def archive_rows(spark, sf_dir) -> DataFrame:
     )
 
 
-def write_archives(rows: DataFrame, folder: str) -> None:
-    """Hash parts of every month, each streamed batch by batch into the one member of its own archive.
+def write_archives(rows: DataFrame, folder: str, zipped: bool = True) -> None:
+    """Hash parts of every month, each streamed batch by batch into the one member of its own archive, or into a file.
 
-    An archive appears under its name only when it is complete, and a retried task writes the same one.
+    It appears under its name only when it is complete, and a retried task writes the same one.
     """
 
     def write(batches):
@@ -58,13 +58,14 @@ def write_archives(rows: DataFrame, folder: str) -> None:
                     if name != month:
                         stack.close()
                         month = name
-                        final = f"{path}/{month}-part{task.partitionId():05d}-tripdata.zip"
+                        final = f"{path}/{month}-part{task.partitionId():05d}-tripdata.{'zip' if zipped else 'csv'}"
                         draft = f"{final}.{task.taskAttemptId()}"
                         stack.push(lambda failed, *_: None if failed else filesystem.move(draft, final))
-                        raw = stack.enter_context(filesystem.open_output_stream(draft))
-                        zipped = stack.enter_context(zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED))
-                        member = stack.enter_context(zipped.open("TRIPS.CSV", "w", force_zip64=True))
-                        lines = stack.enter_context(pyarrow.csv.CSVWriter(member, batch.schema))
+                        out = stack.enter_context(filesystem.open_output_stream(draft))
+                        if zipped:
+                            archive = stack.enter_context(zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED))
+                            out = stack.enter_context(archive.open("TRIPS.CSV", "w", force_zip64=True))
+                        lines = stack.enter_context(pyarrow.csv.CSVWriter(out, batch.schema))
                         written.append(final)
                     lines.write(batch.filter(pc.equal(batch["archive"], name)))
         yield pa.RecordBatch.from_pydict({"name": pa.array(written, pa.string())})
@@ -81,6 +82,29 @@ def zip_trips(spark, sf_dir) -> DataFrame:
     return hourly_counts(read_trips(spark, f"{folder}/20????-*tripdata.zip"))
 
 
+def csv_hourly(spark, sf_dir) -> DataFrame:
+    """The lines as CSV files; those of errors have a time that cannot be read, and those of views none."""
+    folder = new_path(spark, "csv")
+    write_archives(_with_bad_times(archive_rows(spark, sf_dir)), folder, zipped=False)
+    return hourly_counts(read_trips(spark, folder, zipped=False))
+
+
+def rejected_lines(spark, sf_dir) -> DataFrame:
+    """The lines that are no trips, by file month and reason."""
+    folder = new_path(spark, "csv")
+    write_archives(_with_bad_times(archive_rows(spark, sf_dir)), folder, zipped=False)
+    rejected = rejected_trips(spark, folder, zipped=False)
+    return rejected.groupBy(F.substring("archive", 1, 6).alias("month"), "reason").agg(
+        F.count("*").alias("lines"), F.count("started_at").alias("with_time"), F.count_distinct("start_station_id").alias("stations")
+    )
+
+
+def _with_bad_times(rows: DataFrame) -> DataFrame:
+    kind = F.col("start_station_name")
+    text = F.when(kind.contains("error"), F.concat(F.lit("at "), "started_at")).when(~kind.contains("view"), F.col("started_at"))
+    return rows.withColumn("started_at", text)
+
+
 def zip_station_points(spark, sf_dir) -> DataFrame:
     folder = new_path(spark, "archives")
     write_archives(archive_rows(spark, sf_dir), folder)
@@ -225,6 +249,19 @@ QUERIES = {
                   'St "' || event_type || '", NY' AS start_station_name, count(*) AS pickups FROM events
            WHERE date_trunc('month', ts) = date_trunc('month', ts - INTERVAL 1 DAY) GROUP BY ALL""",
     ),
+    "csv_hourly": Query(
+        csv_hourly,
+        """SELECT date_trunc('hour', ts) AS "timestamp", user_id || '.10' AS start_station_id,
+                  'St "' || event_type || '", NY' AS start_station_name, count(*) AS pickups FROM events
+           WHERE date_trunc('month', ts) = date_trunc('month', ts - INTERVAL 1 DAY) AND event_type NOT IN ('error', 'view') GROUP BY ALL""",
+    ),
+    "rejected_lines": Query(
+        rejected_lines,
+        """SELECT strftime(ts - INTERVAL 1 DAY, '%Y%m') AS month,
+                  CASE event_type WHEN 'error' THEN 'time cannot be read' WHEN 'view' THEN 'incomplete' ELSE 'another month' END AS reason,
+                  count(*) AS lines, count(*) FILTER (WHERE event_type <> 'view') AS with_time, count(DISTINCT user_id) AS stations FROM events
+           WHERE event_type IN ('error', 'view') OR date_trunc('month', ts) <> date_trunc('month', ts - INTERVAL 1 DAY) GROUP BY ALL""",
+    ),
     "zip_station_points": Query(
         zip_station_points,
         f"""SELECT station_id, station_name, {r("lat")} AS latitude, {r("lng")} AS longitude FROM (

@@ -16,7 +16,7 @@ from hourgrid.schemas import DAY_AHEAD_WEATHER_NAMES, OBSERVED_WEATHER_NAMES
 from hourgrid.sources.archives import list_archives
 from hourgrid.sources.geojson import read_geojson
 from hourgrid.sources.tables import read_months, require_input, write_monthly
-from hourgrid.sources.trips import read_station_points, read_trips
+from hourgrid.sources.trips import INCOMPLETE, OTHER_MONTH, UNREADABLE, read_station_points, read_trips, rejected_trips
 from hourgrid.sources.weather import hourly_rows, read_responses, read_weather, units
 from tests.helpers import hours
 
@@ -121,13 +121,38 @@ def test_station_points_from_archives(spark, archives, rows):
     assert found[1][2:] == pytest.approx(((40.0 + 40.2 + 40.4) / 3, -(73.0 + 73.2 + 73.4) / 3))
 
 
-def test_csv_files_with_different_headers_fail(spark, tmp_path):
+def test_columns_are_found_by_name_in_each_file(spark, tmp_path, rows):
     (tmp_path / "202601-a.csv").write_text(HEADER + "1,2026-01-01 00:10:00,5,x,1,2\n" * 50)
-    (tmp_path / "202601-b.csv").write_text("ride_id,start_station_id,started_at,start_station_name,start_lat,start_lng\n1,5,2026-01-01 00:10:00,x,1,2\n")
-    with pytest.raises(Exception, match="CSV header does not conform"):
+    (tmp_path / "202601-b.csv").write_text("start_station_name,start_station_id,started_at,other\n\"x\ny\",6,2026-01-02 00:10:00,9\n")
+    (tmp_path / "202601-c.csv").write_text("ride_id,started_at\n1,2026-01-01 00:10:00\n")
+    found = rows(read_trips(spark, f"{tmp_path}/202601-[ab].csv", zipped=False))
+    assert found == [(datetime(2026, 1, 1, 0, 10), "5", "x")] * 50 + [(datetime(2026, 1, 2, 0, 10), "6", "x\ny")]
+    with pytest.raises(Exception, match="start_station_id"):
         read_trips(spark, str(tmp_path), zipped=False).collect()
 
 
+def test_archives_and_extracted_files_give_the_same_rows(spark, archives, tmp_path_factory, rows):
+    folder = tmp_path_factory.mktemp("extracted")
+    for archive in list_archives(str(archives)):
+        with zipfile.ZipFile(archive) as z:
+            for i, name in enumerate(n for n in z.namelist() if n.lower().endswith(".csv")):
+                (folder / f"{archive.split('/')[-1][:6]}-{i}.csv").write_bytes(z.read(name))
+    assert rows(read_trips(spark, str(folder), zipped=False)) == rows(read_trips(spark, str(archives)))
+    rejected = [(r["archive"][:6], r["started_at"], r["start_station_id"], r["reason"]) for r in rejected_trips(spark, str(folder), zipped=False).collect()]
+    assert sorted(rejected, key=str) == sorted([(r["archive"][:6], r["started_at"], r["start_station_id"], r["reason"]) for r in rejected_trips(spark, str(archives)).collect()], key=str)
+    assert ("202601", "not a time", "7", UNREADABLE) in rejected and ("202601", "2026-02-01 00:00:00", "5329.10", OTHER_MONTH) in rejected
+    assert sorted(r[3] for r in rejected) == sorted([OTHER_MONTH, INCOMPLETE, INCOMPLETE, UNREADABLE])
+
+
+def test_ingest_raises_on_unreadable_times(spark, archives, tmp_path_factory, capsys):
+    out = str(tmp_path_factory.mktemp("ingested") / "trips")
+    with pytest.raises(DataQualityError, match="1 of 7 lines"):
+        jobs.main(["ingest", "--trips", str(archives), "--out", out])
+    assert "unreadable 1, incomplete 2, other_month 1" in capsys.readouterr().out
+    assert spark.read.parquet(f"{out}-rejected").count() == 4 and spark.read.parquet(out).count() == 3
+    jobs.main(["ingest", "--trips", str(archives), "--out", out, "--allow-unreadable"])
+
+
 def test_extracted_csv_files(spark, tmp_path, rows):
     (tmp_path / "202601-part.csv").write_text(HEADER + "1,2026-01-01 00:10:00,5329.10,\"a, b\",1,2\n2,2026-03-01 00:10:00,5,x,1,2\n")
     assert rows(read_trips(spark, str(tmp_path), zipped=False)) == [(datetime(2026, 1, 1, 0, 10), "5329.10", "a, b")]
