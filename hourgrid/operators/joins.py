@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.functions.time import hour_calendar
 from hourgrid.operators.quality import guard_not_null, require_no_nulls, unique_on
 from hourgrid.schemas import WEATHER_MEASURES
 
@@ -48,6 +49,11 @@ def add_weather(facts: DataFrame, weather: DataFrame, ts: str = "timestamp") ->
 
 
 def require_weather(facts: DataFrame, weather: DataFrame, ts: str = "timestamp") -> None:
-    """Raise, with the number of hours per column, when a fact hour has no complete weather."""
-    hours = facts.select(ts).distinct().join(weather, ts, "left")
-    require_no_nulls(hours, WEATHER_MEASURES, "missing weather values after the timestamp join")
+    """Raise, with the number of hours per column, when an hour from the first to the last fact has no complete weather.
+
+    The facts are an hourly grid: their first and last hour say which hours there are, so nothing of them is shuffled.
+    """
+    first, last = facts.agg(F.min(ts), F.max(ts)).first()
+    if first is not None:
+        hours = hour_calendar(facts.sparkSession, first, last, ts).join(weather, ts, "left")
+        require_no_nulls(hours, WEATHER_MEASURES, f"hours from {first} to {last} lack weather")

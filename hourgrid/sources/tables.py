@@ -43,6 +43,19 @@ def write_monthly(df: DataFrame, path: str, ts: str = "timestamp", rebalance: bo
     monthly.write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
+def rewrite_months(df: DataFrame, path: str, ts: str = "timestamp") -> None:
+    """Replace the months that occur in ``df`` and leave all others of the table as they are."""
+    monthly = df.withColumn(MONTH, month_label(ts)).hint("rebalance", F.col(MONTH))
+    monthly.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+
+
+def missing_months(spark: SparkSession, path: str) -> DataFrame:
+    """Months between the first and the last of a monthly table that have no rows: the inputs of a report that would be short."""
+    found = spark.read.schema(f"{MONTH} string").parquet(path).select(F.to_date(F.concat(MONTH, F.lit("-01"))).alias("month")).distinct()
+    every = found.agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))).alias("month"))
+    return every.join(found, "month", "left_anti").select(F.date_format("month", "yyyy-MM").alias(MONTH))
+
+
 def read_monthly(spark: SparkSession, path: str, schema: T.StructType = HOURLY_PICKUPS) -> DataFrame:
     return _monthly(spark, path, schema).drop(MONTH)
 

@@ -37,14 +37,15 @@ def read_responses(spark: SparkSession, path: str, names: Mapping[str, str], one
 def require_variables(responses: DataFrame, names: Mapping[str, str]) -> None:
     """Every document has the hourly object and every variable in it."""
     absent = responses.agg(
+        F.count(F.lit(1)).alias("documents"),
         F.count_if(F.col("hourly").isNull()).alias("hourly"),
         *[F.count_if(F.col("hourly").isNotNull() & F.col(f"hourly.{v}").isNull()).alias(f"v_{v}") for v in names],
     ).first()
     if absent["hourly"]:
-        raise DataQualityError("the response does not contain hourly data")
-    missing = sorted(v for v in names if absent[f"v_{v}"])
-    if missing:
-        raise DataQualityError(f"missing weather columns: {missing}")
+        raise DataQualityError(f"{absent['hourly']:,} of {absent['documents']:,} weather documents have no 'hourly' object")
+    lacking = [f"{v} in {absent[f'v_{v}']:,} of {absent['documents']:,} documents" for v in sorted(names) if absent[f"v_{v}"]]
+    if lacking:
+        raise DataQualityError(f"weather variables are absent: {', '.join(lacking)}")
 
 
 def hourly_rows(responses: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -59,13 +60,19 @@ def hourly_rows(responses: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def units(responses: DataFrame) -> DataFrame:
-    return responses.select(F.explode("hourly_units").alias("variable", "unit")).distinct()
+    return unit_counts(responses).select("variable", "unit")
+
+
+def unit_counts(responses: DataFrame) -> DataFrame:
+    """How many documents give each variable in each unit; a variable in two units must not be joined as one."""
+    said = responses.select(F.explode("hourly_units").alias("variable", "unit"))
+    return said.groupBy("variable", "unit").agg(F.count("*").alias("documents"))
 
 
 def require_clean(weather: DataFrame) -> None:
     """No time twice and no value missing."""
-    require_empty(duplicate_keys(weather, ["timestamp"]), "duplicate timestamps in weather data")
-    require_no_nulls(weather, weather.columns, "missing values in weather data")
+    require_empty(duplicate_keys(weather, ["timestamp"]), "several weather rows claim the same hour")
+    require_no_nulls(weather, weather.columns, "weather hours lack values")
 
 
 def read_weather(spark: SparkSession, path: str, names: Mapping[str, str], first: datetime, last: datetime) -> DataFrame:

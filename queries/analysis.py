@@ -12,7 +12,8 @@ from hourgrid.functions.time import naive
 from hourgrid.operators import profile as profiles
 from hourgrid.operators import reports
 from hourgrid.operators.counts import sum_by
-from hourgrid.operators.evaluation import fixed_test, trailing_split
+from hourgrid.operators.evaluation import fixed_test
+from hourgrid.operators.grid import dense_grid
 from hourgrid.operators.joins import join_checked
 from hourgrid.schemas import BASELINES
 from hourgrid.session import materialize
@@ -77,14 +78,28 @@ def areas(spark, sf_dir) -> DataFrame:
     return rounded(profiles.area_summary(located))
 
 
+def grid_of_pairs(spark, sf_dir) -> DataFrame:
+    """The dense table of every station and name as a station of its own."""
+    named = base.hourly_by_name(spark, sf_dir).withColumn("station_id", F.concat_ws("-", "station_id", "station_name"))
+    hourly = materialize(named.select("timestamp", "station_id", "pickups"), "hourly")
+    grid = dense_grid(hourly, materialize(hourly.select("station_id").distinct(), "stations"), "station_id", "pickups")
+    return materialize(grid.withColumn("station_name", F.concat(F.lit("S"), "station_id")), "grid")
+
+
 def inactive_monthly(spark, sf_dir) -> DataFrame:
-    """Stations without a trip in the last two days of the grid, and what they did month by month."""
-    grid = base.grid_of_all(spark, sf_dir).withColumn("station_name", F.concat(F.lit("S"), "station_id"))
-    day = trailing_split(grid, 2)[1].withColumn("prediction", F.lit(0.0))
-    errors = reports.error_by(reports.error_frame(day, "prediction", ["station_id", "pickups"]), ["station_id"])
+    """Stations without a trip in the whole test period, and what they did month by month."""
+    grid = grid_of_pairs(spark, sf_dir)
+    test = fixed_test(grid, base.TEST_START, base.TEST_END).withColumn("prediction", F.lit(0.0))
+    errors = reports.error_by(reports.error_frame(test, "prediction", ["station_id", "pickups"]), ["station_id"])
     return reports.monthly_activity(grid, reports.inactive(errors), key="station_id")
 
 
+def drift_errors(spark, sf_dir) -> DataFrame:
+    """Errors of a forecast that goes on with the change since last week and falls below zero, where it is clipped."""
+    drifting = test_rows(spark, sf_dir).withColumn("drift", 2 * F.col("lag_24") - F.col("lag_168"))
+    return rounded(reports.error_frame(drifting, "drift", ["timestamp", "station_id", "pickups", "drift"]))
+
+
 def one_entity(spark, sf_dir) -> DataFrame:
     """All test rows of the stations of one name, as a report with half-even rounding."""
     return test_rows(spark, sf_dir).where(F.col("station_name") == "click").select(
@@ -242,14 +257,27 @@ QUERIES = {
     "inactive_monthly": Query(
         inactive_monthly,
         with_ctes(
-            "grid_all",
-            tail="""SELECT station_id, 'S' || station_id AS station_name, strftime("timestamp", '%Y-%m') AS year_month,
+            "by_name",
+            "all_hours",
+            tail=f""", pairs AS (SELECT station_id || '-' || station_name AS station_id, "timestamp", pickups FROM by_name),
+                grid_pairs AS (SELECT h."timestamp", s.station_id, coalesce(p.pickups, 0) AS pickups FROM all_hours h
+                    CROSS JOIN (SELECT DISTINCT station_id FROM pairs) s LEFT JOIN pairs p ON p."timestamp" = h."timestamp" AND p.station_id = s.station_id)
+                SELECT station_id, 'S' || station_id AS station_name, strftime("timestamp", '%Y-%m') AS year_month,
                 CAST(sum(pickups) AS BIGINT) AS total_pickups, count(*) FILTER (WHERE pickups > 0) AS active_hours,
-                count(pickups) AS total_hours FROM grid_all
-                WHERE station_id IN (SELECT station_id FROM grid_all WHERE CAST("timestamp" AS DATE) >= (SELECT max(CAST("timestamp" AS DATE)) - 1 FROM grid_all)
+                count(pickups) AS total_hours FROM grid_pairs
+                WHERE station_id IN (SELECT station_id FROM grid_pairs WHERE "timestamp" >= TIMESTAMP '{base.TEST_START} 00:00:00' AND "timestamp" < TIMESTAMP '{base.TEST_END} 00:00:00'
                                      GROUP BY 1 HAVING sum(pickups) = 0) GROUP BY 1, 2, 3""",
         ),
     ),
+    "drift_errors": Query(
+        drift_errors,
+        with_ctes(
+            "test",
+            tail="""SELECT "timestamp", station_id, pickups, 2 * lag_24 - lag_168 AS drift, prediction, prediction - pickups AS error, abs(prediction - pickups) AS absolute_error,
+                (prediction - pickups) * (prediction - pickups) AS squared_error
+                FROM (SELECT *, greatest(CAST(2 * lag_24 - lag_168 AS DOUBLE), 0.0) AS prediction FROM test)""",
+        ),
+    ),
     "baseline_errors_by_day": Query(
         lambda spark, sf_dir: rounded(
             reports.mean_errors_by(test_rows(spark, sf_dir).withColumn("date", F.to_date("timestamp")), ["date"], BASELINES)

@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.operators.counts import hourly_counts
+from hourgrid.operators.quality import column_report
 from hourgrid.operators.spatial import points_in_polygons
 from hourgrid.operators.stations import station_metadata
-from hourgrid.schemas import HOURLY_PICKUPS, OBSERVED_WEATHER_NAMES
-from hourgrid.session import new_path
+from hourgrid.schemas import HOURLY_PICKUPS, OBSERVED_WEATHER_NAMES, TRIP_COLUMNS
+from hourgrid.session import materialize, new_path
 from hourgrid.sources.archives import open_filesystem, ship_with_tasks
 from hourgrid.sources.geojson import read_geojson
-from hourgrid.sources.tables import read_monthly, write_monthly
+from hourgrid.sources.tables import missing_months, read_monthly, read_months, rewrite_months, write_monthly
 from hourgrid.sources.trips import read_station_points, read_trips, rejected_trips
-from hourgrid.sources.weather import hourly_rows, read_responses, require_clean, require_variables
+from hourgrid.sources.weather import hourly_rows, read_responses, require_clean, require_variables, unit_counts
 from queries import base
 from queries.base import Query, r, rounded, table, with_ctes
 
@@ -216,6 +217,49 @@ def hourly_roundtrip(spark, sf_dir) -> DataFrame:
     return found
 
 
+def orders_by_month(spark, sf_dir, status: str | None = None) -> DataFrame:
+    """Orders as an hourly fact: per day and status how many there are, with their priority as the name."""
+    orders = table(spark, sf_dir, "orders")
+    chosen = orders if status is None else orders.where((F.col("o_orderstatus") == status) & (F.col("o_totalprice") > 490_000))
+    keys = [F.col("o_orderdate").cast("timestamp_ntz").alias("timestamp"), F.col("o_orderstatus").alias("station_id"), F.col("o_orderpriority").alias("station_name")]
+    return chosen.groupBy(*keys).agg(F.count("*").cast("int").alias("pickups"))
+
+
+REWRITTEN = "1996-02"
+
+
+def month_rewrite(spark, sf_dir) -> DataFrame:
+    """One month is written again with doubled counts; the others stay as they were."""
+    path = new_path(spark, "orders_fact")
+    write_monthly(orders_by_month(spark, sf_dir), path)
+    again = read_months(spark, path, REWRITTEN, REWRITTEN).withColumn("pickups", F.col("pickups") * 2)
+    rewrite_months(materialize(again, "again"), path)
+    return read_monthly(spark, path)
+
+
+def months_without_rows(spark, sf_dir) -> DataFrame:
+    path = new_path(spark, "orders_fact")
+    write_monthly(orders_by_month(spark, sf_dir, "P"), path)
+    return missing_months(spark, path)
+
+
+def required_columns(spark, sf_dir) -> DataFrame:
+    """The columns of a trip in a table that lacks one of them and has gaps in another."""
+    trips = table(spark, sf_dir, "events").select(
+        F.col("ts").alias("started_at"), F.nullif(F.col("event_type"), F.lit("error")).alias("start_station_id"), "value"
+    )
+    return column_report(trips, TRIP_COLUMNS).drop("type")
+
+
+def weather_units(spark, sf_dir) -> DataFrame:
+    """One response a day; dry days give their precipitation in another unit."""
+    daily = base.weather(spark, sf_dir).groupBy(F.to_date("timestamp").alias("day")).agg(F.sum("precipitation_mm").alias("rain"), F.collect_list("temperature_c").alias("temperature_2m"))
+    said = F.create_map(F.lit("temperature_2m"), F.lit("C"), F.lit("precipitation"), F.when(F.col("rain") > daily.agg(F.avg("rain")).scalar(), "mm").otherwise("inch"))
+    path = new_path(spark, "responses")
+    daily.select(F.to_json(F.struct(F.struct("temperature_2m").alias("hourly"), said.alias("hourly_units")))).write.text(path)
+    return unit_counts(read_responses(spark, path, OBSERVED_WEATHER_NAMES, one_per_line=True))
+
+
 POLYGON_CTES = """
 WITH points AS (
   SELECT vec_id AS station_id, CASE WHEN embedding[3]::DOUBLE < 0.2 THEN embedding[1]::DOUBLE END AS longitude,
@@ -305,5 +349,30 @@ QUERIES = {
                      row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, 'name ' || vec_id % 3) AS rn
               FROM embeddings GROUP BY label, vec_id % 3) WHERE rn = 1""",
     ),
+    "month_rewrite": Query(
+        month_rewrite,
+        f"""SELECT o_orderdate::TIMESTAMP AS "timestamp", o_orderstatus AS station_id, o_orderpriority AS station_name,
+            CAST(count(*) * CASE strftime(o_orderdate, '%Y-%m') WHEN '{REWRITTEN}' THEN 2 ELSE 1 END AS INTEGER) AS pickups FROM orders GROUP BY o_orderdate, 2, 3""",
+    ),
+    "missing_months": Query(
+        months_without_rows,
+        """WITH found AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 490000)
+           SELECT strftime(x, '%Y-%m') AS month_label FROM (SELECT unnest(generate_series(min(m)::TIMESTAMP, max(m)::TIMESTAMP, INTERVAL 1 MONTH)) AS x FROM found) WHERE x::DATE NOT IN (SELECT m FROM found)""",
+    ),
+    "required_columns": Query(
+        required_columns,
+        """SELECT 'started_at' AS "column", true AS present, count(*) FILTER (ts IS NULL) AS nulls FROM events
+           UNION ALL SELECT 'start_station_id', true, count(*) FILTER (event_type = 'error') FROM events
+           UNION ALL SELECT 'start_station_name', false, NULL""",
+    ),
+    "weather_units": Query(
+        weather_units,
+        with_ctes(
+            "weather",
+            tail=""", daily AS (SELECT CAST("timestamp" AS DATE) AS day, sum(precipitation_mm) AS rain FROM weather GROUP BY 1)
+                SELECT 'precipitation' AS variable, CASE WHEN rain > (SELECT avg(rain) FROM daily) THEN 'mm' ELSE 'inch' END AS unit, count(*) AS documents FROM daily GROUP BY 2
+                UNION ALL SELECT 'temperature_2m', 'C', count(*) FROM daily""",
+        ),
+    ),
     "hourly_fact_roundtrip": Query(hourly_roundtrip, with_ctes("grid", tail="SELECT * FROM grid")),
 }

@@ -189,11 +189,11 @@ def test_weather_response(spark, tmp_path, names, rows):
 @pytest.mark.parametrize(
     ("changed", "message"),
     [
-        ({"precipitation": None}, r"missing weather columns: \['precipitation'\]"),
-        ({"precipitation": [1.0] * 47}, "missing values.*precipitation_mm.*1"),
-        ({"temperature_2m": [None] + [1.0] * 47}, "missing values.*temperature_c"),
-        ({"time": ["2026-01-01T00:00"] * 2 + [t.strftime("%Y-%m-%dT%H:%M") for t in hours("2026-01-01T02:00", 46)]}, "duplicate timestamps"),
-        ({"time": [t.strftime("%Y-%m-%dT%H:%M") for t in hours("2026-01-01T01:00", 48)]}, "missing 1 expected"),
+        ({"precipitation": None}, "weather variables are absent: precipitation in 1 of 1"),
+        ({"precipitation": [1.0] * 47}, "lack values.*precipitation_mm.*1"),
+        ({"temperature_2m": [None] + [1.0] * 47}, "lack values.*temperature_c"),
+        ({"time": ["2026-01-01T00:00"] * 2 + [t.strftime("%Y-%m-%dT%H:%M") for t in hours("2026-01-01T02:00", 46)]}, "several weather rows claim the same hour"),
+        ({"time": [t.strftime("%Y-%m-%dT%H:%M") for t in hours("2026-01-01T01:00", 48)]}, "1 hours between 2026-01-01 00:00:00 and"),
     ],
 )
 def test_broken_weather_responses(spark, tmp_path, changed, message):
@@ -203,7 +203,7 @@ def test_broken_weather_responses(spark, tmp_path, changed, message):
 
 
 def test_response_without_hourly_and_bad_time(spark, tmp_path):
-    with pytest.raises(DataQualityError, match="does not contain hourly"):
+    with pytest.raises(DataQualityError, match="1 of 1 weather documents have no 'hourly'"):
         read_weather(spark, landed(tmp_path, {"error": True}), OBSERVED_WEATHER_NAMES, *DAY)
     path = landed(tmp_path, response(OBSERVED_WEATHER_NAMES, count=1, time=["soon"]))
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
