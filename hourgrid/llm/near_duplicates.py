@@ -6,14 +6,18 @@
    of its own token there. A pair is found in a tree if it is still together in some node when that node is compared.
    The deeper that is, the less likely: a class whose nodes were branched goes through so many more independent trees
    that missing a pair at the threshold is less likely than ``MISS`` at the depth its nodes reached (``trees_needed``).
-3. Nodes of up to ``SMALL`` classes are compared exhaustively: first on all tokens, which splits a node into groups
+3. Before any tree, classes that agree in all tokens of a band are compared with one class of that band, which makes
+   most of a group of near copies one component at once. Pairs inside a component need no link any more, and nodes
+   whose classes are all of one component are not looked at.
+4. Nodes of up to ``SMALL`` classes are compared exhaustively: first on all tokens, which splits a node into groups
    whose members may be similar, then, group by group, on the full sets of shingles. Only texts of classes in such a
-   group are fetched. In a larger node all classes are first compared with a central one, and what that connects is one component. If at most ``SMALL`` classes
+   group are fetched. Nodes of up to ``BLOCKS`` times that size are compared block by block. In a larger node all
+   classes are first compared with a central one, and what that connects is one component. If at most ``SMALL`` classes
    are outside the node's largest component, they are compared with each other and with that component, part by part,
    as pairs inside it need no link any more; otherwise the node branches on. A group of near copies of any size thus
    costs a few rows for each of its classes, and never all its pairs. Nodes that do not fall apart in ``DEPTH`` levels
    are compared block by block, as deeper ones would need more trees than the blocks cost.
-4. Each node reports stars of what confirmed links connect in it, at most one row less than its classes; a pair is
+5. Each node reports stars of what confirmed links connect in it, at most one row less than its classes; a pair is
    only left out where links connect its ends already. Links are joined into components.
 
 Texts without words are linked with nothing; a null text has none; shorter texts than a shingle count as one shingle.
@@ -47,9 +51,14 @@ MISS = 1e-5
 #: Levels that a class walks before the sizes of its nodes are looked at.
 STEP = 2
 SMALL = 512
+#: Nodes of up to so many times ``SMALL`` classes are compared block by block, larger ones around their central class.
+BLOCKS = 8
 #: Classes among which a large node looks for its central one.
 CANDIDATES = 64
 DEPTH = 10
+#: Bands of tokens whose agreement makes two classes candidates before any tree, and the tokens of each.
+BANDS = 16
+BAND_TOKENS = 4
 #: Pairs whose tokens agree this many standard deviations less than those of sets at the threshold are not confirmed.
 DEVIATIONS = 5
 #: Bits of the filter that keeps texts that are not needed out of a shuffle: 4 MB, whatever the number of documents. The
@@ -146,13 +155,13 @@ def _tokens_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _branch(similarity: float, roots: bool):
-    """Emits ``node, class``: from the roots of the trees from ``begin`` to before ``end``, or from each row's ``node``."""
+    """Emits ``node, class, label``: from the roots of the trees from ``begin`` to before ``end``, or from each row's ``node``."""
 
     def branch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                name, tokens = part.column("class").to_numpy(), _tokens_of(part)
+                name, label, tokens = part.column("class").to_numpy(), part.column("label").to_numpy(), _tokens_of(part)
                 members = np.arange(part.num_rows)
                 if roots:
                     begin, end = (part.column(c).to_numpy() for c in ("begin", "end"))
@@ -162,11 +171,33 @@ def _branch(similarity: float, roots: bool):
                 else:
                     nodes = part.column("node").to_numpy().view(np.uint64)
                 nodes, members = _walk(nodes, members, tokens, similarity, STEP)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(name[members])], names=["node", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(name[members]), pa.array(label[members])], names=["node", "class", "label"])
 
     return branch
 
 
+def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``band, class``: a hash of the tokens of each band and its number."""
+    numbers = np.arange(BANDS, dtype=np.uint64)
+    for batch in batches:
+        if batch.num_rows:
+            packed = np.ascontiguousarray(_tokens_of(batch)[:, : BANDS * BAND_TOKENS]).view(np.uint64).reshape(batch.num_rows, BANDS)
+            band = mixed(packed ^ mixed(numbers + np.uint64(1))).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.repeat(batch.column("class").to_numpy(), BANDS))], names=["band", "class"])
+
+
+def _band_pairs(own: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs (``a, b``) of each class with the smallest class of a band: of that which it shares most bands with."""
+    banded = own.select("class", "tokens").mapInArrow(_bands, "band long, class long")
+    centers = materialize(banded.groupBy("band").agg(F.min("class").alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "center"), "centers")
+    shared = banded.join(centers, "band").where("class <> center").groupBy("class", "center").agg(F.count("*").alias("n"))
+    best = materialize(shared.groupBy("class").agg(F.max(F.struct("n", "center")).alias("best")).select("class", "best.center"), "best")
+    center = own.select(F.col("class").alias("center"), F.col("n_shingles").alias("center_size"), F.col("tokens").alias("center_tokens"))
+    fits = F.least("n_shingles", "center_size") >= (similarity - 1e-9) * F.greatest("n_shingles", "center_size")
+    pairs = best.join(own, "class").join(center, "center").where(fits)
+    return pairs.select("class", "tokens", "center", "center_tokens").mapInArrow(_near_center(similarity), "a long, b long").distinct()
+
+
 def _least_agreement(similarity: float) -> int:
     return int(np.ceil(TOKENS * (similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / TOKENS))))
 
@@ -196,14 +227,18 @@ def _near_center(similarity: float):
     return near
 
 
-def likely_groups(tokens: np.ndarray, sizes: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """Groups of rows, two at least, that pairs with agreeing tokens and possible sizes connect; every pair is looked at."""
+def likely_groups(tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Groups of rows, two at least, that pairs of different labels with agreeing tokens and possible sizes connect.
+
+    Every pair is looked at, but for pairs of one label.
+    """
     least, label = _least_agreement(similarity), np.arange(len(sizes))
     for i in range(len(sizes) - 1):
         if (label[i:] == label[i]).all():
             continue
         fits = np.minimum(sizes[i], sizes[i + 1 :]) >= (similarity - 1e-9) * np.maximum(sizes[i], sizes[i + 1 :])
-        near = i + 1 + np.flatnonzero(fits & ((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least))
+        other = np.flatnonzero(fits & (labels[i + 1 :] != labels[i]))
+        near = i + 1 + other[(tokens[i + 1 :][other] == tokens[i]).sum(axis=1) >= least]
         if len(near):
             joined = np.unique(np.append(label[near], label[i]))
             label[np.isin(label, joined)] = joined[0]
@@ -218,10 +253,10 @@ def _likely(similarity: float):
         rest = None
 
         def groups(rows: pa.Table) -> pa.RecordBatch:
-            nodes, names, sizes = (rows.column(c).to_numpy() for c in ("node", "class", "n_shingles"))
+            nodes, names, sizes, labels = (rows.column(c).to_numpy() for c in ("node", "class", "n_shingles", "label"))
             tokens = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint16).reshape(-1, TOKENS)
             ends = [0, *(np.flatnonzero(np.diff(nodes)) + 1), len(nodes)]
-            found = [names[a:b][g] for a, b in zip(ends, ends[1:], strict=False) for g in likely_groups(tokens[a:b], sizes[a:b], similarity)]
+            found = [names[a:b][g] for a, b in zip(ends, ends[1:], strict=False) for g in likely_groups(tokens[a:b], sizes[a:b], labels[a:b], similarity)]
             return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["members"])
 
         for batch in batches:
@@ -242,10 +277,18 @@ def _likely_members(nodes: DataFrame, own: DataFrame, similarity: float) -> Data
     sets = nodes.groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("members")).where(F.size("members") > 1).select("members").distinct()
     # written, so that Spark knows its size
     spread = materialize(sets.select(F.xxhash64("members").alias("node"), F.explode("members").alias("class")), "spread")
-    together = spread.join(own, "class").repartition("node").sortWithinPartitions("node", "class").select("node", "class", "n_shingles", "tokens")
+    together = spread.join(own, "class").repartition("node").sortWithinPartitions("node", "class").select("node", "class", "n_shingles", "label", "tokens")
     return together.mapInArrow(_likely(similarity), "members array<long>").distinct()
 
 
+def _blocks(nodes: DataFrame, small: int) -> DataFrame:
+    """``node, class``, where each pair of blocks of a node's classes is a node; ``nodes`` has ``node, class, size``."""
+    parts = F.ceil(F.col("size") / small).cast("int")
+    split = nodes.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("class", "node"), parts).cast("int")})
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
+    return split.select("class", "node", pair.alias("pair")).select(F.xxhash64("node", "pair").alias("node"), "class")
+
+
 def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """``rows`` with the component of their class as ``label``, or the class itself where it has no links."""
     if found is None:
@@ -274,29 +317,38 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
 
     The first table has ``members``, distinct sorted arrays of about ``2 * small`` classes at most.
     """
-    said = "node long, class long"
+    said = "node long, class long, label long"
     own = classes.select("class", "n_shingles", "tokens")
     needed = F.array(*[F.lit(trees_needed(similarity, d)) for d in range(STEP, DEPTH + 1, STEP)])
-    groups, found = [], None
+
+    def linked(pairs: DataFrame, found: DataFrame | None) -> DataFrame | None:
+        """The components of all links, those among ``pairs`` included; None without any."""
+        pairs = materialize(pairs, "pairs")
+        compared = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        new = materialize(links(pairs, materialize(texts_of_classes(compared), "texts"), shingle, similarity), "links")
+        if new.isEmpty():
+            return found
+        # links of earlier levels come back as stars
+        return components(new if found is None else new.unionByName(_stars(found)))
+
+    found = linked(_band_pairs(own, similarity), None)
+    groups = []
     # classes, the trees they go through next, and the depth that their nodes have reached
     first = max(trees, trees_needed(similarity, STEP))
-    asked = own.select("class", "tokens", F.lit(0).alias("begin"), F.lit(first).alias("end"), F.lit(STEP).alias("depth"))
+    asked = materialize(_labelled(own.select("class", "tokens"), found), "labelled").select("*", F.lit(0).alias("begin"), F.lit(first).alias("end"), F.lit(STEP).alias("depth"))
     while True:
         deeper = []
-        frontier = asked.select("class", "tokens", "begin", "end").mapInArrow(_branch(similarity, True), said)
+        frontier = asked.select("class", "label", "tokens", "begin", "end").mapInArrow(_branch(similarity, True), said)
         for level in range(0, DEPTH, STEP):
-            sizes = materialize(frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-            met = materialize(frontier.join(sizes, "node"), "met")
+            # nodes of one component are done
+            sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+            met = materialize(frontier.join(materialize(sizes.select("node", "size"), "sizes"), "node"), "met")
             groups.append(met.where(F.col("size") <= small).select("node", "class"))
-            large = materialize(met.where(F.col("size") > small).select("node", "class"), "large")
+            groups.append(_blocks(met.where((F.col("size") > small) & (F.col("size") <= BLOCKS * small)), small))
+            large = materialize(met.where(F.col("size") > BLOCKS * small).select("node", "class"), "large")
             if large.isEmpty():
                 break
-            pairs = materialize(_around_centers(large, own, found, similarity), "pairs")
-            compared = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-            new = materialize(links(pairs, materialize(texts_of_classes(compared), "texts"), shingle, similarity), "links")
-            if found is None or not new.isEmpty():
-                # links of earlier levels come back as stars
-                found = components(new if found is None else new.unionByName(_stars(found)))
+            found = linked(_around_centers(large, own, found, similarity), found)
             rows = materialize(_labelled(large.select("node", "class"), found), "labelled")
             shares = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
             shares = shares.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
@@ -307,31 +359,27 @@ def meeting_classes(classes: DataFrame, texts_of_classes, shingle: int, similari
             part = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("class", "node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
             resolved = apart.where(F.col("apart") <= small).select("node", "class", F.explode(part).alias("part"))
             groups.append(resolved.select(F.xxhash64("node", "part").alias("node"), "class"))
-            large = materialize(apart.where(F.col("apart") > small).select("node", "class", (F.col("joined") + F.col("apart")).alias("size")), "large")
+            large = materialize(apart.where(F.col("apart") > small).select("node", "class", "label", (F.col("joined") + F.col("apart")).alias("size")), "large")
             if large.isEmpty():
                 break
             if level + STEP < DEPTH:
-                frontier = large.select("node", "class").join(own.select("class", "tokens"), "class").mapInArrow(_branch(similarity, False), said)
+                frontier = large.select("node", "class", "label").join(own.select("class", "tokens"), "class").mapInArrow(_branch(similarity, False), said)
                 deeper.append(large.select("class", F.lit(level + 2 * STEP).alias("depth")).distinct())
             else:
-                # blocks of a node's classes, each with every other block
-                parts = F.ceil(F.col("size") / small).cast("int")
-                split = large.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("class", "node"), parts).cast("int")})
-                pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
-                groups.append(split.select("class", "node", pair.alias("pair")).select(F.xxhash64("node", "pair").alias("node"), "class"))
+                groups.append(_blocks(large, small))
         if not deeper:
             break
         # a pair is found if one of its classes has had its trees
         reached = reduce(DataFrame.unionByName, deeper).groupBy("class").agg(F.max("depth").alias("reached"))
         depth = F.greatest("depth", "reached")
-        asked = asked.join(reached, "class").select("class", "tokens", F.col("end").alias("begin"), F.element_at(needed, (depth / STEP).cast("int")).alias("end"), depth.alias("depth"))
-        asked = materialize(asked.where("end > begin"), "asked")
+        asked = asked.join(reached, "class").select("class", "label", "tokens", F.col("end").alias("begin"), F.element_at(needed, (depth / STEP).cast("int")).alias("end"), depth.alias("depth"))
+        asked = materialize(_labelled(asked.where("end > begin").drop("label"), found), "asked")
         if asked.isEmpty():
             break
     nodes = groups[0]
     for more in groups[1:]:
         nodes = nodes.unionByName(more)
-    return materialize(_likely_members(nodes, own, similarity), "nodes"), None if found is None else _stars(found)
+    return materialize(_likely_members(nodes, _labelled(own, found), similarity), "nodes"), None if found is None else _stars(found)
 
 
 def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:

@@ -106,9 +106,11 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, empty):
     assert stay.count() - len(worded) == sum(not words_of(r[1]) for r in rows)
 
 
-def test_large_nodes_are_split_around_their_center(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [1, 3, 8])
+def test_large_nodes_are_split_around_their_center(spark, monkeypatch, blocks):
     """A group of near copies far above the size of a node, and one whose members are all just too different."""
     monkeypatch.setattr(near_duplicates, "SMALL", 6)
+    monkeypatch.setattr(near_duplicates, "BLOCKS", blocks)
     rng = random.Random(4)
     base, other = [rng.choice(WORDS) + str(i) for i in range(200)], [f"o{i}" for i in range(120)]
 
@@ -126,8 +128,10 @@ def test_large_nodes_are_split_around_their_center(spark, monkeypatch):
     assert got == {r[0]: rows[x][0] for r, x in zip(rows, label, strict=True)}
 
 
-def test_pairs_hidden_among_templates_are_found(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [1, 8])
+def test_pairs_hidden_among_templates_are_found(spark, monkeypatch, blocks):
     """Texts of one template, 0.7 similar to each other, whose nodes stay large for many levels, and pairs just above the threshold among them."""
+    monkeypatch.setattr(near_duplicates, "BLOCKS", blocks)
     rng = np.random.default_rng(7)
     template, pairs = [f"t{i}" for i in range(82)], 400
     own = lambda i, n: [f"o{i}x{k}" for k in range(n)]
