@@ -5,8 +5,10 @@ letters, each rotated by its place from the end; a text's vector bundles (adds)
 prototype those of its texts. A text's language is the prototype of largest cosine, the first by name on a tie, and
 the score is that cosine, at least 0.
 
-A text's n-grams are counted first, and the counts multiply a matrix of the n-grams at hand, so each n-gram is bound
-once per batch however often it occurs. Runs of characters that are no letters count as one blank; letters are
+N-grams are counted first, for a few hundred texts or one piece of a long text at a time, and the counts multiply the
+vectors of the n-grams, block by block; vectors are kept for the next texts up to a fixed number. Pieces of a long text
+overlap where n-grams cross them and are added, so memory does not depend on the length of a text nor on the number of
+short ones: about 250 MB a worker, besides the texts themselves. Runs of characters that are no letters count as one blank; letters are
 lower-cased. Each task adds its texts per language, so training sends one vector per language and task.
 
 A null text, and one without letters, is ``und`` with score 0, and so is every text if there is nothing to learn from.
@@ -29,6 +31,12 @@ GRAM = 3
 UNKNOWN = "und"
 SEED = 7
 _SLICE = 1 << 19
+#: Characters and texts that are counted at a time, and n-grams whose vectors are multiplied at a time.
+_PIECE = 1 << 17
+_TEXTS = 512
+_BLOCK = 4_096
+#: Letters whose vectors a task keeps.
+_LETTERS = 20_000
 #: n-gram vectors that a task keeps; the matrix starts anew beyond them.
 _KEPT = 24_000
 
@@ -60,6 +68,8 @@ class Profiles:
         self.matrix = np.zeros((0, self.dimensions), np.float32)
 
     def _letter_rows(self, points: np.ndarray) -> np.ndarray:
+        if len(self.letters) > _LETTERS:
+            self.letters = {}
         for p in points.tolist():
             if p not in self.letters:
                 self.letters[p] = _letter_vectors(np.array([p]), self.dimensions)[0]
@@ -121,10 +131,64 @@ class Profiles:
         order = np.argsort(keys)
         return keys[order], table[:, order].astype(np.float32), has
 
+    def _windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted n-gram keys of one sequence of letters and blanks, and their counts in one row."""
+        n = len(codes) - self.gram + 1
+        keys = np.zeros(max(n, 0), np.int64)
+        for place in range(self.gram):
+            # the last letter has the lowest bits
+            keys |= codes[self.gram - 1 - place : self.gram - 1 - place + len(keys)] << (21 * place)
+        for place in range(1, self.gram - 1):
+            keys = keys[(keys >> (21 * place)) & ((1 << 21) - 1) > 0] if len(keys) else keys
+        found, times = np.unique(keys, return_counts=True)
+        return found, times[None, :].astype(np.float32)
+
+    def _of_long(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Keys, counts and whether there are letters, of each piece of a lower-cased text."""
+        carried = np.zeros(0, np.int64)
+        for at in range(0, len(text) + 1, _PIECE):
+            part = text[at : at + _PIECE]
+            said = (" " if at == 0 else "") + part + (" " if at + _PIECE > len(text) else "")
+            codes = _letters_of(np.frombuffer(said.encode("utf-32-le", "surrogatepass"), np.uint32))
+            keep = codes > 0
+            keep[1:] |= codes[:-1] > 0
+            keep[0] |= not len(carried) or carried[-1] > 0
+            codes = np.concatenate([carried, codes[keep]])
+            keys, table = self._windows(codes)
+            yield keys, table, bool((codes > 0).any())
+            carried = codes[max(len(codes) - self.gram + 1, 0) :]
+
+    def tables(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Which texts, sorted n-gram keys, the texts' counts of them, and which have letters; a long text comes piece by piece."""
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            length = len(text or "")
+            if group and (size + length > _PIECE or len(group) == _TEXTS):
+                yield (np.array(group), *self.counts([texts[j] for j in group]))
+                group, size = [], 0
+            if length > _PIECE:
+                for keys, table, has in self._of_long(text.lower()):
+                    yield np.array([i]), keys, table, np.array([has])
+            else:
+                group.append(i)
+                size += length
+        if group:
+            yield (np.array(group), *self.counts([texts[j] for j in group]))
+
+    def added(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The sums of the keys' vectors, as often as each row of ``table`` counts them."""
+        total = np.zeros((len(table), self.dimensions), np.float32)
+        for at in range(0, len(keys), _BLOCK):
+            total += table[:, at : at + _BLOCK] @ self.vectors(keys[at : at + _BLOCK])
+        return total
+
     def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' vectors, and which texts have letters."""
-        keys, table, has = self.counts(texts)
-        return table @ self.vectors(keys), has
+        total, letters = np.zeros((len(texts), self.dimensions), np.float32), np.zeros(len(texts), bool)
+        for which, keys, table, has in self.tables(texts):
+            total[which] += self.added(table, keys)
+            letters[which] |= has
+        return total, letters
 
 
 def _rank(used: np.ndarray, size: int) -> np.ndarray:
@@ -136,13 +200,14 @@ def _rank(used: np.ndarray, size: int) -> np.ndarray:
 def _learn(dimensions: int, gram: int):
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dimensions, gram), {}
-        for batch in slices(batches, size=_SLICE):
-            keys, table, _ = profiles.counts(batch.column("text").to_pylist())
-            langs = batch.column("lang").to_pylist()
-            names = sorted({*langs})
-            member = np.array([[lang == name for lang in langs] for name in names], np.float32)
-            for name, vector in zip(names, (member @ table) @ profiles.vectors(keys), strict=True):
-                sums[name] = sums.get(name, 0) + vector.astype(np.float64)
+        for batch in slices(batches, size=_SLICE, rows=_TEXTS):
+            all_langs = batch.column("lang").to_pylist()
+            for which, keys, table, _ in profiles.tables(batch.column("text").to_pylist()):
+                langs = [all_langs[i] for i in which.tolist()]
+                names = sorted({*langs})
+                member = np.array([[lang == name for lang in langs] for name in names], np.float32)
+                for name, vector in zip(names, profiles.added(member @ table, keys), strict=True):
+                    sums[name] = sums.get(name, 0) + vector.astype(np.float64)
         names = list(sums)
         at = pa.array(np.tile(np.arange(dimensions, dtype=np.int32), len(names)))
         values = np.concatenate([sums[n] for n in names]) if names else np.zeros(0)
@@ -183,7 +248,7 @@ def _predict(prototypes: dict[str, np.ndarray], dimensions: int, gram: int):
     predicted = identify(prototypes, dimensions, gram)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=_SLICE):
+        for batch in slices(batches, size=_SLICE, rows=_TEXTS):
             names, score = predicted(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 

@@ -1,16 +1,19 @@
 """Quality classification by co-training of two views of a document.
 
 The content view sees measures of the text: repetition, symbols, capitals, word lengths, lines. The metadata view sees
-what the table says about the page: its source, language and length. Each has a logistic regression. In every round
-each classifier, calibrated on the labelled rows by cross-fitting, names the unlabelled rows it is surest of, at least
-``SURE`` sure and at most ``EXCHANGE`` of each class, and the other view trains on them as if they were labelled. A view
-that cannot tell the classes is never sure and names none. At the end both calibrated views add up: the sum of their
-log odds less the prior's, calibrated once more. All documents are scored in one pass.
-
-Models are fitted on the documents of at most ``SAMPLE`` labelled ids and on about ``POOL`` further rows, chosen by a hash.
-
-A null or empty text has measures of 0; null metadata is a value of its own; repeated rows count as often as they
-occur. Without labels of both classes every score is the share of good labels, or one half.
+what the table says about the page: its source, language and length. Each has a logistic regression, calibrated on the
+labelled rows by cross-fitting. In every round each view names all unlabelled rows that it is at least ``SURE`` of, and
+the other view is fitted again on them and on the labelled rows. What is named counts at most as much as the labelled
+rows do, in their shares of the classes; a view that is sure of one class only, or of no row, names none. At the end both
+calibrated views add up: the sum of their log odds less the prior's, calibrated once more.
+
+Texts are measured once, into a narrow table of all documents. Each Newton step of a round is one pass over that table:
+tasks add gradients and curvatures of both views, for every fold at once, and only the sums reach the driver. Labelled
+rows are bounded: at most ``SAMPLE`` of them, chosen by a hash, are learned from.
+
+A null or empty text has measures of 0; null metadata is a value of its own; a long text is measured as a whole; repeated
+rows count as often as they occur; an empty table gives an empty result. Without labels of both classes every score is
+the share of good labels, or one half.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.llm.linear import calibration, fit_logistic, logits, sigmoid
-from hourgrid.llm.samples import labelled_ids, with_labels
-from hourgrid.llm.words import find_words, mixed, slices, texts_of
+from hourgrid.llm.samples import labelled_ids
+from hourgrid.llm.words import find_words, slices, texts_of
+from hourgrid.session import materialize
 
 SAMPLE = 12_000
-POOL = 12_000
 ROUNDS = 4
+#: Newton steps of a round, from the weights of the one before.
+STEPS = 6
 SURE = 0.97
-EXCHANGE = 500
 FOLDS = 4
+PENALTY = 1.0
 METADATA_HASHES = 64
 CONTENT = 13
 
@@ -77,29 +82,43 @@ def content_measures(texts: list[bytes]) -> np.ndarray:
     return np.where((count > 0)[:, None], np.column_stack(columns), 0.0)
 
 
-def metadata_measures(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Hashed one-hot source and language, and the length as the table gives it."""
-    out = np.zeros((len(source), METADATA_HASHES + 3))
-    for column, values in (("source", source), ("lang", lang)):
+def metadata_places(source: list, lang: list) -> np.ndarray:
+    """Where the one-hot entries of source and language are, by row."""
+    places = np.zeros((len(source), 2), np.int64)
+    for at, (column, values) in enumerate((("source", source), ("lang", lang))):
         text = [f"{column} {'null' if v is None else 'is ' + v}".encode("utf-8", "surrogatepass").replace(b" ", b"_") for v in values]
         words = find_words(text)
-        place = (words.hashes()[words.first[:-1]] % np.uint64(METADATA_HASHES)).astype(np.int64)
-        out[np.arange(len(values)), place] += 1
+        places[:, at] = words.hashes()[words.first[:-1]] % np.uint64(METADATA_HASHES)
+    return places
+
+
+def metadata_measures(places: np.ndarray, n_chars: list) -> np.ndarray:
+    """One-hot source and language, and the length as the table gives it."""
+    out = np.zeros((len(places), METADATA_HASHES + 3))
+    for place in places.T:
+        out[np.arange(len(places)), place] += 1
     known = np.array([v is not None for v in n_chars], bool)
     size = np.log1p(np.maximum(np.array([v or 0 for v in n_chars], float), 0))
     out[:, -3], out[:, -2], out[:, -1] = size, size**2 / 10, known
     return out
 
 
-def _measures(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return content_measures(texts_of(batch)), metadata_measures(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+MEASURED = "content binary, source int, lang int, n_chars long"
 
 
-def _collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        content, metadata = _measures(batch)
-        rows = pa.array([r.tobytes() for r in np.concatenate([content, metadata], axis=1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("label"), rows], names=["label", "measures"])
+        content = content_measures(texts_of(batch)).astype(np.float32)
+        places = metadata_places(*(batch.column(c).to_pylist() for c in ("source", "lang"))).astype(np.int32)
+        arrays = [batch.column("doc_id"), pa.array([r.tobytes() for r in content], pa.binary()), *map(pa.array, places.T.copy()), batch.column("n_chars")]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "source", "lang", "n_chars"])
+
+
+def _views_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The content rows and the metadata rows of measured documents."""
+    content = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.float32).reshape(-1, CONTENT).astype(np.float64)
+    places = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("source", "lang")]).reshape(-1, 2)
+    return content, metadata_measures(places, batch.column("n_chars").to_pylist())
 
 
 @dataclass
@@ -113,18 +132,8 @@ class View:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.slope * logits((x - self.mean) / self.spread, self.weights) + self.offset
 
-
-def fit_view(x: np.ndarray, y: np.ndarray, extra: np.ndarray, guess: np.ndarray) -> View:
-    """A classifier on labelled rows and on guessed ones, calibrated by what it says of labelled rows it has not seen."""
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    x, extra = (x - mean) / spread, (extra - mean) / spread
-    unseen = np.zeros(len(x))
-    fold = np.arange(len(x)) % FOLDS
-    for k in range(FOLDS):
-        w = fit_logistic(np.concatenate([x[fold != k], extra]), np.concatenate([y[fold != k], guess]))
-        unseen[fold == k] = logits(x[fold == k], w)
-    weights = fit_logistic(np.concatenate([x, extra]), np.concatenate([y, guess]))
-    return View(mean, spread, weights, *calibration(unseen, y))
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x - self.mean) / self.spread, np.ones((len(x), 1))], axis=1)
 
 
 @dataclass
@@ -142,63 +151,169 @@ class Classifier:
         return sigmoid(self.slope * both + self.offset)
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Classifier:
-    """Each element of ``labelled`` and ``pool`` holds the content rows and the metadata rows."""
+def named_by(view: View, x: np.ndarray) -> np.ndarray:
+    """1 and 0 where a view is sure of a class, -1 elsewhere."""
+    p = sigmoid(view.logit(x))
+    return np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of weighted rows, for each row of weights in ``fits``: one flat array each."""
+    out = []
+    for w in fits:
+        p = sigmoid(x @ w)
+        gradient = x.T @ (weight * (p - y))
+        curvature = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        out.append(np.concatenate([gradient, curvature.ravel()]))
+    return np.stack(out)
+
+
+def _counts(views: tuple[View, View], rows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many rows each view names good, and bad."""
+    return np.array([[(named == 1).sum(), (named == 0).sum()] for named in (named_by(v, x) for v, x in zip(views, rows, strict=True))])
+
+
+def _sums_of(views: tuple[View, View], fits: list[np.ndarray], shares: list[np.ndarray | None], rows: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray | None]:
+    """Sums for the fits of each view over what the other one names; ``shares`` weigh bad and good rows."""
+    sums = []
+    for k in range(2):
+        if shares[k] is None:
+            sums.append(None)
+            continue
+        named = named_by(views[1 - k], rows[1 - k])
+        sure = named >= 0
+        sums.append(newton_sums(views[k].inputs(rows[k][sure]), named[sure].astype(float), shares[k][named[sure]], fits[k]))
+    return sums
+
+
+class Rows:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]):
+        self.views = views
+
+    def counts(self, views: tuple[View, View]) -> np.ndarray:
+        return _counts(views, self.views)
+
+    def sums(self, *of) -> list[np.ndarray | None]:
+        return _sums_of(*of, self.views)
+
+
+class Table:
+    """Unlabelled rows of a measured table; every question is one pass over all of them."""
+
+    def __init__(self, measured: DataFrame):
+        self.measured = measured
+
+    def _added(self, ask, parts: int) -> list[np.ndarray | None]:
+        """The sums over all rows of the ``parts`` arrays that ``ask`` gives of a batch; one row a part reaches the driver."""
+
+        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: list[np.ndarray | None] = [None] * parts
+            for batch in batches:
+                if batch.num_rows:
+                    for i, found in enumerate(ask(_views_of(batch))):
+                        if found is not None:
+                            total[i] = found if total[i] is None else total[i] + found
+            yield _packed(total)
+
+        def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: list[np.ndarray | None] = [None] * parts
+            for batch in batches:
+                for i, raw in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                    found = np.frombuffer(raw, np.float64)
+                    total[i] = found if total[i] is None else total[i] + found
+            yield _packed(total)
+
+        said = "part int, sums binary"
+        rows = self.measured.mapInArrow(each, said).repartition("part").mapInArrow(together, said).collect()
+        found = {r["part"]: np.frombuffer(r["sums"], np.float64) for r in rows}
+        return [found.get(i) for i in range(parts)]
+
+    def counts(self, views: tuple[View, View]) -> np.ndarray:
+        found = self._added(lambda rows: list(_counts(views, rows).astype(float)), 2)
+        return np.array([np.zeros(2) if f is None else f for f in found])
+
+    def sums(self, views: tuple[View, View], fits: list[np.ndarray], shares: list[np.ndarray | None]) -> list[np.ndarray | None]:
+        found = self._added(lambda rows: [None if s is None else s.ravel() for s in _sums_of(views, fits, shares, rows)], 2)
+        return [None if f is None else f.reshape(len(w), -1) for f, w in zip(found, fits, strict=True)]
+
+
+def _packed(total: list[np.ndarray | None]) -> pa.RecordBatch:
+    there = [i for i, t in enumerate(total) if t is not None]
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([total[i].astype(np.float64).tobytes() for i in there], pa.binary())], names=["part", "sums"])
+
+
+def _stepped(w: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """One Newton step, of bounded length, on a flat gradient and curvature."""
+    d = len(w)
+    ridge = np.full(d, PENALTY)
+    ridge[-1] = 1e-3
+    step = np.linalg.solve(sums[d:].reshape(d, d) + np.diag(ridge), sums[:d] + ridge * w)
+    return w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, rounds: int = ROUNDS) -> Classifier:
+    """``labelled`` holds the content rows and the metadata rows, ``pool`` the unlabelled ones: both likewise, or a ``Table``."""
     if len({*y.tolist()}) < 2:
         return Classifier((), float(y.mean()) if len(y) else 0.5, 1.0, 0.0, [])
+    pool = Rows(pool) if isinstance(pool, tuple) else pool
     prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    guesses: list[dict[int, float]] = [{}, {}]
-    exchanged = []
-
-    def trained(k: int) -> View:
-        rows = np.array(sorted(guesses[k]), np.int64)
-        return fit_view(labelled[k], y, pool[k][rows], np.array([guesses[k][r] for r in rows.tolist()], float))
-
-    views = [trained(0), trained(1)]
+    fold = np.arange(len(y)) % FOLDS
+    # a fit without each fold, which says what it thinks of that fold, and one on all rows
+    parts = [fold != k for k in range(FOLDS)] + [np.ones(len(y), bool)]
+    exchanged: list[tuple[int, int]] = []
+
+    def view(k: int, fits: np.ndarray) -> View:
+        mean, spread = labelled[k].mean(axis=0), np.maximum(labelled[k].std(axis=0), 1e-6)
+        x = (labelled[k] - mean) / spread
+        unseen = np.zeros(len(y))
+        for f in range(FOLDS):
+            unseen[fold == f] = logits(x[fold == f], fits[f])
+        return View(mean, spread, fits[-1], *calibration(unseen, y))
+
+    def alone(k: int) -> np.ndarray:
+        x = (labelled[k] - labelled[k].mean(axis=0)) / np.maximum(labelled[k].std(axis=0), 1e-6)
+        return np.stack([fit_logistic(x[part], y[part], penalty=PENALTY) for part in parts])
+
+    fits = [alone(0), alone(1)]
+    views = (view(0, fits[0]), view(1, fits[1]))
     for _ in range(rounds):
-        said = []
-        for k in range(2):
-            p = sigmoid(views[k].logit(pool[k])) if len(pool[k]) else np.zeros(0)
-            good = [i for i in np.argsort(-p, kind="stable") if p[i] >= SURE and i not in guesses[1 - k]][:EXCHANGE]
-            bad = [i for i in np.argsort(p, kind="stable") if p[i] <= 1 - SURE and i not in guesses[1 - k]][:EXCHANGE]
-            # guesses keep the classes' shares, so that they do not move the prior
-            most_good, most_bad = int(len(bad) * prior / (1 - prior)), int(len(good) * (1 - prior) / prior)
-            said.append({**{int(i): 1.0 for i in good[:most_good]}, **{int(i): 0.0 for i in bad[:most_bad]}})
-        exchanged.append((len(said[0]), len(said[1])))
-        if not any(said):
+        named = pool.counts(views)
+        exchanged.append((int(named[0].sum()), int(named[1].sum())))
+        shares: list[np.ndarray | None] = []
+        for good, bad in named[::-1]:
+            # in the classes' shares, and together at most as much as the labelled rows
+            total = min(len(y), good / prior, bad / (1 - prior))
+            shares.append(np.array([total * (1 - prior) / bad, total * prior / good]) if good and bad else None)
+        if all(share is None for share in shares):
             break
-        for k in range(2):
-            guesses[1 - k] |= said[k]
-        views = [trained(0), trained(1)]
-    both = Classifier(tuple(views), prior, 1.0, 0.0, exchanged)
+        for _ in range(STEPS):
+            sums = pool.sums(views, fits, shares)
+            for k in range(2):
+                if sums[k] is not None:
+                    own = views[k].inputs(labelled[k])
+                    fits[k] = np.stack([_stepped(w, found + newton_sums(own[part], y[part], np.ones(part.sum()), w[None])[0]) for w, found, part in zip(fits[k], sums[k], parts, strict=True)])
+        views = (view(0, fits[0]), view(1, fits[1]))
+    both = Classifier(views, prior, 1.0, 0.0, exchanged)
     p = both.score(*labelled)
     both.slope, both.offset = calibration(np.log(np.clip(p, 1e-12, 1) / np.clip(1 - p, 1e-12, 1)), y)
     return both
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Classifier:
-    """``docs`` has ``doc_id, text, source, lang, n_chars``, ``labels`` ``doc_id, quality``."""
-    ids = labelled_ids(labels.select("doc_id", "quality"), "quality", SAMPLE, learn_from)
-    said, fields = "label int, measures binary", ["text", "source", "lang", "n_chars", "label"]
-    known = with_labels(docs, ids).select(fields).mapInArrow(_collect, said)
-    known = known.orderBy(F.xxhash64("measures")).limit(SAMPLE).collect()
-    rate = min(1.0, POOL / max(docs.count(), 1))
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))
-    others = docs.where(uniform < rate).join(ids.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    others = others.select(fields).mapInArrow(_collect, said).orderBy(F.xxhash64("measures")).limit(POOL).collect()
-
-    def views(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        width = CONTENT + METADATA_HASHES + 3
-        x = np.stack([np.frombuffer(r["measures"], np.float64) for r in rows]) if rows else np.zeros((0, width))
-        return x[:, :CONTENT], x[:, CONTENT:]
-
-    return co_train(views(known), np.array([r["label"] for r in known], float), views(others))
+def fit(measured: DataFrame) -> Classifier:
+    """``measured`` has the measures of all documents and their ``label``, if they are learned from."""
+    known = measured.where("label IS NOT NULL").orderBy(F.xxhash64("content", "source", "lang", "n_chars")).limit(SAMPLE).toArrow()
+    batch = known.combine_chunks().to_batches()
+    labelled = _views_of(batch[0]) if batch else (np.zeros((0, CONTENT)), np.zeros((0, METADATA_HASHES + 3)))
+    return co_train(labelled, np.array(known.column("label").to_pylist(), float), Table(measured.where("label IS NULL")))
 
 
 def _score(classifier: Classifier):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classifier.score(*_measures(batch)))], names=["doc_id", "score"])
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classifier.score(*_views_of(batch)))], names=["doc_id", "score"])
 
     return score
 
@@ -206,6 +321,8 @@ def _score(classifier: Classifier):
 def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:
     """``doc_id, score, keep`` of every row; the score is the chance of good quality, rows of one half or more are kept."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(n_chars).cast("long").alias("n_chars"))
-    classifier = fit(rows, labels, learn_from)
-    scored = rows.mapInArrow(_score(classifier), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    kind = dict(rows.dtypes)["doc_id"]
+    ids = labelled_ids(labels.select("doc_id", "quality"), "quality", SAMPLE, learn_from)
+    measured = materialize(rows.mapInArrow(_measure, f"doc_id {kind}, {MEASURED}").join(ids, "doc_id", "left"), "measured")
+    scored = measured.mapInArrow(_score(fit(measured)), f"doc_id {kind}, score double")
     return scored.withColumn("keep", F.col("score") >= 0.5)
