@@ -35,7 +35,7 @@ from hourgrid.operators.spatial import points_in_polygons
 from hourgrid.operators.stations import station_metadata
 from hourgrid.plans.dataset import build_dataset, ingest_trips
 from hourgrid.plans.evaluation import evaluate_baselines, run_backtest, run_final_test
-from hourgrid.plans.features import build_features
+from hourgrid.plans.features import build_features, require_weather_seen
 from hourgrid.schemas import DAY_AHEAD_WEATHER_NAMES, OBSERVED_WEATHER_NAMES, TRIP_COLUMNS
 from hourgrid.session import materialize
 from hourgrid.sources.geojson import read_geojson
@@ -80,7 +80,9 @@ def weather(spark: SparkSession, args: argparse.Namespace) -> None:
 def features(spark: SparkSession, args: argparse.Namespace) -> None:
     require_input(spark, args.pickups, "dataset")
     require_input(spark, args.weather, "weather")
-    write_table(build_features(read_monthly(spark, args.pickups), read_table(spark, args.weather)), args.out)
+    seen = Observation("weather")
+    write_table(build_features(read_monthly(spark, args.pickups), read_table(spark, args.weather), seen), args.out)
+    require_weather_seen(seen)
 
 
 def baseline(spark: SparkSession, args: argparse.Namespace) -> None:

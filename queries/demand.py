@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.time import first_hour_of_month, floor_hour, last_hour_of_month, month_label, next_month_start
 from hourgrid.operators.counts import hourly_counts, sum_by
-from hourgrid.operators.joins import add_weather, join_checked, keep_listed, lookup
+from hourgrid.operators.joins import add_weather, join_checked, join_counted, keep_listed, lookup
 from hourgrid.operators.quality import coverage_gaps, density_gaps, duplicate_keys, join_report, null_counts
 from hourgrid.plans.dataset import build_dataset, named_hourly, select_stations, station_names
 from hourgrid.plans.features import add_calendar_features
+from hourgrid.session import materialize
 from queries import base
 from queries.base import Query, r, rounded, table, with_ctes
 
@@ -65,6 +66,17 @@ def join_contract(spark, sf_dir) -> DataFrame:
     return join_report(events, joined, "n_name")
 
 
+def join_counted_once(spark, sf_dir) -> DataFrame:
+    """Lines to orders of one status, counted while the joined table is written."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "F").select("o_orderkey", "o_custkey")
+    joined, counts = join_counted(lines, orders, "o_orderkey", "o_custkey")
+    written = materialize(joined, "joined")
+    counts.require_unchanged("lines to orders")
+    found = {name: F.lit(n).alias(name) for name, n in counts.get().items()}
+    return written.agg(*found.values(), F.sum(F.when(F.col("o_custkey").isNotNull(), F.col("l_quantity"))).alias("matched_quantity"))
+
+
 def exogenous_join(spark, sf_dir) -> DataFrame:
     return rounded(add_weather(base.hourly_by_station(spark, sf_dir), base.weather(spark, sf_dir)))
 
@@ -173,6 +185,12 @@ QUERIES = {
                   count(*) FILTER (WHERE n_name IS NULL) AS unmatched
            FROM events LEFT JOIN nation ON n_nationkey = user_id""",
     ),
+    "join_counted": Query(
+        join_counted_once,
+        """SELECT count(*) AS rows_before, count(*) AS rows_after, count(*) FILTER (o_custkey IS NULL) AS unmatched,
+                  sum(l_quantity) FILTER (o_custkey IS NOT NULL) AS matched_quantity
+           FROM lineitem LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F') ON o_orderkey = l_orderkey""",
+    ),
     "exogenous_join": Query(
         exogenous_join,
         with_ctes(

@@ -4,8 +4,11 @@ import re
 from datetime import date
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 import hourgrid.session as session
 from hourgrid.functions.time import naive
@@ -14,9 +17,11 @@ from hourgrid.operators.evaluation import assign_folds, metrics_by_model
 from hourgrid.operators.grid import dense_grid
 from hourgrid.operators.history import add_history
 from hourgrid.operators.joins import join_checked
+from hourgrid.operators.profile import describe_exact
 from hourgrid.operators.ranking import canonical_label, top_entities
+from hourgrid.plans.features import build_features
 from hourgrid.schemas import BASELINES
-from tests.helpers import dense
+from tests.helpers import dense, weather_for
 
 SF_DIR = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
@@ -101,3 +106,21 @@ def test_checked_join_adds_no_shuffle_of_its_own(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert joined.count("Exchange") == plain.count("Exchange") == 2
+
+
+def test_features_scan_the_facts_once(spark):
+    facts, _ = dense(spark, 2, 400)
+    facts, weather = session.materialize(facts, "facts"), session.materialize(weather_for(spark, "2024-01-01", 400), "weather")
+    text = plan(build_features(facts, weather, Observation()))
+    assert text.count("FileScan parquet") == 2
+
+
+def test_quartiles_rank_no_window_in_one_task(spark, monkeypatch):
+    plans = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(plan(df)) or collect(df))
+    values = [float(i % 700) for i in range(3000)]
+    row = describe_exact(spark.createDataFrame([(v,) for v in values], "pickups double")).first()
+    assert row["p50"] == np.median(values)
+    windows = [text for text in plans if "Window [" in text]
+    assert windows and all("SinglePartition" not in text for text in windows)
