@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.llm.words import PUNCTUATION, find_words, mixed, run_hashes, slices, texts_of
+from hourgrid.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -198,9 +199,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     said = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word long, n_words long"
     result = docs.sparkSession.createDataFrame([], said)
     arrow = result.toArrow().schema
+    before = None
     for items in item_blocks(benchmark, item_id):
-        result = result.unionByName(rows.mapInArrow(_leaks(items, threshold, arrow), said))
-    return result
+        if before is not None:
+            # with several blocks, only one is on the driver at a time
+            result = result.unionByName(materialize(before, "leaks"))
+        before = rows.mapInArrow(_leaks(items, threshold, arrow), said)
+    return result if before is None else result.unionByName(before)
 
 
 def without_leaks(docs: DataFrame, items: Items, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:

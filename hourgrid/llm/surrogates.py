@@ -233,8 +233,10 @@ def _drawn(parts: DataFrame, key: str) -> DataFrame:
     real = parts.where("NOT startswith(part, 'first')").select(F.col("part").alias("group"), F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
     group = F.element_at(F.split("part", " "), 1).alias("group")
     drawn = parts.select("part", "norm", F.lit(0).alias("attempt"))
+    # drawing takes long for its few bytes, so that its tasks are not merged by size
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        drawn = drawn.select("part", "norm", "attempt", surrogate(F.col("norm"), F.col("part"), F.col("attempt"), key).alias("surrogate"), group)
+        drawn = drawn.repartition(tasks, "norm").select("part", "norm", "attempt", surrogate(F.col("norm"), F.col("part"), F.col("attempt"), key).alias("surrogate"), group)
         drawn = materialize(drawn if settled is None else settled.unionByName(drawn), "surrogates")
         first = drawn.groupBy("group", "surrogate").agg(F.min(F.struct("attempt", "norm", "part")).alias("first"), F.count("*").alias("n"), F.max(F.col("surrogate") == F.col("norm")).alias("own"))
         clashes = first.join(real, ["group", "surrogate"], "left").where("n > 1 OR own OR real")

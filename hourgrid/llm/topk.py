@@ -6,7 +6,8 @@ query could gain at most is the block's bound. A query visits the blocks from th
 forward index (its vectors) as a whole, and stops when the next bound lies below its k-th best score. All queries that
 visit a block in the same round are scored together.
 
-Queries go to the tasks in parts of ``QUERY_BLOCK`` distinct vectors; each part scans the table once. Every task
+Queries go to the tasks in parts of ``QUERY_BLOCK`` distinct vectors; each part scans the table once, and the results of
+a part are written before the next part's vectors are fetched. Every task
 returns its k + 1 best rows per query, of which the k best over all tasks remain, so nothing grows with the table.
 
 Vectors that are null, empty or hold null or non-finite components take no part, neither as queries nor as
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourgrid.session import materialize
+
 K = 5
 SCALE = 256
 #: Distinct queries per pass over the table; at 64 dimensions 8 MB.
@@ -140,7 +143,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec
             found = found.withColumn("own", own_place).where(F.col("own").isNull() | (F.col("place") != F.col("own")))
             rank = (F.col("place") - F.when(F.col("place") > F.col("own"), 1).otherwise(0)).cast("int")
             found = found.withColumn("rank", rank).where(F.col("rank") <= k)
-            parts.append(found.select("query_id", "rank", F.when(F.col("vec_id") < int(_LAST) - 1, F.col("vec_id")).alias("vec_id"), "score", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col"))
+            found = found.select("query_id", "rank", F.when(F.col("vec_id") < int(_LAST) - 1, F.col("vec_id")).alias("vec_id"), "score", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")
+            # with several blocks, only one is on the driver at a time
+            parts.append(found if blocks == 1 else materialize(found, "found"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     result = parts[0]

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from hourgrid.llm import language, quality
+from hourgrid.llm import decontamination, language, quality
 from hourgrid.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -98,3 +98,11 @@ def test_quality_agrees_with_held_out_labels(spark):
     labels = spark.read.parquet(f"{SF_LARGER}/labels.parquet")
     scored = QUERIES["op8_quality"].run(spark, SF_LARGER).where("held_out").join(labels, "doc_id")
     assert scored.agg(F.avg((F.col("keep").cast("int") == F.col("quality")).cast("int"))).first()[0] > 0.95
+
+
+def test_leaks_of_several_blocks_of_items_are_those_of_one(spark, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"{SF_DIR}/{name}.parquet") for name in ("documents", "benchmark"))
+    want = sorted(tuple(r) for r in decontamination.find_leaks(docs, benchmark).collect())
+    blocks = decontamination.item_blocks
+    monkeypatch.setattr(decontamination, "item_blocks", lambda items, item_id: blocks(items, item_id, block=9))
+    assert sorted(tuple(r) for r in decontamination.find_leaks(docs, benchmark).collect()) == want and want
