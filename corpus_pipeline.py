@@ -16,12 +16,16 @@ STAGES = [
     ("sharding", stages.sharded),
 ]
 
-#: The first stage's classifier has no SQL form; tests hold every stage against brute force.
+#: The first stage's classifier has no SQL form. Tests hold near-duplicates and leaks against brute force, and check what each stage keeps.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage's result is written as Parquet and read again by the next."""
+    """The rows of the last stage; every stage's result is written as Parquet and read again by the next.
+
+    Documents without words stay until the mix, which takes none of a source that has no words; an empty table gives an
+    empty result; columns that sharding adds too get ``_before`` added to their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
