@@ -539,5 +539,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     body = docs[f"`{text}`"]
     marks = [F.coalesce(docs[f"`{doc_id}`"], F.lit(0)).alias("row_id"), F.xxhash64(body).alias("row_hash"), F.coalesce(F.rlike(body, F.lit(WORD_PATTERN)), F.lit(False)).alias("worded")]
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *marks)
-    worded = packed.where("worded").join(stay, key, "left_semi").dropDuplicates(key)
-    return worded.unionByName(packed.where("NOT worded")).select("row.*")
+    worded = packed.where("worded").join(stay, key, "left_semi")
+    # only rows that are repeated are shuffled, to let one of them stay
+    repeated = materialize(sketched.where("n_shingles > 0").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
+    once = worded.join(repeated, key, "left_anti").unionByName(worded.join(repeated, key, "left_semi").dropDuplicates(key))
+    return once.unionByName(packed.where("NOT worded")).select("row.*")

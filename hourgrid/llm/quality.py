@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.linear import calibration, fit_logistic, logits, sigmoid
+from hourgrid.llm.linear import added, calibration, fit_logistic, logits, newton_step, newton_sums, sigmoid
 from hourgrid.llm.samples import labelled_ids
 from hourgrid.llm.words import find_words, slices, texts_of
 from hourgrid.session import materialize
@@ -37,7 +37,6 @@ ROUNDS = 4
 STEPS = 6
 SURE = 0.97
 FOLDS = 4
-PENALTY = 1.0
 METADATA_HASHES = 64
 CONTENT = 13
 
@@ -157,17 +156,6 @@ def named_by(view: View, x: np.ndarray) -> np.ndarray:
     return np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
 
 
-def newton_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fits: np.ndarray) -> np.ndarray:
-    """Gradient and curvature of weighted rows, for each row of weights in ``fits``: one flat array each."""
-    out = []
-    for w in fits:
-        p = sigmoid(x @ w)
-        gradient = x.T @ (weight * (p - y))
-        curvature = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        out.append(np.concatenate([gradient, curvature.ravel()]))
-    return np.stack(out)
-
-
 def _counts(views: tuple[View, View], rows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How many rows each view names good, and bad."""
     return np.array([[(named == 1).sum(), (named == 0).sum()] for named in (named_by(v, x) for v, x in zip(views, rows, strict=True))])
@@ -205,54 +193,15 @@ class Table:
     def __init__(self, measured: DataFrame):
         self.measured = measured
 
-    def _added(self, ask, parts: int) -> list[np.ndarray | None]:
-        """The sums over all rows of the ``parts`` arrays that ``ask`` gives of a batch; one row a part reaches the driver."""
-
-        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: list[np.ndarray | None] = [None] * parts
-            for batch in batches:
-                if batch.num_rows:
-                    for i, found in enumerate(ask(_views_of(batch))):
-                        if found is not None:
-                            total[i] = found if total[i] is None else total[i] + found
-            yield _packed(total)
-
-        def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: list[np.ndarray | None] = [None] * parts
-            for batch in batches:
-                for i, raw in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                    found = np.frombuffer(raw, np.float64)
-                    total[i] = found if total[i] is None else total[i] + found
-            yield _packed(total)
-
-        said = "part int, sums binary"
-        rows = self.measured.mapInArrow(each, said).repartition("part").mapInArrow(together, said).collect()
-        found = {r["part"]: np.frombuffer(r["sums"], np.float64) for r in rows}
-        return [found.get(i) for i in range(parts)]
-
     def counts(self, views: tuple[View, View]) -> np.ndarray:
-        found = self._added(lambda rows: list(_counts(views, rows).astype(float)), 2)
+        found = added(self.measured, lambda batch: list(_counts(views, _views_of(batch)).astype(float)), 2)
         return np.array([np.zeros(2) if f is None else f for f in found])
 
     def sums(self, views: tuple[View, View], fits: list[np.ndarray], shares: list[np.ndarray | None]) -> list[np.ndarray | None]:
-        found = self._added(lambda rows: [None if s is None else s.ravel() for s in _sums_of(views, fits, shares, rows)], 2)
+        found = added(self.measured, lambda batch: [None if s is None else s.ravel() for s in _sums_of(views, fits, shares, _views_of(batch))], 2)
         return [None if f is None else f.reshape(len(w), -1) for f, w in zip(found, fits, strict=True)]
 
 
-def _packed(total: list[np.ndarray | None]) -> pa.RecordBatch:
-    there = [i for i, t in enumerate(total) if t is not None]
-    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([total[i].astype(np.float64).tobytes() for i in there], pa.binary())], names=["part", "sums"])
-
-
-def _stepped(w: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """One Newton step, of bounded length, on a flat gradient and curvature."""
-    d = len(w)
-    ridge = np.full(d, PENALTY)
-    ridge[-1] = 1e-3
-    step = np.linalg.solve(sums[d:].reshape(d, d) + np.diag(ridge), sums[:d] + ridge * w)
-    return w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-
-
 def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, rounds: int = ROUNDS) -> Classifier:
     """``labelled`` holds the content rows and the metadata rows, ``pool`` the unlabelled ones: both likewise, or a ``Table``."""
     if len({*y.tolist()}) < 2:
@@ -274,7 +223,7 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, round
 
     def alone(k: int) -> np.ndarray:
         x = (labelled[k] - labelled[k].mean(axis=0)) / np.maximum(labelled[k].std(axis=0), 1e-6)
-        return np.stack([fit_logistic(x[part], y[part], penalty=PENALTY) for part in parts])
+        return np.stack([fit_logistic(x[part], y[part]) for part in parts])
 
     fits = [alone(0), alone(1)]
     views = (view(0, fits[0]), view(1, fits[1]))
@@ -293,7 +242,7 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, round
             for k in range(2):
                 if sums[k] is not None:
                     own = views[k].inputs(labelled[k])
-                    fits[k] = np.stack([_stepped(w, found + newton_sums(own[part], y[part], np.ones(part.sum()), w[None])[0]) for w, found, part in zip(fits[k], sums[k], parts, strict=True)])
+                    fits[k] = np.stack([newton_step(w, found + newton_sums(own[part], y[part], np.ones(part.sum()), w[None])[0]) for w, found, part in zip(fits[k], sums[k], parts, strict=True)])
         views = (view(0, fits[0]), view(1, fits[1]))
     both = Classifier(views, prior, 1.0, 0.0, exchanged)
     p = both.score(*labelled)
