@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 #: A word as the contracts define it.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
+    """Let tasks get rows in Arrow batches of at most ``size``, from here on in this session.
+
+    By default a batch has up to 10,000 rows, which of long texts are hundreds of megabytes in a task and its worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
