@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if q.sql))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     df = QUERIES[name].run(spark, SF_DIR)
     cursor = connection.execute(QUERIES[name].sql)
