@@ -104,13 +104,13 @@ def worst(by_station: DataFrame, n: int = 10, key: str = "station_id") -> DataFr
 
 
 def monthly_activity(grid: DataFrame, stations: DataFrame, ts: str = "timestamp", key: str = "station_id") -> DataFrame:
-    """Monthly totals and active hours of the listed stations over their whole history."""
-    return (
-        keep_listed(grid, stations, key)
-        .groupBy(key, "station_name", month_label(ts).alias("year_month"))
-        .agg(
-            F.sum("pickups").alias("total_pickups"),
-            F.count_if(F.col("pickups") > 0).alias("active_hours"),
-            F.count("pickups").alias("total_hours"),
-        )
+    """Monthly totals and active hours of the listed stations over their whole history.
+
+    Months are summed before the stations are looked up, so that no row of the grid is shuffled for a long list.
+    """
+    months = grid.groupBy(key, "station_name", month_label(ts).alias("year_month")).agg(
+        F.sum("pickups").alias("total_pickups"),
+        F.count_if(F.col("pickups") > 0).alias("active_hours"),
+        F.count("pickups").alias("total_hours"),
     )
+    return keep_listed(months, stations, key)

@@ -19,6 +19,7 @@ from hourgrid.operators.history import add_history
 from hourgrid.operators.joins import join_checked
 from hourgrid.operators.profile import describe_exact
 from hourgrid.operators.ranking import canonical_label, top_entities
+from hourgrid.operators.reports import monthly_activity
 from hourgrid.plans.features import build_features
 from hourgrid.schemas import BASELINES
 from tests.helpers import dense, weather_for
@@ -84,6 +85,22 @@ def test_no_nested_loops_or_unpartitioned_windows(spark):
         assert all("[station_id#" in line and "_block#" in line for line in windows)
 
 
+def test_grid_rows_are_not_shuffled(spark):
+    df, _ = dense(spark, 2, 24 * 20)
+    staged = session.materialize(df, "plans")
+    members = staged.select("station_id").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grid = plan(dense_grid(staged, members, "station_id", "pickups"))
+        months = plan(monthly_activity(staged, members))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # operators above the one that unfolds hours come first
+    assert "Join" in grid and "Exchange" not in grid.split("Generate explode")[0]
+    assert "Exchange" not in months.split("partial_sum(pickups")[1].split("FileScan")[0]
+
+
 def test_selection_is_a_top_k_and_not_a_sort(spark):
     df, _ = dense(spark, 2, 24)
     assert "TakeOrderedAndProject" in plan(top_entities(df, "station_id", "pickups", 1))

@@ -100,6 +100,18 @@ def test_grid_is_complete_and_keeps_the_sum(spark):
     assert tuple(facts) == ((31 + 30) * 24 * 2, 6, datetime(2026, 3, 1), datetime(2026, 4, 30, 23), (31 + 30) * 24 * 2)
 
 
+def test_grid_of_odd_rows(spark, rows):
+    january, march = datetime(2026, 1, 31, 23), datetime(2026, 3, 1)
+    counts = [(january, "a", 2), (january, "a", 3), (march, "a", None), (None, "a", 7), (january, None, 5), (datetime(2026, 2, 3, 4, 30), "a", 9)]
+    hourly = frame(spark, counts, "timestamp timestamp_ntz, station_id string, pickups long")
+    members = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "station_id string")
+    grid = dense_grid(hourly, members, "station_id", "pickups")
+    assert grid.columns == ["timestamp", "station_id", "pickups"] and dict(grid.dtypes)["pickups"] == "int"
+    assert rows(grid.where("pickups <> 0")) == [(january, "a", 5)] * 2
+    assert grid.count() == 4 * 24 * (31 + 28 + 31) == grid.where("pickups IS NOT NULL").count()
+    assert dense_grid(hourly.limit(0), members, "station_id", "pickups").count() == 0
+
+
 def test_dataset_zero_fills_a_station_that_stops(spark):
     trips = [(datetime(2026, 1, d, 8), "a", "A") for d in range(1, 20)] + [(datetime(2026, 2, 3), "b", "B")]
     trips += [(datetime(2026, 1, 2), "b", "B"), (datetime(2026, 2, 4), "late", "L")] + [(datetime(2026, 2, 4), "late", "L")] * 50
