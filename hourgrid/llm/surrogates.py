@@ -106,10 +106,16 @@ def _replaced(character: Column, number: Column) -> Column:
     return F.substring(drawn_from, number % F.length(drawn_from) + 1, F.lit(1))
 
 
-def _spelled(text: Column, stream: Column, keep_first: int = 0) -> Column:
+def _named(value: Column, use) -> Column:
+    """``use`` of the value, which is computed, and stands in the plan, only once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _spelled(text: Column, stream: Column, first: Column, end: Column) -> Column:
+    """The text with its characters from place ``first`` to before ``end`` replaced."""
     places = F.sequence(F.lit(0), F.length(text) - 1)
     letter = lambda p: F.substring(text, p + 1, F.lit(1))
-    return F.array_join(F.transform(places, lambda p: F.when(p < keep_first, letter(p)).otherwise(_replaced(letter(p), _number(stream, p)))), "")
+    return F.array_join(F.transform(places, lambda p: F.when((p < first) | (p >= end), letter(p)).otherwise(_replaced(letter(p), _number(stream, p)))), "")
 
 
 def _checked(card: Column) -> Column:
@@ -131,10 +137,10 @@ def _gender(title: Column) -> Column:
     return F.when(F.rlike(bare, F.lit(f"^(?:{MALE_TITLES})$")), "male").when(F.rlike(bare, F.lit(f"^(?:{FEMALE_TITLES})$")), "female").otherwise("other")
 
 
-def _first_name(name: Column, part: Column, stream: Column) -> Column:
-    """A listed name of the gender of ``part`` and of the script of ``name``; where the script has none, a spoken word."""
+def _first_name(name: Column, part: Column, stream: Column, spelled: Column) -> Column:
+    """A listed name of the gender of ``part`` and of the script of ``name``; where the script has none, the spoken word ``spelled``."""
     script = F.when(F.rlike(name, F.lit(r"^\p{IsCyrillic}")), "cyrillic").when(F.rlike(name, F.lit(r"^\p{IsLatin}")), "latin")
-    chosen, number = _spelled(name, stream), F.conv(F.substring(stream, F.lit(1), F.lit(6)), 16, 10).cast("int")
+    chosen, number = spelled, F.conv(F.substring(stream, F.lit(1), F.lit(6)), 16, 10).cast("int")
     for (g, s), names in NAMES.items():
         listed = F.array(*[F.lit(n) for n in names])
         chosen = F.when((part == f"first {g}") & script.eqNullSafe(s), F.element_at(listed, number % len(names) + 1)).otherwise(chosen)
@@ -162,24 +168,32 @@ def _more(last: Column, part: Column, norm: Column, attempt: Column, key: str) -
 
 
 def surrogate(norm: Column, part: Column, attempt: Column, key: str = KEY) -> Column:
-    """The drawn value, in normalised form, of a part of an entity."""
-    stream = _stream(F.concat(part, F.lit("|"), norm), attempt, key)
-    more = lambda last: _more(last, part, norm, attempt, key)
-    at = F.locate("@", norm)
-    ending = F.length(norm) - F.length(F.substring_index(norm, ".", -1)) - 1
-    mail = F.concat(_spelled(F.substring(norm, F.lit(1), at - 1), stream), more(F.lit("b")), F.lit("@"),
-                    _spelled(F.substring(norm, at + 1, ending - at), F.substring(stream, 2 * at + 1, 10_000)), F.substring(norm, ending + 1, F.lit(64)))
-    octets = F.transform(F.split(norm, r"\."), lambda o, i: (_number(stream, 4 * i) * 256 + _number(stream, 4 * i + 1)) % 223 + 1)
-    card, first = _spelled(norm, stream, 1), _first_name(norm, part, stream)
-    return (
-        F.when(part == "email", mail)
-        .when(part == "ip", F.array_join(octets.cast("array<string>"), "."))
-        .when(part == "card", F.when(_luhn(norm), _checked(card)).otherwise(card))
-        .when(part == "iban", _spelled(norm, stream, 2))
-        .when(part == "phone", F.concat(F.when(F.startswith(norm, F.lit("+")), _spelled(norm, stream, 2)).otherwise(_spelled(norm, stream)), more(F.lit("0"))))
-        .when(part == "family", F.concat(_spelled(norm, stream), more(F.right(norm, F.lit(1)))))
-        .when(F.startswith(part, F.lit("first")), F.concat(first, more(F.right(norm, F.lit(1)))))
-        .otherwise(_spelled(norm, stream))
+    """The drawn value, in normalised form, of a part of an entity.
+
+    All kinds are spelled by one expression: its lists of letters are long, and plans that repeat them fill the driver.
+    """
+    at, ending = F.locate("@", norm), F.length(norm) - F.length(F.substring_index(norm, ".", -1)) - 1
+    first = F.when(part == "card", 1).when((part == "iban") | ((part == "phone") & F.startswith(norm, F.lit("+"))), 2).otherwise(0)
+    end = F.when(part == "email", ending).when(part == "ip", 0).otherwise(F.length(norm))
+    last = F.when(part == "email", "b").when(part == "phone", "0").otherwise(F.right(norm, F.lit(1)))
+
+    def chosen(stream: Column, spelled: Column, more: Column) -> Column:
+        octets = F.transform(F.split(norm, r"\."), lambda o, i: (_number(stream, 4 * i) * 256 + _number(stream, 4 * i + 1)) % 223 + 1)
+        return (
+            F.when(part == "email", F.concat(F.substring(spelled, F.lit(1), at - 1), more, F.substring(spelled, at, F.length(spelled))))
+            .when(part == "ip", F.array_join(octets.cast("array<string>"), "."))
+            .when(part == "card", F.when(_luhn(norm), _checked(spelled)).otherwise(spelled))
+            .when((part == "phone") | (part == "family"), F.concat(spelled, more))
+            .when(F.startswith(part, F.lit("first")), F.concat(_first_name(norm, part, stream, spelled), more))
+            .otherwise(spelled)
+        )
+
+    return _named(
+        _stream(F.concat(part, F.lit("|"), norm), attempt, key),
+        lambda stream: _named(
+            F.struct(_spelled(norm, stream, first, end).alias("spelled"), _more(last, part, norm, attempt, key).alias("more")),
+            lambda drawn: chosen(stream, drawn["spelled"], drawn["more"]),
+        ),
     )
 
 

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from hourgrid.llm import decontamination, language, quality
+from hourgrid.llm import decontamination, language, quality, surrogates
 from hourgrid.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -106,3 +106,16 @@ def test_leaks_of_several_blocks_of_items_are_those_of_one(spark, monkeypatch):
     blocks = decontamination.item_blocks
     monkeypatch.setattr(decontamination, "item_blocks", lambda items, item_id: blocks(items, item_id, block=9))
     assert sorted(tuple(r) for r in decontamination.find_leaks(docs, benchmark).collect()) == want and want
+
+
+def test_plan_of_surrogates_lists_letters_once(spark):
+    """Spark keeps a plan's text on the driver, and writes it anew with every finished stage."""
+    listed = [("card", "4111111111111111", 0), ("email", "a.b@c-d.de", 5), ("family", "Müller", 4), ("first female", "Анна", 1), ("iban", "DE89370400440532013000", 3), ("ip", "10.2.3.4", 1), ("phone", "+4915112345678", 7)]
+    parts = spark.createDataFrame(listed, "part string, norm string, attempt int")
+    drawn = parts.select("part", surrogates.surrogate(F.col("norm"), F.col("part"), F.col("attempt"), "test").alias("s"))
+    assert len(drawn._jdf.queryExecution().executedPlan().toString()) < 150_000
+    got = {r["part"]: r["s"] for r in drawn.collect()}
+    assert got == {
+        "card": "4155142614808421", "email": "o.bld@s-x.de", "family": "Näzbexm", "first female": "Ольга", "iban": "DE09115387655238202460",
+        "ip": "70.214.136.120", "phone": "+46844495090431948",
+    }
