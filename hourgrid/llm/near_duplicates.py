@@ -480,11 +480,14 @@ def _passing(bits: np.ndarray):
 
 
 def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``class, text`` of the ``chosen`` keys; repeated rows give their text once."""
+    """``class, text`` of the ``chosen`` keys, one of each class; repeated rows give their text once.
+
+    They are told by the key of the join, so that texts are neither shuffled nor sorted again for it.
+    """
     kinds = dict(rows.dtypes)
     near = rows.select("row_id", "row_hash", "text", *_places())
     near = near.mapInArrow(_passing(_may_be_chosen(chosen)), f"row_id {kinds['row_id']}, row_hash long, text string")
-    return near.join(chosen, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"])
+    return near.join(chosen, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash"]).select("class", "text")
 
 
 def near_duplicate_classes(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, trees: int = TREES) -> tuple[DataFrame, DataFrame]:

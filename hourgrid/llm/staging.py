@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: A word as the contracts define it.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are hashed at a time; memory per task is a small multiple of it plus the longest text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

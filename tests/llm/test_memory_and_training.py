@@ -6,8 +6,10 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from hourgrid.llm import decontamination, language, quality, surrogates
+from hourgrid.llm import decontamination, language, near_duplicates, quality, surrogates
 from hourgrid.llm.queries import QUERIES
+from hourgrid.llm.staging import identified
+from hourgrid.session import materialize
 
 SF_DIR = "/root/testdata/sf0.001"
 SF_LARGER = "/root/testdata/sf0.01"
@@ -119,3 +121,20 @@ def test_plan_of_surrogates_lists_letters_once(spark):
         "card": "4155142614808421", "email": "o.bld@s-x.de", "family": "Näzbexm", "first female": "Ольга", "iban": "DE09115387655238202460",
         "ip": "70.214.136.120", "phone": "+46844495090431948",
     }
+
+
+def test_texts_of_classes_are_shuffled_and_sorted_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c d"), (None, "e f"), (3, None)], "doc_id long, text string")
+    rows = materialize(identified(docs), "rows")
+    chosen = materialize(rows.where("doc_id IS NULL OR doc_id < 2").distinct().select((F.col("row_id") + 7).alias("class"), "row_id", "row_hash"), "chosen")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = near_duplicates._texts(rows, chosen)
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, texts.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the texts and the chosen keys once each
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2
+    assert got == [(7, "e f"), (8, "a b")]
